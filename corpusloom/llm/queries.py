@@ -1,8 +1,10 @@
 """The queries of this subpackage and, where SQL expresses them, their SQL."""
 
 from .decontaminate import op7_benchmark_decontamination
+from .sentencepiece_codec import op3_sentencepiece
 
 QUERIES = {
+    "op3_sentencepiece": op3_sentencepiece,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
 }
 
