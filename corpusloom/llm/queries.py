@@ -1,11 +1,17 @@
 """The queries of this subpackage and, where SQL expresses them, their SQL."""
 
 from .decontaminate import op7_benchmark_decontamination
+from .quality import op6_quality_rules
 from .sentencepiece_codec import op3_sentencepiece
+from .toxicity import op10_toxicity
+from .url_filter import op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op3_sentencepiece": op3_sentencepiece,
+    "op6_quality_rules": op6_quality_rules,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {}
