@@ -169,3 +169,13 @@ def explode_blocks(df: DataFrame, text: str, keep: list[str], schema: T.StructTy
 
     reach(df.sparkSession)
     return df.select(*(df[c] for c in dict.fromkeys([*keep, text]))).mapInArrow(run, schema)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, in the shared folder the session names; one of our own only where none is named."""
+    import tempfile
+
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    return df.checkpoint()

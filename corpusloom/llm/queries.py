@@ -1,6 +1,8 @@
 """The queries of this subpackage and, where SQL expresses them, their SQL."""
 
 from .decontaminate import op7_benchmark_decontamination
+from .jaccard_join import op8_ngram_jaccard_join
+from .line_dedup import op9_line_dedup
 from .quality import op6_quality_rules
 from .sentencepiece_codec import op3_sentencepiece
 from .toxicity import op10_toxicity
@@ -11,6 +13,8 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op6_quality_rules": op6_quality_rules,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
