@@ -209,8 +209,8 @@ def _bodies(docs: DataFrame, wanted: DataFrame, n: int, small: bool) -> DataFram
     return map_blocks(rows, "text", [c for c in wanted.columns if c != "doc"], _BODY, fn)
 
 
-def _sets_of(table: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x, U) for x in table.column("body").to_pylist()]
+def _sets_of(table: pa.Table, column: str = "body") -> list[np.ndarray]:
+    return [np.frombuffer(x, U) for x in table.column(column).to_pylist()]
 
 
 def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -266,11 +266,11 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int =
         blocks = labelled.select("part", "bin").distinct()
 
         def across(table: pa.Table, queries: pa.Table) -> pa.Table:
-            asked_ = list(zip(queries.column("label").to_pylist(), _sets_of(queries), strict=True))
+            asked_ = list(zip(queries.column("from").to_pylist(), _sets_of(queries, "query"), strict=True))
             pairs = sorted(search_for(asked_, table.column("label").to_numpy(), _sets_of(table), percent)) if table.num_rows else []
             return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
 
-        met = labelled.groupBy("bin").cogroup(asked.join(blocks, "part").select("bin", "label", "body").groupBy("bin")).applyInArrow(across, _PAIR)
+        met = labelled.groupBy("bin").cogroup(asked.join(blocks, "part").select(F.col("bin").alias("to"), F.col("label").alias("from"), F.col("body").alias("query")).groupBy("to")).applyInArrow(across, _PAIR)
         found = checkpointed(found.unionByName(met))
     return own, components(found)
 
