@@ -1,5 +1,7 @@
 """The queries of this subpackage and, where SQL expresses them, their SQL."""
 
+import corpus_pipeline
+
 from .decontaminate import op7_benchmark_decontamination
 from .jaccard_join import op8_ngram_jaccard_join
 from .line_dedup import op9_line_dedup
@@ -16,6 +18,9 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
