@@ -4,6 +4,7 @@ import corpus_pipeline
 
 from .decontaminate import op7_benchmark_decontamination
 from .jaccard_join import op8_ngram_jaccard_join
+from .license_scan import op5_license_scan
 from .line_dedup import op9_line_dedup
 from .quality import op6_quality_rules
 from .sentencepiece_codec import op3_sentencepiece
@@ -13,6 +14,7 @@ from .url_filter import op1_url_filter
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
