@@ -137,6 +137,12 @@ def reach(spark) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
 
 
+def gather(values: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The stretches [begin, begin + count) of ``values``, one after the other."""
+    shift = np.repeat(begin - starts(count)[:-1], count)
+    return values[np.arange(len(shift)) + shift]
+
+
 def map_blocks(df: DataFrame, text: str, keep: list[str], fields: T.StructType, fn: Callable, limit: int = BLOCK_BYTES) -> DataFrame:
     """``keep`` columns of each row and the ``fields`` that ``fn(texts)`` returns as one Arrow array each.
 

@@ -2,7 +2,13 @@
 
 The model's protobuf is read here field by field, and its normaliser, white-space marker, scores (unigram)
 or merges (BPE) and byte fallback are rebuilt as one ``tokenizers.Tokenizer``, which encodes batches on
-several threads.  Ids are those of the SentencePiece library; ``parity`` compares the two on every row.
+several threads.  Ids are those of the SentencePiece library; ``parity`` compares the two.
+
+Where no piece runs from a word into the next marker, a text is the sequence of its marker-led words, each
+encoded alone: a block's distinct words go to the library as one batch, and a bounded memo keeps the common
+ones.  Words are told apart by a 64-bit hash within a block and by their bytes in the memo.  ``parity="texts"``
+encodes every whole text with the SentencePiece library too; ``parity="words"`` does so with every distinct word
+when the memo learns it, a tenth of the work.  Either also lets the library decode each row's ids.
 
 Only the model's bytes travel to the executors, at most ``MODEL_BYTES`` of them; each Python worker builds
 its tokenizer once.
@@ -14,25 +20,32 @@ the strings of control pieces in a text are ordinary text; repeated rows are enc
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import lists, pieces, reach
+from .blocks import BYTE, Block, gather, pieces, prefix_sums, reach, span_hash, starts
 
 #: Where the public vocabularies lie unless a caller names another model.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_BYTES = 64 << 20
 MARK = "▁"
-NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE_PIECE = 1, 2, 3, 4, 5, 6
 _ENCODE_BYTES = 1 << 18
+#: Distinct words that a worker remembers.
+MEMO = 1 << 19
+#: Threads of a worker's tokenizer, unless RAYON_NUM_THREADS says otherwise: more than a task's cores only spin.
+THREADS = 2
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -99,6 +112,12 @@ def merges(pieces_: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(x, y) for *_, x, y in sorted(found)]
 
 
+def apart(m: dict) -> bool:
+    """Whether words are encoded apart: no piece has a marker after another character."""
+    mark = MARK if m["escape"] else " "
+    return not any(a != mark and b == mark for p, _, kind in m["pieces"] if kind in (NORMAL, USER) for a, b in zip(p, p[1:], strict=False))
+
+
 def build(data: bytes):
     """A tokenizer that gives the SentencePiece model's ids and texts."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -123,9 +142,7 @@ def build(data: bytes):
         steps.append(normalizers.Replace(" ", MARK))
     t.normalizer = normalizers.Sequence(steps)
     mark = MARK if m["escape"] else " "
-    inner = any(a != mark and b == mark for p, _, kind in m["pieces"] if kind in (NORMAL, USER) for a, b in zip(p, p[1:], strict=False))
-    if not inner:
-        # no piece runs from a word into the next marker, so words are encoded (and remembered) one by one
+    if apart(m):
         t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{mark}+[^{mark}]*|[^{mark}]+"), "isolated")
     end = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     t.decoder = decoders.Sequence(end + ([decoders.Strip(" ", 1, 0)] if m["dummy_prefix"] else []))
@@ -133,22 +150,109 @@ def build(data: bytes):
     return t
 
 
-_built: dict = {}
+class Codec:
+    """One Python worker's tokenizer, its memo of words and the bytes of its pieces."""
 
-
-def _worker(data: bytes, parity: bool):
-    """This worker's tokenizer and, to compare, the SentencePiece library's processor."""
-    key = hash(data), parity
-    if key not in _built:
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        processor = None
-        if parity:
+    def __init__(self, data: bytes, check: bool = False):
+        self.processor = None
+        if check:
             import sentencepiece
 
-            processor = sentencepiece.SentencePieceProcessor(model_proto=data)
-        _built.clear()
-        _built[key] = build(data), processor
-    return _built[key]
+            self.processor = sentencepiece.SentencePieceProcessor(model_proto=data)
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+        self.tokenizer = build(data)
+        m = parse_model(data)
+        # the memo stands for texts that are not normalised beyond the marker
+        self.by_word = apart(m) and m["escape"] and m["dummy_prefix"] and not m["charsmap"] and not m["squeeze"]
+        if self.by_word:
+            self.words = build(data)
+            self.words.normalizer = None
+            self.words.pre_tokenizer = None
+        self.prefix = m["dummy_prefix"]
+        own = [bytes([int(p[3:5], 16)]) if kind == BYTE_PIECE else p.replace(MARK, " ").encode() if kind in (NORMAL, USER) else b"" for p, _, kind in m["pieces"]]
+        self.plain = np.array([kind in (NORMAL, USER, BYTE_PIECE) for *_, kind in m["pieces"]])
+        self.size = np.array([len(x) for x in own])
+        self.at = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+        self.bytes = np.frombuffer(b"".join(own), np.uint8)
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo, self.ids, self.begin, self.count, self.same, self.used = {}, np.zeros(1 << 16, np.int32), np.zeros(MEMO, np.int64), np.zeros(MEMO, np.int64), np.ones(MEMO, bool), 0
+
+    def learn(self, words: list[bytes]) -> None:
+        got = [e.ids for e in self.words.encode_batch_fast([w.decode().replace(" ", MARK) for w in words], add_special_tokens=False)]
+        k, n = len(self.memo), len(words)
+        count = np.fromiter(map(len, got), np.int64, n)
+        end = self.used + int(count.sum())
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), end - len(self.ids)), np.int32)])
+        self.ids[self.used : end] = np.fromiter(chain.from_iterable(got), np.int32, end - self.used)
+        self.begin[k : k + n], self.count[k : k + n] = self.used + starts(count)[:-1], count
+        if self.processor:
+            # a word's first blank is the marker that the library adds itself
+            self.same[k : k + n] = [x == y for x, y in zip(got, self.processor.encode([w[1:].decode() for w in words], num_threads=1), strict=True)]
+        self.memo.update(zip(words, range(k, k + n), strict=True))
+        self.used = end
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of a block, how many each text has, and whether the library agrees on its words."""
+        if not self.by_word:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+            count = np.array([len(x) for x in got], np.int64)
+            return np.fromiter(chain.from_iterable(got), np.int32, int(count.sum())), count, np.ones(len(count), bool)
+        b = Block(pc.replace_substring(texts, MARK, " "))
+        filled = np.flatnonzero(np.diff(b.off))
+        if not len(filled):
+            return np.zeros(0, np.int32), np.zeros(b.rows, np.int64), np.ones(b.rows, bool)
+        buf = np.insert(b.buf, b.off[filled], 32)  # the marker before a text
+        off = b.off[filled] + np.arange(len(filled))
+        blank = buf == 32
+        head = blank.copy()
+        head[1:] &= ~blank[:-1]
+        head[off] = True
+        start = np.flatnonzero(head)
+        end = np.append(start[1:], len(buf))
+        _, first, which = np.unique(span_hash(prefix_sums(BYTE[buf]), start, end), return_index=True, return_inverse=True)
+        own = [buf[i:j].tobytes() for i, j in zip(start[first], end[first], strict=True)]
+        new = [w for w in own if w not in self.memo]
+        if len(self.memo) + len(new) > MEMO:
+            self.forget()
+            new = own
+        if len(new) > len(self.count):  # one huge text
+            self.begin, self.count, self.same = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), np.ones(len(new), bool)
+        self.learn(new)
+        slot = np.array([self.memo[w] for w in own])[which]
+        ids, each = gather(self.ids, self.begin[slot], self.count[slot]), self.count[slot]
+        total, same, at = np.zeros(b.rows, np.int64), np.ones(b.rows, bool), np.searchsorted(start, off)
+        total[filled], same[filled] = np.add.reduceat(each, at), np.logical_and.reduceat(self.same[slot], at)
+        return ids, total, same
+
+    def decode(self, ids: np.ndarray, count: np.ndarray) -> list[str]:
+        """Texts of ids; rows with unknown or control pieces, or bytes that are no characters, go through the library."""
+        row = np.repeat(np.arange(len(count)), count)
+        size = np.bincount(row, self.size[ids], len(count)).astype(np.int64)
+        data, out, cut, at = gather(self.bytes, self.at[ids], self.size[ids]).tobytes(), [], starts(size), starts(count)
+        odd = np.bincount(row, ~self.plain[ids], len(count)) > 0
+        for k in range(len(count)):
+            i, j = cut[k], cut[k + 1]
+            try:
+                text = None if odd[k] else data[i + (self.prefix and data[i : i + 1] == b" ") : j].decode()
+            except UnicodeDecodeError:
+                text = None
+            out.append(self.tokenizer.decode(ids[at[k] : at[k + 1]].tolist(), skip_special_tokens=False) if text is None else text)
+        return out
+
+
+_codecs: dict[tuple, Codec] = {}
+
+
+def _codec(data: bytes, check: bool = False) -> Codec:
+    key = hashlib.sha256(data).digest(), check
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(data, check)
+    return _codecs[key]
 
 
 def _load(model: str) -> bytes:
@@ -158,40 +262,41 @@ def _load(model: str) -> bytes:
     return data
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL, keep: list[str] | None = None, parity: bool = False, decoded: bool = False, ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, keep: list[str] | None = None, parity: str = "", decoded: bool = False, ids: bool = True) -> DataFrame:
     """``keep`` columns (all by default) with n_tokens and, as asked for, ids, decoded (the ids' text) and parity.
 
-    ``parity`` is true where the SentencePiece library gives the same ids and the same decoded text.
+    ``parity``, "words" or "texts", is true where the SentencePiece library gives the same ids and the same decoded text.
     """
+    if parity not in ("", "words", "texts"):
+        raise ValueError(f"parity must be words or texts, not {parity!r}")
     data = _load(model)
     fields = [T.StructField("n_tokens", T.LongType())]
-    fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids + [T.StructField("decoded", T.StringType())] * decoded + [T.StructField("parity", T.BooleanType())] * parity
+    fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids + [T.StructField("decoded", T.StringType())] * decoded + [T.StructField("parity", T.BooleanType())] * bool(parity)
     added = [f.name for f in fields]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     source = docs.select(*(docs[c] for c in dict.fromkeys([*keep, text])))
     schema = T.StructType([*(source.schema[c] for c in keep), *fields])
 
     def run(batches):
-        t, processor = _worker(data, parity)
+        codec = _codec(data, bool(parity))
         for b in batches:
             for i, j in pieces(b.column(text), _ENCODE_BYTES):
                 part = b.column(text).slice(i, j - i)
-                texts = part.fill_null("").to_pylist()
-                got = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-                count = np.array([len(x) for x in got], np.int64)
+                flat, count, same = codec.encode(part)
                 null = part.is_null().to_numpy(zero_copy_only=False)
                 out = {"n_tokens": pa.array(count)}
                 if ids:
-                    flat = lists(np.fromiter((x for own in got for x in own), np.int32, int(count.sum())), count)
-                    out["ids"] = pa.array([None if n else v for n, v in zip(null, flat, strict=True)], flat.type) if null.any() else flat
+                    at = pa.array(np.append(starts(count)[:-1], len(flat)).astype(np.int32), mask=np.append(null, False))
+                    out["ids"] = pa.ListArray.from_arrays(at, pa.array(flat))
                 if decoded or parity:
-                    back = t.decode_batch(got, skip_special_tokens=False)
+                    back = codec.decode(flat, count)
                     out["decoded"] = pa.array(back, pa.string(), mask=null)
                 if parity:
-                    want = processor.encode(texts, num_threads=1)
-                    same = [x == y for x, y in zip(got, want, strict=True)]
-                    if "⁇" not in "".join(back):
-                        same = [s and (x == y) for s, x, y in zip(same, back, processor.decode(want, num_threads=1), strict=True)]
+                    at, n = starts(count), len(count)
+                    own = [flat[k:m].tolist() for k, m in zip(at, at[1:], strict=False)]
+                    if parity == "texts" or not codec.by_word:
+                        same = np.fromiter((x == y for x, y in zip(own, codec.processor.encode(part.fill_null("").to_pylist(), num_threads=1), strict=True)), bool, n)
+                    same &= np.fromiter((x == y or " ⁇ " in y for x, y in zip(back, codec.processor.decode(own, num_threads=1), strict=True)), bool, n)
                     out["parity"] = pa.array(same)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in keep), *(out[n] for n in added)], names=schema.names)
 
@@ -207,12 +312,12 @@ def decode(encoded: DataFrame, ids: str = "ids", to: str = "text", model: str =
     schema = T.StructType([*(source.schema[c] for c in keep), T.StructField(to, T.StringType())])
 
     def run(batches):
-        t, _ = _worker(data, False)
+        codec = _codec(data)
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 own = b.column(ids).slice(i, 64)
-                texts = t.decode_batch(own.fill_null([]).to_pylist(), skip_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 64) for c in keep), pa.array(texts, pa.string(), mask=own.is_null().to_numpy(zero_copy_only=False))], names=schema.names)
+                flat, count = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(own).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 64) for c in keep), pa.array(codec.decode(flat, count), pa.string(), mask=own.is_null().to_numpy(zero_copy_only=False))], names=schema.names)
 
     reach(encoded.sparkSession)
     return source.mapInArrow(run, schema)
@@ -221,5 +326,5 @@ def decode(encoded: DataFrame, ids: str = "ids", to: str = "text", model: str =
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Ids of every whole document, their digest, and whether they decode to the text and match the library."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = encode(docs, keep=["doc_id", "text"], parity=True, decoded=True)
+    out = encode(docs, keep=["doc_id", "text"], parity="words", decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "parity")
