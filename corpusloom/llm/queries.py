@@ -8,12 +8,14 @@ from .license_scan import op5_license_scan
 from .line_dedup import op9_line_dedup
 from .quality import op6_quality_rules
 from .sentencepiece_codec import op3_sentencepiece
+from .suffix_dedup import op4_suffix_array_dedup
 from .toxicity import op10_toxicity
 from .url_filter import op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
