@@ -11,9 +11,11 @@ from .sentencepiece_codec import op3_sentencepiece
 from .suffix_dedup import op4_suffix_array_dedup
 from .toxicity import op10_toxicity
 from .url_filter import op1_url_filter
+from .window_dedup import op2_substring_dedup
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_license_scan": op5_license_scan,
