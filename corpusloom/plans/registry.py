@@ -1,4 +1,6 @@
 """Every query of the engine by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import catalog, lookup, retrieval, text
+
+QUERIES: dict = text.QUERIES | retrieval.QUERIES | lookup.QUERIES | catalog.QUERIES
+SQL: dict[str, str] = text.SQL | retrieval.SQL | lookup.SQL | catalog.SQL
