@@ -5,8 +5,8 @@ features' weights); a document scores 1 - prod(1 - s), the noisy-or of its sente
 labels alone by gradient descent on the log loss, so the sentences that carry a toxic document's score are
 found without sentence labels.
 
-The model is fitted on at most ``sample_docs`` labelled documents, those with the smallest hash of their id,
-which bounds what the driver holds; every document and every sentence is scored.  Only features of at least
+The model is fitted on at most ``sample_docs`` labelled documents, half of each label where there are so many and
+those with the smallest hash of their id, weighted back to the labels' shares; this bounds what the driver holds; every document and every sentence is scored.  Only features of at least
 ``min_docs`` sampled documents have a weight, ``MAX_WORDS`` of them at most (the most frequent), so the
 broadcast model is at most 16 bytes times that.
 
@@ -90,9 +90,11 @@ class Model:
         return -np.expm1(np.bincount(s.of, np.log1p(-np.minimum(scores, 1 - 1e-15)), s.rows))
 
 
-def fit_bags(bags: list[tuple[int, int, np.ndarray, np.ndarray]], min_docs: int = 5, steps: int = 150, rate: float = 0.15, lasso: float = 2e-5, ridge: float = 1e-5) -> Model:
+def fit_bags(bags: list[tuple[int, int, np.ndarray, np.ndarray]], share: dict[int, float] | None = None, min_docs: int = 5, steps: int = 150, rate: float = 0.15, lasso: float = 2e-5, ridge: float = 1e-5) -> Model:
     """From (label, number of sentences, sentence and hash of each feature) of each document.
 
+    ``share`` has the number of documents that one of each label stands for.
+
     Adam on the mean log loss of the noisy-or with a ridge and a lasso on the weights; for a document with
     probability p and label y the loss's slope in the logit of a sentence with score s is s (p - y) / p.
     Features whose weight ends at 0 leave the model.
@@ -102,23 +104,29 @@ def fit_bags(bags: list[tuple[int, int, np.ndarray, np.ndarray]], min_docs: int
     y = np.array([b[0] for b in bags], float)
     per = np.array([b[1] for b in bags])
     base = starts(per)
-    sentence = np.concatenate([b[2] + o for b, o in zip(bags, base, strict=False)])
-    keys, column = np.unique(np.concatenate([b[3] for b in bags]), return_inverse=True)
     bag = np.repeat(np.arange(len(bags)), per)
-    sentence, column = distinct(sentence, column, len(keys))
-    _, in_docs = distinct(bag[sentence], column, len(keys))
-    df = np.bincount(in_docs, minlength=len(keys))
+    # features of enough documents first: the rest never reaches the larger arrays
+    keys, df = np.unique(np.concatenate([np.unique(b[3]) for b in bags]), return_counts=True)
     good = df >= min_docs
     if good.sum() > MAX_WORDS:
         good &= df >= np.sort(df)[-MAX_WORDS]
-    kept = good[column]
-    sentence, column, keys = sentence[kept], (np.cumsum(good) - 1)[column[kept]], keys[good]
+    keys, sentences, columns = keys[good], [], []
+    if len(keys):
+        for b, o in zip(bags, base, strict=False):
+            at = np.minimum(np.searchsorted(keys, b[3]), len(keys) - 1)
+            known = keys[at] == b[3]
+            s_, c_ = distinct(b[2][known] + o, at[known], len(keys))
+            sentences.append(s_.astype(np.int32))
+            columns.append(c_.astype(np.int32))
+    sentence, column = (np.concatenate([*x, np.zeros(0, np.int32)]) for x in (sentences, columns))
+    weight = np.array([(share or {}).get(int(x > 0), 1.0) for x in y])
+    weight /= weight.sum()
     w, b = np.zeros(len(keys)), -6.0
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for t in range(1, steps + 1):
         s = _sigmoid(np.bincount(sentence, w[column], len(bag)) + b)
         p = np.clip(-np.expm1(np.bincount(bag, np.log1p(-np.minimum(s, 1 - 1e-12)), len(bags))), 1e-9, 1)
-        slope = s * ((p - y) / p)[bag] / len(bags)
+        slope = s * ((p - y) / p * weight)[bag]
         g = np.append(np.bincount(column, slope[sentence], len(keys)) + ridge * w + lasso * np.sign(w), slope.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
@@ -130,7 +138,13 @@ def fit_bags(bags: list[tuple[int, int, np.ndarray, np.ndarray]], min_docs: int
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample_docs: int = 3000, **options) -> Model:
     """A model from at most ``sample_docs`` labelled documents (those whose ids hash lowest)."""
     known = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
-    known = known.orderBy(F.xxhash64("i"), "i").limit(sample_docs)
+    total = {r.y: r.n for r in known.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    # half of each label if there are so many; what one lacks the other may have
+    some = min(total.get(1, 0), max(sample_docs // 2, sample_docs - total.get(0, 0)))
+    half = {1: some, 0: min(total.get(0, 0), sample_docs - some)}
+    drawn = [known.where(F.col("y") > 0 if y else F.col("y") <= 0).orderBy(F.xxhash64("i"), "i").limit(n).withColumn("y", F.lit(y)) for y, n in half.items()]
+    known = drawn[0].unionByName(drawn[1])
+    share = {y: total.get(y, 0) / max(n, 1) for y, n in half.items()}
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(known), "i")  # sample_docs rows at most
     schema = T.StructType([T.StructField("i", T.StringType()), T.StructField("y", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("sentences", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
 
@@ -138,15 +152,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         s = Sentences(texts)
         per = np.bincount(s.of, minlength=s.rows)
         base = starts(per)
-        row = s.of[s.sentence] if len(s.of) else s.sentence
-        order = np.argsort(row, kind="stable")
+        # each feature of a sentence once
+        order = np.lexsort((s.hash, s.sentence))
+        sentence, h = s.sentence[order], s.hash[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (np.diff(sentence) > 0) | (h[1:] != h[:-1])
+        sentence, h = sentence[new], h[new]
+        row = s.of[sentence] if len(s.of) else sentence
         cut = starts(np.bincount(row, minlength=s.rows))
-        local, h = (s.sentence - base[row])[order].astype(np.int32), s.hash[order]
+        local = (sentence - base[row]).astype(np.int32)
         return [i, y, pa.array(per.astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()) for x in (local, h))]
 
     got = explode_blocks(rows.select(F.col("i").cast("string").alias("i"), "y", "t"), "t", ["i", "y"], schema, bags).collect()
-    got.sort(key=lambda r: (r.i, bytes(r.hashes)))
-    return fit_bags([(r.y, r.n, np.frombuffer(r.sentences, np.int32).astype(np.int64), np.frombuffer(r.hashes, U)) for r in got], **options)
+    bags = sorted(((r.y, r.n, np.frombuffer(r.sentences, np.int32), np.frombuffer(r.hashes, U), r.i) for r in got), key=lambda b: (b[4], b[3].tobytes()))
+    return fit_bags([b[:4] for b in bags], share, **options)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, sentences: bool = False, threshold: float = 0.5) -> DataFrame:
