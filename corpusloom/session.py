@@ -6,10 +6,10 @@ from pyspark.sql import SparkSession
 
 
 def session(app: str = "corpusloom", master: str | None = None, **conf: str) -> SparkSession:
-    """A session in UTC with adaptive execution; ``conf`` keys take underscores for dots."""
+    """A session in UTC with adaptive execution; ``conf`` keys may have underscores for dots."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
-        builder = builder.config(key.replace("_", "."), value)
+        builder = builder.config(key if "." in key else key.replace("_", "."), value)
     return builder.getOrCreate()

@@ -3,8 +3,7 @@
 import os
 
 import pytest
-from conftest import DATA
-from oracle import duck, spark_rows
+from oracle import DATA, duck, spark_rows
 
 from corpusloom.plans import registry
 
