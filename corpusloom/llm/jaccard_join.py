@@ -9,15 +9,16 @@ the two sizes together; a tree whose boxes keep their largest counts and smalles
 nodes at once.  What survives is verified on the sets themselves.
 
 The trees are built over candidate components, so that no node is compared with the whole corpus: two sets of
-similarity t share one of the first ``size - ceil(t size) + 1`` shingles in any fixed order, here by hash with
-shingles found frequent in a sample last (the order decides cost, never results).  Nodes that share such a shingle
-are joined to the smallest among them - a row a shingle, no pairs - and the components of these links hold every
-true link.  Inside a component a breadth-first search compares a node only with nodes not reached yet, so a group
+similarity t share one of the first ``size - ceil(t size) + 1`` shingles in any fixed order.  The order here is
+rarest first, as far as three eighths of all shingles (by hash) tell, which are counted over all nodes: those that
+one node has come first, and as they meet nothing they aren't sent on.  (The order decides cost, never results.)
+Nodes that share a shingle of these prefixes are joined to the smallest among them - a row a shingle, no pairs -
+and the components of these links hold every true link.  Inside a component a breadth-first search compares a node only with nodes not reached yet, so a group
 of copies costs about one pass.
 
-Components beyond ``BLOCK`` shingles are dealt to blocks: each block is searched alone, then every block is searched
-for the blocks' main members, and then for the nodes that still stand apart from the largest part; that is exact
-too, and only those last nodes meet every block.
+Components beyond ``BLOCK`` shingles are dealt to blocks of like sizes: each block is searched alone, then those of
+fitting sizes are searched for the component's main member, and then for the nodes that still stand apart from its
+largest part; that is exact too, and only those last nodes meet further blocks.
 
 Defined cases: null and empty texts have no shingles and link with nothing, not even each other; a text of fewer
 than n words is one shingle of all its words; repeated rows are one node and give a row each; a null id takes part,
@@ -30,21 +31,28 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .blocks import LOWER, SOLID, U, Block, checkpointed, explode_blocks, map_blocks, mix, reach, starts
+from .blobs import LOW6, by_key, schema, six, table, unsix, within
+from .blocks import SOLID, U, Block, checkpointed, map_blocks, mix, pieces, reach, starts
 from .graph import components
 
 GROUPS = 64
 FANOUT = 16
 #: Shingles (8 bytes each) of one task's share of candidates, and of a block of a larger component.
-BLOCK = 1 << 21
+BLOCK = 1 << 23
+#: Ratio of the sizes that part a larger component's blocks.
+SIZE_STEP = 1.12
 #: Rows of the candidates' table that are sent to all tasks; more are joined by shuffle.
 BROADCAST_ROWS = 1 << 18
-#: Documents looked at to order frequent shingles last, and how many of those shingles are kept.
-SAMPLE, FREQUENT = 6000, 1 << 18
+#: A counted shingle that more nodes have comes last in the order.
+BUSY = 64
+#: Text of one task's documents.
+BUCKET_BYTES = 8 << 20
 
 
 def shingles(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -69,14 +77,23 @@ def signature(own: np.ndarray) -> int:
     return int(mix((mix(own ^ U(0x2545F4914F6CDD1D)).sum(dtype=U) + U(len(own))).reshape(1))[0].astype(np.int64))
 
 
-def prefix(own: np.ndarray, least: float, late: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the common order, as many as a similar set must meet."""
+def counted(own: np.ndarray) -> np.ndarray:
+    """Which shingles' nodes are counted: three eighths, by hash."""
+    return (own & U(7)) < 3
+
+
+def prefix(own: np.ndarray, least: float, rare: np.ndarray, busy: np.ndarray) -> np.ndarray:
+    """Those of a set's first shingles in the common order that another set may have.
+
+    ``rare`` and ``busy`` hold the counted shingles of several nodes.  In order: counted ones of this node alone,
+    rare ones, uncounted ones, busy ones, each by hash.
+    """
     n = len(own)
     size = n - math.ceil(least * n - 1e-9) + 1
-    if len(late) and n:
-        at = np.minimum(np.searchsorted(late, own), len(late) - 1)
-        own = own[np.argsort(late[at] == own, kind="stable")]
-    return own[:size]
+    low = own & LOW6
+    kind = np.where(counted(own), np.where(within(low, busy), 3, np.where(within(low, rare), 1, 0)), 2)
+    first = np.argsort(kind, kind="stable")[:size]
+    return own[first[kind[first] > 0]]
 
 
 class Tree:
@@ -159,9 +176,10 @@ def search_for(queries: list[tuple[int, np.ndarray]], labels: np.ndarray, sets:
 
 
 _SET = T.StructType([T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
-_KEYS = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType())])
+#: Not nullable, so that both sides of the self-join read one exchange.
+_KEYS = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("node", T.LongType(), False)])
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-_BODY = T.StructType([T.StructField("body", T.BinaryType())])
+_BODY = T.StructType([T.StructField("_node", T.LongType()), T.StructField("body", T.BinaryType())])
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -174,39 +192,70 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return map_blocks(docs, "text", ["doc"], _SET, fn)
 
 
-def _frequent(docs: DataFrame, n: int, total: int) -> np.ndarray:
-    """Shingles that three or more of about ``SAMPLE`` documents share."""
-    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(total, 1))))
-
-    def fn(texts: pa.Array, _: pa.Array) -> list[pa.Array]:
-        return [pa.array(np.concatenate([*shingles(texts, n), np.zeros(0, U)]).view(np.int64))]
-
-    one = T.StructType([T.StructField("key", T.LongType())])
-    rows = explode_blocks(part.dropDuplicates(["text"]), "text", ["doc"], one, fn).groupBy("key").count().where("count >= 3").orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
-    return np.sort(np.array([r.key for r in rows], np.int64).view(U))
-
-
-def _prefixes(docs: DataFrame, n: int, percent: int, late: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(late)
-
-    def fn(texts: pa.Array, _: pa.Array) -> list[pa.Array]:
-        own = shingles(texts, n)
-        # a block's exact copies once
-        distinct = {signature(s): s for s in own if len(s)}
-        keys = [prefix(s, percent / 100, shared.value) for s in distinct.values()]
-        return [pa.array(np.concatenate([*keys, np.zeros(0, U)]).view(np.int64)), pa.array(np.repeat(np.array(list(distinct), np.int64), [len(k) for k in keys]))]
-
-    return explode_blocks(docs, "text", ["doc"], _KEYS, fn)
+_SEEN = schema(bucket=T.LongType(), home=T.LongType(), keys=T.BinaryType())
+_MARK = schema(home=T.LongType(), docs=T.BinaryType(), rare=T.BinaryType(), busy=T.BinaryType())
+
+
+def _prefixes(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """key, node of the prefixes' shingles, from the first document of each node."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, math.ceil(size / BUCKET_BYTES))
+    home = F.pmod(F.shiftright("doc", 6), F.lit(buckets))
+    # the texts are dealt once; both visits read the same exchange
+    dealt = docs.where("doc is not null").select(home.alias("home"), "doc", "text").groupBy("home")
+    none = F.lit(b"")
+    firsts = nodes.where("doc is not null").select(home.alias("home"), F.to_binary(F.lpad(F.hex("doc"), 16, "0"), F.lit("hex")).alias("docs"), none.alias("rare"), none.alias("busy"))
+
+    def wanted(texts: pa.Table, marks: pa.Table):
+        """(node's shingles) of this home's first documents, once each."""
+        ids = np.unique(np.frombuffer(b"".join(marks.column("docs").to_pylist()), ">i8"))
+        keep = np.isin(texts.column("doc").to_numpy(), ids)
+        texts, seen = texts.filter(pa.array(keep)), set()
+        if texts.num_rows:
+            own = texts.column("text").combine_chunks()
+            for i, j in pieces(own):
+                for s in shingles(own.slice(i, j - i), n):
+                    node = signature(s)
+                    if len(s) and node not in seen:
+                        seen.add(node)
+                        yield node, s
+
+    def seen(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        if not texts.num_rows or not marks.num_rows:
+            return table(_SEEN, [])
+        h = np.concatenate([np.zeros(0, U), *(s[counted(s)] for _, s in wanted(texts, marks))])
+        where, to = texts.column("home")[0].as_py(), ((h >> U(3)) % U(buckets)).astype(np.int64)
+        return table(_SEEN, [(int(to[i[0]]), where, six(h[i])) for i in by_key(to)])
+
+    def shared(t: pa.Table) -> pa.Table:
+        own = [unsix(x) for x in t.column("keys").to_pylist()]
+        keys, times = np.unique(np.concatenate(own), return_counts=True)
+        rare, busy = keys[(times > 1) & (times <= BUSY)], keys[times > BUSY]
+        return table(_MARK, [(where, b"", six(np.unique(x[within(x, rare)])), six(np.unique(x[within(x, busy)]))) for where, x in zip(t.column("home").to_pylist(), own, strict=True)])
+
+    def keys(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        if not texts.num_rows or not marks.num_rows:
+            return table(_KEYS, [])
+        rare, busy = (np.unique(unsix(b"".join(marks.column(c).to_pylist()))) for c in ("rare", "busy"))
+        found = [(node, prefix(s, percent / 100, rare, busy)) for node, s in wanted(texts, marks)]
+        key = np.concatenate([np.zeros(0, U), *(k for _, k in found)]).view(np.int64)
+        node = np.repeat(np.array([x for x, _ in found], np.int64), [len(k) for _, k in found])
+        return pa.Table.from_arrays([pa.array(key), pa.array(node)], schema=to_arrow_schema(_KEYS))
+
+    marks = dealt.cogroup(firsts.groupBy("home")).applyInArrow(seen, _SEEN).groupBy("bucket").applyInArrow(shared, _MARK)
+    return dealt.cogroup(marks.unionByName(firsts).groupBy("home")).applyInArrow(keys, _KEYS)
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame, n: int, small: bool) -> DataFrame:
-    """Columns of ``wanted`` (by doc) with ``body``, the node's shingles as bytes."""
-    rows = docs.join(F.broadcast(wanted) if small else wanted, "doc").dropDuplicates(["doc"])
+    """Columns of ``wanted`` (by doc and node) with ``body``, the node's shingles as bytes."""
+    rows = docs.join(F.broadcast(wanted) if small else wanted, "doc")
 
     def fn(texts: pa.Array) -> list[pa.Array]:
-        return [pa.array([s.tobytes() for s in shingles(texts, n)], pa.binary())]
+        own = shingles(texts, n)
+        return [pa.array([signature(s) if len(s) else None for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())]
 
-    return map_blocks(rows, "text", [c for c in wanted.columns if c != "doc"], _BODY, fn)
+    # rows that share an id may differ in text; equal ones only repeat a node
+    return map_blocks(rows, "text", [c for c in wanted.columns if c != "doc"], _BODY, fn).where("_node = node").drop("_node")
 
 
 def _sets_of(table: pa.Table, column: str = "body") -> list[np.ndarray]:
@@ -220,8 +269,7 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int =
     docs = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     own = checkpointed(_sets(docs, n))
     nodes = own.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"))
-    late = _frequent(docs, n, own.count())
-    keys = _prefixes(docs, n, percent, late)
+    keys = _prefixes(docs, nodes, n, percent)
     # node ids meet at each shingle's smallest: one shuffle of keys serves both sides
     keys = keys.repartition("key")
     low = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key", "a")
@@ -233,14 +281,18 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int =
     if not total.t:
         return own, near.limit(0)
     bins = max(1, math.ceil(total.t / BLOCK))
-    # small components share bins; a large one has blocks of its own
-    share = F.when(F.col("total") <= BLOCK, F.pmod(F.xxhash64("part"), F.lit(bins)).cast("string")).otherwise(F.concat_ws("/", "part", F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / BLOCK).cast("long"))))
-    placed = member.join(size, "part").select("doc", "node", "part", share.alias("bin"), (F.col("total") > BLOCK).alias("large"))
+    # small components share bins; a large one is dealt by size, as only sizes within the similarity can link
+    place = F.floor(F.log("n") / F.lit(math.log(SIZE_STEP))).cast("long")
+    crowd = member.join(size.where(F.col("total") > BLOCK), "part").groupBy("part", place.alias("class")).agg(F.ceil(F.sum("n") / BLOCK).alias("split"))
+    own_bin = F.concat_ws("/", F.col("part").cast("string"), F.col("class").cast("string"), F.pmod(F.xxhash64("node"), F.col("split")).cast("string"))
+    placed = member.withColumn("class", place).join(crowd, ["part", "class"], "left").select("doc", "node", "part", "class", "n", F.when(F.col("split").isNotNull(), own_bin).otherwise(F.pmod(F.xxhash64("part"), F.lit(bins)).cast("string")).alias("bin"), F.col("split").isNotNull().alias("large"))
+    placed = checkpointed(placed)
     small = placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    bodies = _bodies(docs.where("doc is not null"), placed, n, small)
+    # dealt once: a checkpoint keeps its partitioning, so no later visit moves the sets again
+    bodies = checkpointed(_bodies(docs.where("doc is not null"), placed.select("doc", "node", "part", "bin"), n, small).repartition(max(bins, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bin"))
 
-    def local(table: pa.Table) -> pa.Table:
-        part, node, sets = table.column("part").to_numpy(), table.column("node").to_numpy(), _sets_of(table)
+    def local(t: pa.Table) -> pa.Table:
+        part, node, sets = t.column("part").to_numpy(), t.column("node").to_numpy(), _sets_of(t)
         a, b = [], []
         order = np.argsort(part, kind="stable")
         for own_ in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
@@ -249,28 +301,38 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int =
                 b.append(node[own_])
         return pa.table({"a": pa.array(np.concatenate([*a, np.zeros(0, np.int64)])), "b": pa.array(np.concatenate([*b, np.zeros(0, np.int64)]))})
 
-    if total.m <= BLOCK:
-        return own, components(bodies.groupBy("bin").applyInArrow(local, _PAIR))
-    bodies = checkpointed(bodies)
     found = checkpointed(bodies.groupBy("bin").applyInArrow(local, _PAIR))
+    large = placed.where("large")
+    if total.m <= BLOCK:
+        return own, components(found)
+
+    def across(t: pa.Table, more: pa.Table) -> pa.Table:
+        """Links between the nodes of a bin (left) and the queries among the right rows; the others there are labels."""
+        kinds = more.column("query").is_valid()
+        queries, labels = more.filter(kinds), more.filter(pc.invert(kinds))
+        if not t.num_rows or not queries.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        of = dict(zip(labels.column("who").to_pylist(), labels.column("label").to_pylist(), strict=True))
+        own_ = np.array([of.get(x, x) for x in t.column("node").to_pylist()], np.int64)
+        asked = list(zip(queries.column("label").to_pylist(), _sets_of(queries, "query"), strict=True))
+        pairs = sorted(search_for(asked, own_, _sets_of(t), percent))
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+
     for everyone in (False, True):
-        # first the main members of each block, then all nodes that still stand apart from their component's largest part
-        known = components(found)
-        labelled = bodies.where("large").join(known, bodies["node"] == known["u"], "left").select("part", "bin", "node", F.coalesce("root", "node").alias("label"), "body")
-        weight = labelled.groupBy("part", "label").agg(F.count("*").alias("c"), F.min("node").alias("first"))
-        main = weight.groupBy("part").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-        if everyone:
-            asked = labelled.join(main, "part").where("label <> main").select("part", "label", "body")
-        else:
-            asked = labelled.join(weight.groupBy("part").agg(F.max_by("first", F.struct("c", "first")).alias("node")).select("node"), "node", "left_semi").select("part", "label", "body")
-        blocks = labelled.select("part", "bin").distinct()
-
-        def across(table: pa.Table, queries: pa.Table) -> pa.Table:
-            asked_ = list(zip(queries.column("from").to_pylist(), _sets_of(queries, "query"), strict=True))
-            pairs = sorted(search_for(asked_, table.column("label").to_numpy(), _sets_of(table), percent)) if table.num_rows else []
-            return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
-
-        met = labelled.groupBy("bin").cogroup(asked.join(blocks, "part").select(F.col("bin").alias("to"), F.col("label").alias("from"), F.col("body").alias("query")).groupBy("to")).applyInArrow(across, _PAIR)
+        # first the main members of each component, then all nodes that still stand apart from its largest part
+        labelled = large.join(components(found), F.col("node") == F.col("u"), "left").select("part", "bin", "class", "node", "n", F.coalesce("root", "node").alias("label"))
+        weight = labelled.groupBy("part", "label").agg(F.count("*").alias("c"), F.max_by("node", "n").alias("one"))
+        main = weight.groupBy("part").agg(F.max_by(F.struct("label", "one"), F.struct("c", "label")).alias("main"))
+        asked = labelled.join(main, "part").where(F.col("label") != F.col("main.label") if everyone else F.col("node") == F.col("main.one"))
+        low, high = (F.floor(F.log(F.col("n") * F.lit(x)) / F.lit(math.log(SIZE_STEP))).cast("long") for x in (percent / 100 * 0.999, 100 / percent * 1.001))
+        routes = asked.select("part", "node", "label", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)).alias("class")).join(labelled.select("part", "class", "bin").distinct(), ["part", "class"])
+        who = asked.select("node").distinct()
+        few = who.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        # the few sets asked for are picked where they lie
+        asked_sets = bodies.join(F.broadcast(who) if few else who, "node", "left_semi").select("node", F.col("body").alias("query"))
+        sent = routes.select("node", "label", F.col("bin").alias("to")).join(asked_sets, "node").select("to", F.col("node").alias("who"), "label", "query")
+        told = labelled.where("label <> node").select(F.col("bin").alias("to"), F.col("node").alias("who"), "label", F.lit(None).cast("binary").alias("query"))
+        met = bodies.groupBy("bin").cogroup(sent.unionByName(told).groupBy("to")).applyInArrow(across, _PAIR)
         found = checkpointed(found.unionByName(met))
     return own, components(found)
 
