@@ -6,6 +6,7 @@ least, however long), so memory follows the block and not the batch.  A null tex
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 U = np.uint64
+_libc = ctypes.CDLL(None)
 BLOCK_BYTES = 1 << 19
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
@@ -49,6 +51,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """What makes the difference of two prefix sums the same wherever its stretch begins."""
+    return _power(n)[1]
+
+
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """S with S[j] = sum of values[i] * base^i over i < j; ``span_hash`` reads any stretch from it."""
     out = np.zeros(len(values) + 1, U)
@@ -130,6 +137,13 @@ def lists(values: pa.Array | np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts(counts).astype(np.int32)), pa.array(values))
 
 
+def tidy() -> None:
+    """Give freed memory back, so that a Python worker between tasks holds little."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def reach(spark) -> None:
     """Let Python workers on this machine find the package; a cluster gets it by --py-files or its image."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
@@ -157,6 +171,7 @@ def map_blocks(df: DataFrame, text: str, keep: list[str], fields: T.StructType,
             texts = b.column(text)
             for i, j in pieces(texts, limit):
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in keep), *fn(texts.slice(i, j - i))], names=schema.names)
+        tidy()
 
     reach(df.sparkSession)
     return source.mapInArrow(run, schema)
@@ -172,6 +187,7 @@ def explode_blocks(df: DataFrame, text: str, keep: list[str], schema: T.StructTy
                 out = fn(texts.slice(i, j - i), *(b.column(c).slice(i, j - i) for c in keep))
                 if out is not None and len(out[0]):
                     yield pa.RecordBatch.from_arrays(out, names=schema.names)
+        tidy()
 
     reach(df.sparkSession)
     return df.select(*(df[c] for c in dict.fromkeys([*keep, text]))).mapInArrow(run, schema)

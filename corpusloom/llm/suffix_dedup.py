@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import BYTE, U, Block, gather, pieces, prefix_sums, reach, span_hash, starts
+from .blocks import BYTE, U, Block, gather, inverse_powers, pieces, prefix_sums, reach, span_hash, starts
 
 LENGTH, GRAM = 50, 20
 HOT = 1 << 16
@@ -39,10 +39,20 @@ CHUNK = 1 << 19
 #: Text of one task's documents, and anchors gathered before a task writes its blobs.
 BUCKET_BYTES, FLUSH = 8 << 20, 1 << 19
 _LAST = (1 << 63) - 1
-_PIECE = 1 << 19
+_PIECE = 1 << 18
 _LOW6 = U((1 << 48) - 1)
 
 
+def rolling(sums: np.ndarray) -> np.ndarray:
+    """Hashes of all grams, in place: any order that all texts share will do."""
+    g = sums[GRAM:] - sums[:-GRAM]
+    g *= inverse_powers(len(g))
+    g ^= g >> U(32)
+    g *= U(0xD6E8FEB86659FD93)
+    g ^= g >> U(29)
+    return g
+
+
 def anchors(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first and last start of the strings it anchors, row, prefix sums) for each anchor of a block."""
     sums = prefix_sums(BYTE[b.buf])
@@ -50,25 +60,27 @@ def anchors(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, n
     n = len(b.buf)
     if n < LENGTH:
         return none.astype(U), none, none, none, sums
-    i = np.arange(n - GRAM + 1)
-    g = span_hash(sums, i, i + GRAM)
-    low, width, size = g, LENGTH - GRAM + 1, 1
+    g = rolling(sums)
+    width, size = LENGTH - GRAM + 1, 1
+    low = g
     while 2 * size <= width:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     if width > size:
         low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
-    row = np.repeat(np.arange(b.rows), np.diff(b.off))
-    inside = np.flatnonzero(row[: n - LENGTH + 1] == row[LENGTH - 1 :])
-    if not len(inside):
-        return none.astype(U), none, none, none, sums
-    h = low[inside]
-    new = np.ones(len(h), bool)
-    # a gap in the starts is a new text; a run of one hash longer than the window holds the gram twice
-    new[1:] = (h[1:] != h[:-1]) | (np.diff(inside) > 1)
+    # a start counts if its string ends in the same row; a run ends where the hash or the row does
+    new = np.empty(len(low) + 1, bool)
+    new[0] = new[-1] = True
+    np.not_equal(low[1:], low[:-1], out=new[1:-1])
+    begin, end = b.off[:-1], np.maximum(b.off[1:] - LENGTH + 1, b.off[:-1])
+    new[begin[begin < len(new)]] = True
+    new[end[end < len(new)]] = True
     head = np.flatnonzero(new)
-    first, last = inside[head], inside[np.append(head[1:], len(h)) - 1]
-    return h[head], first, last, row[first], sums
+    first, last = head[:-1], head[1:] - 1
+    row = np.searchsorted(b.off, first, "right") - 1
+    own = first < end[row]
+    first, last, row = first[own], last[own], row[own]
+    return low[first], first, last, row, sums
 
 
 def cut_runs(h, first, last, row):
@@ -134,13 +146,24 @@ def suffix_ranks(s: np.ndarray, need: int) -> np.ndarray:
     zero = np.arange(0, n, 3)
     by_one = _pack(np.concatenate([t[zero], t[one]]), np.concatenate([rank[zero + 1], rank[one + 1]]))
     by_two = _pack(np.concatenate([t[zero], t[two]]), np.concatenate([t[zero + 1], t[two + 1]]), np.concatenate([rank[zero + 2], rank[two + 2]]))
-    z1, k1, z2, k2 = by_one[: len(zero)], by_one[len(zero) :], by_two[: len(zero)], by_two[len(zero) :]
-    below = lambda sorted_, x: np.searchsorted(sorted_, x)
-    s1, s2, r = np.sort(z1), np.sort(z2), np.sort(rank[sample])
+    z1, k1, z2, k2, r1, r2 = (_sorted(x) for x in (by_one[: len(zero)], by_one[len(zero) :], by_two[: len(zero)], by_two[len(zero) :], rank[one], rank[two]))
     out = np.zeros(n, np.int64)
-    out[zero] = below(s1, z1) + below(np.sort(k1), z1) + below(np.sort(k2), z2)
-    out[one] = below(r, rank[one]) + below(s1, k1)
-    out[two] = below(r, rank[two]) + below(s2, k2)
+    out[zero] = _below(z1, z1) + _below(k1, z1) + _below(k2, z2)
+    out[one] = _below(r1, r1) + _below(r2, r1) + _below(z1, k1)
+    out[two] = _below(r1, r2) + _below(r2, r2) + _below(z2, k2)
+    return out
+
+
+def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(x)
+    return order, x[order]
+
+
+def _below(values: tuple[np.ndarray, np.ndarray], x: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many values are smaller than each x, in the order that x had before it was sorted."""
+    out = np.empty(len(x[0]), np.int64)
+    # sorted needles walk the values once
+    out[x[0]] = np.searchsorted(values[1], x[1])
     return out
 
 
@@ -301,13 +324,8 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int
         which[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
         one, owner = order[head], low[order[head]]
         # contexts of one anchor go together: by the smallest gram, which all strings of a context have
-        gram = np.lib.stride_tricks.sliding_window_view(data, 1)[:, 0]
-        i = np.arange(max(len(gram) - GRAM + 1, 0))
-        g = span_hash(sums, i, i + GRAM)
-        spans_ = np.ravel(np.column_stack([off[one], off[one] + length[one] - GRAM + 1]))
-        if len(g) < len(data):
-            g = np.append(g, np.full(len(data) - len(g) + 1, ~U(0)))
-        anchor = np.minimum.reduceat(g, spans_)[::2]
+        g = np.append(rolling(sums), ~U(0))
+        anchor = np.minimum.reduceat(g, np.ravel(np.column_stack([off[:-1], off[1:] - GRAM + 1])))[::2][one]
         parts = max(1, math.ceil(length[one].sum() / CHUNK))
         found_at, found_first, found_last, found_owner = [], [], [], []
         for own in _split((anchor % U(parts)).astype(np.int64)):
