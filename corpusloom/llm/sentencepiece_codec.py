@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import BYTE, Block, gather, pieces, prefix_sums, reach, span_hash, starts
+from .blocks import BYTE, Block, gather, pieces, prefix_sums, reach, span_hash, starts, tidy
 
 #: Where the public vocabularies lie unless a caller names another model.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -42,8 +42,8 @@ MODEL_BYTES = 64 << 20
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE_PIECE = 1, 2, 3, 4, 5, 6
 _ENCODE_BYTES = 1 << 18
-#: Distinct words that a worker remembers.
-MEMO = 1 << 19
+#: Distinct words that a worker remembers within a task.
+MEMO = 1 << 18
 #: Threads of a worker's tokenizer, unless RAYON_NUM_THREADS says otherwise: more than a task's cores only spin.
 THREADS = 2
 
@@ -166,9 +166,9 @@ class Codec:
         # the memo stands for texts that are not normalised beyond the marker
         self.by_word = apart(m) and m["escape"] and m["dummy_prefix"] and not m["charsmap"] and not m["squeeze"]
         if self.by_word:
-            self.words = build(data)
-            self.words.normalizer = None
-            self.words.pre_tokenizer = None
+            # words come with their marker; decoding needs neither of the two
+            self.tokenizer.normalizer = None
+            self.tokenizer.pre_tokenizer = None
         self.prefix = m["dummy_prefix"]
         own = [bytes([int(p[3:5], 16)]) if kind == BYTE_PIECE else p.replace(MARK, " ").encode() if kind in (NORMAL, USER) else b"" for p, _, kind in m["pieces"]]
         self.plain = np.array([kind in (NORMAL, USER, BYTE_PIECE) for *_, kind in m["pieces"]])
@@ -181,7 +181,7 @@ class Codec:
         self.memo, self.ids, self.begin, self.count, self.same, self.used = {}, np.zeros(1 << 16, np.int32), np.zeros(MEMO, np.int64), np.zeros(MEMO, np.int64), np.ones(MEMO, bool), 0
 
     def learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.words.encode_batch_fast([w.decode().replace(" ", MARK) for w in words], add_special_tokens=False)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode().replace(" ", MARK) for w in words], add_special_tokens=False)]
         k, n = len(self.memo), len(words)
         count = np.fromiter(map(len, got), np.int64, n)
         end = self.used + int(count.sum())
@@ -299,6 +299,8 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, keep: list[s
                     same &= np.fromiter((x == y or " ⁇ " in y for x, y in zip(back, codec.processor.decode(own, num_threads=1), strict=True)), bool, n)
                     out["parity"] = pa.array(same)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in keep), *(out[n] for n in added)], names=schema.names)
+        codec.forget()
+        tidy()
 
     reach(docs.sparkSession)
     return source.mapInArrow(run, schema)
