@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value worked out once a row.
+
+    A column that a lambda refers to may be replaced by its expression when a filter moves below a projection, and
+    is then worked out for every element; a lambda's own variable never is.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words at any white space, Unicode's and the ASCII separators included."""
     return F.filter(F.split(F.lower(text), r"(?U)[\s\x1c-\x1f]+"), lambda x: x != "")
@@ -60,8 +71,7 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """A unit vector; zero stays zero."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
 
 
 def dot(a: Column, b: Column) -> Column:
