@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 
+from . import sql
 from .decontaminate import op7_benchmark_decontamination
 from .jaccard_join import op8_ngram_jaccard_join
 from .license_scan import op5_license_scan
@@ -27,6 +28,6 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(sql.SQL)
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
