@@ -109,9 +109,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rem
     ``remove="documents"`` drops contaminated rows; ``"spans"`` keeps them and cuts from the text each run of
     words hit, from its first byte to the last byte of its last word.
     """
+    # a column named like a result is put aside
+    aside = {c: f"_own_{c}" for c in docs.columns if c in _SCAN.names}
+    back = {v: k for k, v in aside.items()}
+    text = aside.get(text, text)
+    docs = docs.withColumnsRenamed(aside)
     out = scan(docs, benchmark, text, **options)
     if remove == "documents":
-        return out.where(~contaminated(percent)).select(*docs.columns)
+        return out.where(~contaminated(percent)).select(*docs.columns).withColumnsRenamed(back)
     if remove != "spans":
         raise ValueError(f"remove must be documents or spans, not {remove!r}")
     schema = T.StructType([*docs.schema.fields])
@@ -131,7 +136,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rem
                 new.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text else b.column(c) for c in schema.names], names=schema.names)
 
-    return out.select(*docs.columns, "hit_words").mapInArrow(cut, schema)
+    return out.select(*docs.columns, "hit_words").mapInArrow(cut, schema).withColumnsRenamed(back)
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

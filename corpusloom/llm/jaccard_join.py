@@ -346,9 +346,12 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest id, and one of several with that id."""
-    ids = classes(docs, text, doc_id, **options).where("doc <> component").select(F.col("doc").alias("_gone")).distinct()
-    left = docs.join(ids, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each component: that with the smallest id, and one of several with that id and text.
+
+    Rows with a null id stay: nothing tells them apart.
+    """
+    ids = classes(docs, text, doc_id, **options).where("doc <> component").select(F.col("doc").alias("id of a copy")).distinct()
+    left = docs.join(ids, F.col(doc_id) == F.col("id of a copy"), "left_anti")
     if docs.select(doc_id).groupBy(doc_id).count().where("count > 1").limit(1).count():
         left = left.dropDuplicates([doc_id, text])
     return left

@@ -158,3 +158,9 @@ def test_substring_dedup_finds_repeats_and_nothing_else(documents):
 @pytest.mark.parametrize("op", [suffix_dedup.spans, jaccard_join.classes, line_dedup.removed_lines, line_dedup.dedup, window_dedup.classes, jaccard_join.keep_first])
 def test_empty_tables(empty, op):
     assert op(empty).count() == 0
+
+
+def test_columns_named_like_results_in_dedup(documents):
+    docs = documents.withColumns({c: F.lit(7) for c in ["doc", "n", "node", "component", "home", "gone", "h", "no", "spans", "kept", "_doc", "_gone", "_new", "u", "root", "class"]})
+    assert suffix_dedup.spans(docs).count() == window_dedup.passages(docs).count() == jaccard_join.classes(docs).count() == docs.count()
+    assert jaccard_join.keep_first(docs).columns == line_dedup.dedup(docs).columns == docs.columns

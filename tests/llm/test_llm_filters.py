@@ -238,3 +238,19 @@ def test_toxicity_held_out_accuracy(spark):
     out = toxicity.op10_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     r = out.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("a"), F.count("*").alias("n")).first()
     assert r.n > 500 and r.a > 0.98
+
+
+def test_columns_named_like_results(spark, documents):
+    names = ["n_words", "hit_words", "items", "score", "predicted", "kept", "base_failed", "n_tokens", "ids", "path", "licence", "how", "host", "rule", "verdict", "doc", "node", "component", "home", "gone", "h"]
+    docs = documents.withColumns({c: F.lit(7) for c in names}).withColumn("url", F.lit("https://a.com/en/"))
+    n = docs.count()
+    bench = spark.createDataFrame([(1, "no such words")], "item_id long, text string")
+    assert decontaminate.scan(docs, bench).count() == n
+    for how in ("documents", "spans"):
+        kept = decontaminate.decontaminate(docs, bench, remove=how)
+        assert kept.columns == docs.columns and kept.where("hit_words = 7").count() == n
+    assert toxicity.score(docs, toxicity.fit(docs, bench.selectExpr("item_id as doc_id", "0 as toxic"))).count() == n
+    assert quality.judge(docs, quality.weights(docs, docs.select("doc_id"))).count() == n
+    assert sentencepiece_codec.encode(docs).where("n_tokens <> 7").count() > 0
+    assert license_scan.scan(docs, F.lit("a/b")).count() == n
+    assert url_filter.judge(docs).where("verdict in ('allow', 'block')").count() == n
