@@ -13,6 +13,8 @@ from .operators import bm25, catalog, chunking, evaluate, fusion, intent, manife
 from .sources import files as S
 
 Logit = Callable[..., object]
+GREETING_REPLY = "Hello! Ask me about the files, functions or structure of an indexed repository."
+NO_CONTEXT_REPLY = "The indexed files hold too little about this to answer."
 
 
 class Engine:
@@ -107,7 +109,7 @@ class Engine:
         return given.select(*cols).unionByName(ranked.select(*cols))
 
     def query(self, repo: str, questions: DataFrame) -> DataFrame:
-        """item_id, sufficient, prompt, answer; without enough context there is neither prompt nor answer."""
+        """item_id, sufficient, prompt, answer; greetings and questions without enough context get a fixed answer and no prompt."""
         size = self.chunks().where(F.col("repo_id") == repo).count()
         got = self.retrieve(repo, questions)
         enough = prompt.sufficient(got, corpus_size=size)
@@ -115,9 +117,11 @@ class Engine:
         kept = prompt.trim_greedy(tokens, "t").join(got, ["item_id", "rank"])
         block = prompt.format_chunk(F.col("new_rank"), F.col("rel_path"), F.col("start_line"), F.col("end_line"), F.col("chunk_type"), F.col("language"), F.col("text"))
         built = prompt.prompt(kept.select("item_id", F.col("new_rank").alias("rank"), block.alias("block")), questions)
-        out = questions.select("item_id").join(enough, "item_id", "left").join(built, "item_id")
-        good = F.coalesce("sufficient", F.lit(False))
-        return out.select("item_id", good.alias("sufficient"), F.when(good, F.col("prompt")).alias("prompt"), F.when(good, self.generate(F.col("prompt"))).alias("answer"))
+        greets = intent.is_conversational(F.col("question"))
+        out = questions.select("item_id", greets.alias("greets")).join(enough, "item_id", "left").join(built, "item_id")
+        good = F.coalesce("sufficient", F.lit(False)) & ~F.col("greets")
+        answer = F.when(F.col("greets"), GREETING_REPLY).when(good, self.generate(F.col("prompt"))).otherwise(NO_CONTEXT_REPLY)
+        return out.select("item_id", good.alias("sufficient"), F.when(good, F.col("prompt")).alias("prompt"), answer.alias("answer"))
 
     def evaluate(self, repo: str, golden: DataFrame, k: int = 5) -> DataFrame:
         """recall and mrr over ``golden`` (item_id, question, expected_file, expected_symbol, match_mode)."""

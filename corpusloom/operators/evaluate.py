@@ -39,3 +39,16 @@ def faithfulness(verdicts: DataFrame, verdict: str, by: str) -> DataFrame:
     """by, rate over the judged ones, judged, skipped."""
     v = F.col(verdict).cast("double")
     return verdicts.groupBy(by).agg(F.round(F.avg(v), 6).alias("rate"), F.count(v).alias("judged"), F.count_if(v.isNull()).alias("skipped"))
+
+
+def judge_prompts(answers: DataFrame, chunks: DataFrame, by: str = "item_id", most: int = 8, chars: int = 400) -> DataFrame:
+    """by, prompt: what a judge is shown of each answer - the first chunks, each clipped, and the answer."""
+    rows = F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", F.left("text", F.lit(chars)).alias("t")))))
+    context = chunks.groupBy(by).agg(F.array_join(F.transform(rows, lambda x: x["t"]), "\n---\n").alias("context"))
+    text = F.concat(F.lit("Context:\n"), F.coalesce("context", F.lit("")), F.lit("\n\nAnswer:\n"), "answer", F.lit("\n\nReply faithful or unfaithful."))
+    return answers.join(context, by, "left").select(by, text.alias("prompt"))
+
+
+def verdict(reply: Column) -> Column:
+    """True only for exactly the word faithful; null (an answer that could not be judged) stays null."""
+    return F.lower(F.trim(reply)) == "faithful"

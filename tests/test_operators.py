@@ -199,9 +199,21 @@ def test_engine_round_trip(spark, tmp_path):
     assert routes == {1: "file", 2: "structure", 3: "whole"}
     answers = {r.item_id: r for r in e.query("r1", q).collect()}
     assert all(a.sufficient for a in answers.values()) and "def login" in answers[1].answer
+    more = spark.createDataFrame([(4, "hello!"), (5, "how to login")], "item_id int, question string")
+    said = {r.item_id: r for r in e.query("r1", more).collect()}
+    assert not said[4].sufficient and said[4].prompt is None and said[4].answer.startswith("Hello") and said[5].sufficient
     e.ingest(df.where("repo_id = 'r2'"))
     assert {r.repo_id for r in e.list_repos().collect()} == {"r1", "r2"}
     e.delete_repo("r2")
     assert [r.repo_id for r in e.list_repos().collect()] == ["r1"] and e.health()["status"] == "ok"
     with pytest.raises(KeyError):
         e.delete_repo("r2")
+
+
+def test_judging(spark):
+    a = spark.createDataFrame([(1, "yes")], "item_id int, answer string")
+    c = spark.createDataFrame([(1, i, f"{i}" * 500) for i in range(1, 10)], "item_id int, rank int, text string")
+    p = evaluate.judge_prompts(a, c).first().prompt
+    assert p.count("---") == 7 and "9" not in p and "1" * 400 in p and "1" * 401 not in p
+    v = spark.createDataFrame([(" Faithful ",), ("unfaithful",), ("faithful.",), (None,)], "r string").select(evaluate.verdict(F.col("r")).alias("v"))
+    assert [r.v for r in v.collect()] == [True, False, False, None]
