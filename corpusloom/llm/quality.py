@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 BUCKETS = 1 << 14
 ALPHA = 0.5
 PRIOR = 50.0
@@ -34,48 +36,39 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def base_counts(text: str, words: str) -> dict[str, Column]:
-    """The contract's counts as columns over ``text`` and its ``words``."""
+def text_counts(text: str) -> dict[str, Column]:
+    """The contract's counts that need no words."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n = F.size(words)
-    window = F.transform(
-        F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.xxhash64(F.get(F.col(words), i), F.get(F.col(words), i + 1), F.get(F.col(words), i + 2)).alias("h"), i.alias("i")),
-    )
     return {
         "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "_windows": F.sort_array(window),
+        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     }
 
 
-def _repeat_words() -> Column:
-    """Words under the windows of ``_windows`` (sorted by hash) whose hash stands beside an equal one."""
-    twice = F.filter(
-        F.transform(
-            "_windows",
-            lambda w, k: F.when(
-                (w["h"] == F.get(F.col("_windows"), k + 1)["h"]) | ((k > 0) & (w["h"] == F.get(F.col("_windows"), F.greatest(k - 1, F.lit(0)))["h"])),
-                w["i"],
-            ),
-        ),
-        lambda i: i.isNotNull(),
-    )
+def _places(n: Column, size: int) -> Column:
+    """Where each of the windows of ``size`` words begins."""
+    return F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+
+
+def repeat_words(words: Column) -> Column:
+    """Words under the 3-word windows that the text holds twice or more: in hash order, equal ones stand side by side."""
+    windows = F.sort_array(F.transform(_places(F.size(words), 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))))
+
+    def twice(v: Column) -> Column:
+        same = lambda w, k: (w["h"] == F.get(v, k + 1)["h"]) | ((k > 0) & (w["h"] == F.get(v, F.greatest(k - 1, F.lit(0)))["h"]))
+        return F.sort_array(F.filter(F.transform(v, lambda w, k: F.when(same(w, k), w["i"])), lambda i: i.isNotNull()))
+
     # positions in order; each window adds the words after the end of the one before
     start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
-    return F.aggregate(F.sort_array(twice), start, lambda s, i: F.struct((s["n"] + F.least(F.lit(3), i - s["last"])).alias("n"), i.alias("last")), lambda s: s["n"].cast("long"))
+    return F.aggregate(let(windows, twice), start, lambda s, i: F.struct((s["n"] + F.least(F.lit(3), i - s["last"])).alias("n"), i.alias("last")), lambda s: s["n"].cast("long"))
 
 
-def buckets_of(words: str) -> Column:
+def buckets_of(words: Column) -> Column:
     """Bucket of each word and of each pair of neighbours."""
-    n = F.size(words)
     ones = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    pairs = F.transform(
-        F.when(n >= 2, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.pmod(F.xxhash64(F.get(F.col(words), i), F.get(F.col(words), i + 1)), F.lit(BUCKETS)).cast("int"),
-    )
+    pairs = F.transform(_places(F.size(words), 2), lambda i: F.pmod(F.xxhash64(F.get(words, i), F.get(words, i + 1)), F.lit(BUCKETS)).cast("int"))
     return F.concat(ones, pairs)
 
 
@@ -89,8 +82,7 @@ def weights(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str
         good = F.broadcast(good)
 
     def counted(rows: DataFrame, name: str) -> DataFrame:
-        words = rows.select(words_of(F.col("_text")).alias("_words"))
-        return words.select(F.explode(buckets_of("_words")).alias("b")).groupBy("b").agg(F.count("*").alias(name))
+        return rows.select(F.explode(let(words_of(F.col("_text")), buckets_of)).alias("b")).groupBy("b").agg(F.count("*").alias(name))
 
     ids = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     raw, target = counted(ids, "raw"), counted(ids.join(good, "_id", "left_semi"), "target")
@@ -105,12 +97,15 @@ def judge(docs: DataFrame, model: DataFrame, text: str = "text", keep: list[str]
     """``keep`` columns (all by default) with n_words, the base counts, base_failed, score and kept."""
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    first = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text).alias("_text")).withColumn("_words", words_of(F.col("_text")))
     # a higher-order function takes no subquery, so the model is a column first; no exchange follows
-    counted = first.withColumns(base_counts("_text", "_words") | {"_w": model.scalar()})
-    total = F.aggregate(buckets_of("_words"), F.lit(0.0), lambda s, b: s + F.get(F.col("_w"), b))
-    n = F.size("_words").cast("long")
-    counted = counted.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", _repeat_words().alias("n_repeat_words"), (total / (F.greatest(2 * n - 1, F.lit(0)) + PRIOR)).alias("score"))
+    first = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text).alias("_text")).withColumn("_w", model.scalar())
+
+    def by_words(w: Column) -> Column:
+        total = F.aggregate(buckets_of(w), F.lit(0.0), lambda s, b: s + F.get(F.col("_w"), b))
+        return F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("repeats"), total.alias("total"))
+
+    counted = first.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), *(v.alias(k) for k, v in text_counts("_text").items()), let(words_of(F.col("_text")), by_words).alias("_r"))
+    counted = counted.withColumns({"n_words": F.col("_r.n"), "n_repeat_words": F.col("_r.repeats"), "score": F.col("_r.total") / (F.greatest(2 * F.col("_r.n") - 1, F.lit(0)) + PRIOR)})
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold)).select(*keep, *new)
 
