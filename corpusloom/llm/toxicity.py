@@ -12,7 +12,7 @@ broadcast model is at most 16 bytes times that.
 
 Defined cases: a null or empty text has no sentence and scores 0; labels that are null, or whose document is
 missing, teach nothing; of several labels of one document the largest holds; with no labelled document every
-weight is 0 and the prior decides; every input row gives one row; a column named like a result gives way.
+score is about 0; every input row gives one row; a column named like a result gives way.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ class Model:
         return -np.expm1(np.bincount(s.of, np.log1p(-np.minimum(scores, 1 - 1e-15)), s.rows))
 
 
-def fit_bags(bags: list[tuple[int, int, np.ndarray, np.ndarray]], share: dict[int, float] | None = None, min_docs: int = 5, steps: int = 150, rate: float = 0.15, lasso: float = 2e-5, ridge: float = 1e-5) -> Model:
+def fit_bags(bags: list[tuple[int, int, np.ndarray, np.ndarray]], share: dict[int, float] | None = None, min_docs: int = 3, steps: int = 300, rate: float = 0.15, lasso: float = 5e-5, ridge: float = 1e-5) -> Model:
     """From (label, number of sentences, sentence and hash of each feature) of each document.
 
     ``share`` has the number of documents that one of each label stands for.
@@ -100,7 +100,7 @@ def fit_bags(bags: list[tuple[int, int, np.ndarray, np.ndarray]], share: dict[in
     Features whose weight ends at 0 leave the model.
     """
     if not bags:
-        return Model(np.zeros(0, U), np.zeros(0), -6.0)
+        return Model(np.zeros(0, U), np.zeros(0), -20.0)
     y = np.array([b[0] for b in bags], float)
     per = np.array([b[1] for b in bags])
     base = starts(per)
