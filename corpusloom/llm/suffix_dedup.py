@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import BYTE, U, Block, gather, inverse_powers, pieces, prefix_sums, reach, span_hash, starts
+from .blocks import BYTE, U, Block, gather, inverse_powers, pieces, prefix_sums, reach, span_hash, starts, tidy
 
 LENGTH, GRAM = 50, 20
 HOT = 1 << 16
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Text of one task's documents, and anchors gathered before a task writes its blobs.
 BUCKET_BYTES, FLUSH = 8 << 20, 1 << 19
 _LAST = (1 << 63) - 1
@@ -286,6 +286,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int
         return _table(_SHARED, rows)
 
     def contexts(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        tidy()
         if not texts.num_rows or not marks.num_rows:
             return _table(_CONTEXT, [])
         busy = np.unique(np.concatenate([unsix(x) for x in marks.column("hot").to_pylist()]))
@@ -310,6 +311,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int
         return _table(_CONTEXT, rows)
 
     def answers(table: pa.Table) -> pa.Table:
+        tidy()
         data = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint8)
         length = np.frombuffer(b"".join(table.column("size").to_pylist()), np.uint8).astype(np.int64)
         low, more = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("low", "more"))
@@ -326,6 +328,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int
         # contexts of one anchor go together: by the smallest gram, which all strings of a context have
         g = np.append(rolling(sums), ~U(0))
         anchor = np.minimum.reduceat(g, np.ravel(np.column_stack([off[:-1], off[1:] - GRAM + 1])))[::2][one]
+        del g, sums, order
         parts = max(1, math.ceil(length[one].sum() / CHUNK))
         found_at, found_first, found_last, found_owner = [], [], [], []
         for own in _split((anchor % U(parts)).astype(np.int64)):
@@ -362,6 +365,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int
         def joined(name: str, kind) -> np.ndarray:
             return np.frombuffer(b"".join(found.column(name).to_pylist()), kind)
 
+        tidy()
         if not texts.num_rows:
             return _table(_OUT, [])
         key, first, last, owner = joined("key", U), joined("first", np.uint8).astype(np.int64), joined("last", np.uint8).astype(np.int64), joined("owner", np.int64)
