@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +21,18 @@ def norms(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = config.DENSE_K, key: str = "vec_id", vector: str = "embedding", by: str = "query_id", limit: int = 10_000) -> DataFrame:
-    """by, key, score, rank: exact cosine of a stated set of queries (``limit`` at most, so that it may be sent to all tasks)."""
+    """by, key, score, rank: exact cosine of a stated set of queries, sent to all tasks in parts of about ``limit``."""
     asked = queries.select(F.col(by), X.l2_normalize(F.col(vector)).alias("_q"))
-    if asked.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} queries at once; ask in parts")
     unit = vectors.select(key, X.l2_normalize(F.col(vector)).alias("_v"))
-    scored = unit.join(F.broadcast(asked), F.size("_v") == F.size("_q")).select(by, key, F.round(X.dot(F.col("_v"), F.col("_q")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    parts = max(1, -(-asked.count() // limit))
+
+    def part(p: int) -> DataFrame:
+        own = asked.where(F.pmod(F.xxhash64(by), F.lit(parts)) == p)
+        scored = unit.join(F.broadcast(own), F.size("_v") == F.size("_q")).select(by, key, F.round(X.dot(F.col("_v"), F.col("_q")), 6).alias("score"))
+        rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), key))
+        return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, map(part, range(parts)))
 
 
 def hashed(docs: DataFrame, buckets: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:

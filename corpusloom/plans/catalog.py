@@ -82,12 +82,12 @@ def _(spark, d):
 
 def _lines(spark, d):
     """Each conversation as a stream of JSON lines: blank, broken, done at turn 4 and more behind it."""
-    c = table(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), F.left("text", F.lit(40)).alias("t"))
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), F.col("text").alias("t"))
     line = F.when(F.col("seq") % 7 == 6, " ").when(F.col("seq") % 7 == 5, "{broken").otherwise(F.to_json(F.struct(F.struct(F.col("t").alias("content")).alias("message"), (F.col("seq") == 4).alias("done"))))
     return c.select("request_id", "seq", line.alias("line"))
 
 
-_TOKENS = "tokens AS (SELECT conv_id AS request_id, turn AS seq, left(text, 40) AS token FROM conversations WHERE turn <= 4 AND text <> '')"
+_TOKENS = "tokens AS (SELECT conv_id AS request_id, turn AS seq, text AS token FROM conversations WHERE turn <= 4 AND text <> '')"
 
 
 @_q("ndjson_token_stream", f"WITH {_TOKENS} SELECT * FROM tokens")

@@ -46,10 +46,10 @@ def _hashed(name: str, k: str, t: str, column: str) -> str:
     return f"{name}0 AS (SELECT {k}, CAST(('0x' || left(md5(term), 2)) AS BIGINT) % 64 AS bucket, count(*) AS n FROM (SELECT {k}, unnest({tok}) AS term FROM {t}) GROUP BY ALL), {name} AS (SELECT {k}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {k})) AS weight FROM {name}0)"
 
 
-_DENSE = f"""{_hashed('dv', 'doc_id', 'documents', 'text')}, {_hashed('qv', 'item_id', "(SELECT * FROM questions WHERE item_id < 10)", 'question')},
+_DENSE = f"""{_hashed('dv', 'doc_id', 'documents', 'text')}, {_hashed('qv', 'item_id', "questions", 'question')},
 dsc AS (SELECT item_id, doc_id, round(sum(q.weight * d.weight), 6) AS score FROM qv q JOIN dv d USING (bucket) GROUP BY ALL),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM dsc) WHERE rank <= 50)"""
-_FUSED = f"""{_bm25('item_id < 10')}, {_DENSE},
+_FUSED = f"""{_bm25('true')}, {_DENSE},
 seen AS (SELECT item_id, doc_id, rank, rank AS ord, score AS d FROM dense UNION ALL SELECT item_id, doc_id, rank, rank + 1000000, NULL FROM sparse),
 fu AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (rank + 60)), 9) AS rrf_score, min(ord) AS ord, coalesce(max(d), 0.0) AS dense_score FROM seen GROUP BY ALL),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf_score DESC, ord) AS rank FROM fu) WHERE rank <= 100)"""
@@ -66,16 +66,12 @@ def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-def _some(spark, d):
-    return questions(spark, d).where("item_id < 10")
-
-
 def _dense(spark, d):
-    return vectors.sparse_top_k(vectors.hashed(_docs(spark, d)), vectors.hashed(_some(spark, d), key="item_id", text="question"))
+    return vectors.sparse_top_k(vectors.hashed(_docs(spark, d)), vectors.hashed(questions(spark, d), key="item_id", text="question"))
 
 
 def _fused(spark, d):
-    return fusion.rrf(_dense(spark, d), bm25.top_k(_docs(spark, d), _some(spark, d)))
+    return fusion.rrf(_dense(spark, d), bm25.top_k(_docs(spark, d), questions(spark, d)))
 
 
 def _coverage(question, text):
@@ -85,7 +81,7 @@ def _coverage(question, text):
 
 
 def _reranked(spark, d):
-    candidates = _fused(spark, d).join(_some(spark, d), "item_id").join(_docs(spark, d), "doc_id")
+    candidates = _fused(spark, d).join(questions(spark, d), "item_id").join(_docs(spark, d), "doc_id")
     return fusion.rerank(candidates, _coverage(F.col("question"), F.col("text")))
 
 
@@ -94,9 +90,9 @@ def _(spark, d):
     return bm25.top_k(_docs(spark, d), questions(spark, d).where("item_id = 0")).select("doc_id", "score", "rank")
 
 
-@_q("bm25_topk_batch", f"WITH {_bm25('item_id < 10')} SELECT item_id, doc_id, score, rank FROM sparse")
+@_q("bm25_topk_batch", f"WITH {_bm25('true')} SELECT item_id, doc_id, score, rank FROM sparse")
 def _(spark, d):
-    return bm25.top_k(_docs(spark, d), _some(spark, d)).select("item_id", "doc_id", "score", "rank")
+    return bm25.top_k(_docs(spark, d), questions(spark, d)).select("item_id", "doc_id", "score", "rank")
 
 
 @_q("bm25_idf", f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM w")
@@ -130,10 +126,10 @@ def _(spark, d):
     return vectors.top_k(v, v.where("vec_id = 0").withColumnRenamed("vec_id", "query_id")).select("vec_id", "score", "rank")
 
 
-@_q("dense_topk_batch", _dense_sql("vec_id < 10"))
+@_q("dense_topk_batch", _dense_sql("vec_id % 20 = 0"))
 def _(spark, d):
     v = table(spark, d, "embeddings")
-    return vectors.top_k(v, v.where("vec_id < 10").withColumnRenamed("vec_id", "query_id"))
+    return vectors.top_k(v, v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"))
 
 
 @_q("hashed_embedding", f"WITH {_hashed('dv', 'doc_id', 'documents', 'text')} SELECT doc_id, bucket, round(weight, 6) AS weight FROM dv")
@@ -148,14 +144,14 @@ def _(spark, d):
 
 @_q(
     "rrf_small_shortcut",
-    f"""WITH {_bm25('item_id < 10')}, {_DENSE},
+    f"""WITH {_bm25('true')}, {_DENSE},
 seen AS (SELECT item_id, doc_id, rank, rank AS ord, score AS d FROM dense WHERE rank <= 4 UNION ALL SELECT item_id, doc_id, rank, rank + 1000000, NULL FROM sparse WHERE rank <= 4),
 fu AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (rank + 60)), 9) AS rrf_score, min(ord) AS ord, coalesce(max(d), 0.0) AS dense_score FROM seen GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf_score DESC, ord) AS r0, count(*) OVER (PARTITION BY item_id) AS n FROM fu)
 SELECT item_id, doc_id, dense_score AS score, row_number() OVER (PARTITION BY item_id ORDER BY dense_score DESC, r0) AS rank FROM fr WHERE n <= 8""",
 )
 def _(spark, d):
-    few = fusion.rrf(_dense(spark, d).where("rank <= 4"), bm25.top_k(_docs(spark, d), _some(spark, d), k=4))
+    few = fusion.rrf(_dense(spark, d).where("rank <= 4"), bm25.top_k(_docs(spark, d), questions(spark, d), k=4))
     return fusion.shortcut(few).select("item_id", "doc_id", "score", "rank")
 
 
@@ -174,17 +170,17 @@ def _(spark, d):
     return prompt.sufficient(_reranked(spark, d).withColumn("chunk_type", F.lit("sliding_window")))
 
 
-#: The window of a file that a question is given, by rank: the files' first windows in the order of path.
+#: The windows that a question is given, by rank: those of every fortieth document, in the order of path.
 _RANKED = f"""{FILE_WINDOWS_SQL}, {QUESTIONS_SQL}, ranked AS (SELECT q.item_id, w.*, row_number() OVER (PARTITION BY q.item_id ORDER BY rel_path, chunk_no) AS rank
-FROM (SELECT * FROM questions WHERE item_id < 10) q JOIN windows w ON w.doc_id % 40 = q.item_id AND w.doc_id < 800),
+FROM questions q JOIN windows w ON w.doc_id % 40 = q.item_id),
 toks AS (SELECT *, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t FROM ranked)"""
 
 
 def _ranked(spark, d):
     from pyspark.sql import Window
 
-    w = chunking.windows(files(spark, d).where("doc_id < 800")).withColumn("item_id", F.col("doc_id") % 40)
-    joined = w.join(_some(spark, d), "item_id")
+    w = chunking.windows(files(spark, d)).withColumn("item_id", F.col("doc_id") % 40)
+    joined = w.join(questions(spark, d), "item_id")
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("rel_path", "chunk_no"))
     return joined.withColumn("rank", rank.cast("long")).withColumn("t", X.token_count(F.col("text")))
 
@@ -220,14 +216,14 @@ def _(spark, d):
 @_q(
     "prompt_build",
     f"{_GREEDY}, b AS (SELECT item_id, string_agg({_BLOCK.format(i='new_rank')}, chr(10) || chr(10) ORDER BY new_rank) AS blocks FROM kept JOIN ranked USING (item_id, rank) GROUP BY 1), "
-    "p AS (SELECT item_id, 'Using the following code context, please answer the question.' || chr(10) || chr(10) || coalesce(blocks, '') || chr(10) || chr(10) || 'Question: ' || question AS p FROM (SELECT * FROM questions WHERE item_id < 10) LEFT JOIN b USING (item_id)) "
+    "p AS (SELECT item_id, 'Using the following code context, please answer the question.' || chr(10) || chr(10) || coalesce(blocks, '') || chr(10) || chr(10) || 'Question: ' || question AS p FROM questions LEFT JOIN b USING (item_id)) "
     "SELECT item_id, length(p) AS prompt_len, md5(p) AS prompt_md5 FROM p",
 )
 def _(spark, d):
     ranked = _ranked(spark, d)
     kept = prompt.trim_greedy(ranked, "t").join(ranked, ["item_id", "rank"])
     blocks = kept.select("item_id", F.col("new_rank").alias("rank"), _block(F.col("new_rank")).alias("block"))
-    return prompt.prompt(blocks, _some(spark, d)).select("item_id", F.length("prompt").cast("long").alias("prompt_len"), F.md5("prompt").alias("prompt_md5"))
+    return prompt.prompt(blocks, questions(spark, d)).select("item_id", F.length("prompt").cast("long").alias("prompt_len"), F.md5("prompt").alias("prompt_md5"))
 
 
 @_q(

@@ -163,8 +163,9 @@ def test_vectors(spark):
     assert [tuple(r) for r in vectors.validate(v, 2).orderBy("vec_id").collect()] == [(0, 2, True), (1, 2, True), (2, 2, True), (3, 0, False)]
     q = v.where("vec_id = 0").withColumnRenamed("vec_id", "query_id")
     assert [r.vec_id for r in vectors.top_k(v, q, 2).orderBy("rank").collect()] == [0, 2]
-    with pytest.raises(ValueError):
-        vectors.top_k(v, v.withColumnRenamed("vec_id", "query_id"), limit=2)
+    many = v.where("vec_id < 3").withColumnRenamed("vec_id", "query_id")
+    whole, parts = vectors.top_k(v, many, 2), vectors.top_k(v, many, 2, limit=2)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
 
 
 def test_quality_measures(spark):
