@@ -155,6 +155,29 @@ def test_substring_dedup_finds_repeats_and_nothing_else(documents):
     assert window_dedup.classes(documents).where(F.col("doc") == 55).first()["class"] in range(56)
 
 
+def test_substring_dedup_beyond_the_first_owner(spark):
+    """Repeats of lines that stood in different documents before, and copies of a copy that is unlike the first."""
+    rng = np.random.default_rng(5)
+    texts, pairs = [], []
+    for k in range(25):
+        lines = [[f"k{k}l{i}w{j}" for j in range(10)] for i in range(6)]
+        texts += [" ".join([f"a{k}x{i}y{j}" for j in range(30)] + line) for i, line in enumerate(lines)]
+        passage = " ".join(w for line in lines for w in line)
+        texts += [f"{' '.join(f'{side}{k}z{j}' for j in range(40))} {passage}" for side in "bc"]
+        pairs.append((len(texts) - 2, len(texts) - 1))
+    for k in range(25):
+        a = [f"chain{k}w{j}" for j in range(50)]
+        b = a[:8] + ["one"] + a[9:]
+        c = b[:30] + ["two"] + b[31:]
+        texts += [" ".join(x) for x in (a, b, c)]
+        pairs.append((len(texts) - 2, len(texts) - 1))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc: r for r in window_dedup.passages(docs).collect()}
+    assert all(b in found[c].sources for b, c in pairs[:25])
+    assert all(sum(s.end - s.start for s in found[c].spans) >= 60 for _, c in pairs[:25])
+    assert sum(b in found[c].sources for b, c in pairs[25:]) >= 24
+
+
 @pytest.mark.parametrize("op", [suffix_dedup.spans, jaccard_join.classes, line_dedup.removed_lines, line_dedup.dedup, window_dedup.classes, jaccard_join.keep_first])
 def test_empty_tables(empty, op):
     assert op(empty).count() == 0
