@@ -178,6 +178,17 @@ def test_substring_dedup_beyond_the_first_owner(spark):
     assert sum(b in found[c].sources for b, c in pairs[25:]) >= 24
 
 
+def test_passages_with_repeated_shingles_are_verified():
+    a = np.arange(1, 101, dtype=np.uint64)
+    # a shingle of the passage also stands long before it
+    b = np.concatenate([a[50:51], np.arange(1000, 1040, dtype=np.uint64), a])
+    assert window_dedup.verified(a, b).all()
+    # one value many times is not many values
+    same = np.full(60, 7, np.uint64)
+    assert not window_dedup.verified(same, np.concatenate([same[:1], np.arange(2000, 2060, dtype=np.uint64)])).any()
+    assert window_dedup.verified(same, same).all()
+
+
 @pytest.mark.parametrize("op", [suffix_dedup.spans, jaccard_join.classes, line_dedup.removed_lines, line_dedup.dedup, window_dedup.classes, jaccard_join.keep_first])
 def test_empty_tables(empty, op):
     assert op(empty).count() == 0
