@@ -143,6 +143,17 @@ def test_url_model_is_witten_bell(spark):
     assert scored["ab"] == pytest.approx((got[" a"].w + got["ab"].w) / 2) and scored[None] == 0 and scored[""] == 0
 
 
+def test_url_tree_keeps_rare_hosts(spark, monkeypatch):
+    urls = [(f"https://www.common.com/en/{i}", True) for i in range(3000)] + [(f"https://qzxjk.net/{i}", False) for i in range(3)]
+    model = url_filter.fit(spark.createDataFrame(urls, "url string, accepted boolean"))
+    assert {"qzxjk", "zxjk."} <= {r.g for r in model[-1].collect()}
+    rows = spark.createDataFrame([(u,) for u, _ in urls[::500]] + [("https://qzxjk.net/9",)], "url string")
+    near = {r.url: r.score for r in url_filter.score(rows, model).collect()}
+    monkeypatch.setattr(url_filter, "BROADCAST", 0)
+    far = {r.url: r.score for r in url_filter.score(rows, model).collect()}
+    assert near == pytest.approx(far) and near["https://qzxjk.net/9"] < 0 < near[urls[0][0]]
+
+
 def test_url_filter_on_pages(spark):
     out = url_filter.op1_url_filter(spark, f"{DATA}/sf0.01").where("rule is null").withColumn("bad", ~url_filter.seeded())
     wrong = out.where((F.col("bad") & (F.col("verdict") == "allow")) | (~F.col("bad") & (F.col("verdict") == "block"))).count()
