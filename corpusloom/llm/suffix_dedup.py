@@ -8,8 +8,8 @@ ends when a name stands for that many.
 It is distributed by content.  In every ``LENGTH`` bytes the gram of ``GRAM`` bytes with the smallest hash is its
 anchor, so equal strings have equal anchors.  Anchors are counted over documents first; only the stretches around
 anchors that two documents share (an anchor's context) are sorted, each context once however often it occurs, and
-all contexts of an anchor by one task, in pieces of ``CHUNK`` bytes or so.  An anchor of more than ``HOT`` distinct
-places sends its strings of ``LENGTH`` bytes one by one instead of its context, dealt by their own hash.  Anchors,
+all contexts of an anchor by one task, in pieces of ``CHUNK`` bytes or so; an anchor's contexts that are far more are
+split into strings by hash.  Places are counted by the homes, and an anchor of more than ``HOT`` of them sends its strings of ``LENGTH`` bytes one by one instead of its context, dealt by their own hash.  Anchors,
 contexts and answers travel in binary blobs, several hundred to a row.
 
 Anchors and contexts are found by 64-bit hashes; strings are compared byte by byte.
@@ -187,6 +187,24 @@ def smallest_owner(data: np.ndarray, off: np.ndarray, owner: np.ndarray) -> tupl
     return start, out[start]
 
 
+def by_string(data: np.ndarray, off: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``smallest_owner`` of many contexts, in parts of ``CHUNK`` bytes or so: equal strings have equal hashes."""
+    size = np.diff(off)
+    start = gather(np.arange(len(data)), off[:-1], np.maximum(size - LENGTH + 1, 0))
+    low = np.repeat(owner, np.maximum(size - LENGTH + 1, 0))
+    if not len(start):
+        return start, start
+    key, out = span_hash(prefix_sums(BYTE[data]), start, start + LENGTH), np.zeros(len(start), np.int64)
+    for at in _split((key % U(math.ceil(len(start) * LENGTH / CHUNK))).astype(np.int64)):
+        # each distinct string once
+        order = at[np.lexsort((low[at], key[at]))]
+        head = np.append(True, key[order][1:] != key[order][:-1])
+        one = order[head]
+        own = smallest_owner(gather(data, start[one], np.full(len(one), LENGTH)), np.arange(len(one) + 1) * LENGTH, low[one])[1]
+        out[order] = own[np.cumsum(head) - 1]
+    return start, out
+
+
 def _table(schema: T.StructType, rows: list[tuple]) -> pa.Table:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -205,7 +223,7 @@ def _schema(**kinds) -> T.StructType:
 
 
 _LONG, _BIN = T.LongType(), T.BinaryType()
-_SEEN = _schema(bucket=_LONG, home=_LONG, once=_BIN, often=_BIN)
+_SEEN = _schema(bucket=_LONG, home=_LONG, once=_BIN, often=_BIN, several=_BIN, places=_BIN)
 _SHARED = _schema(home=_LONG, cold=_BIN, hot=_BIN)
 _CONTEXT = _schema(bucket=_LONG, home=_LONG, data=_BIN, size=_BIN, low=_BIN, more=_BIN)
 _ANSWER = _schema(home=_LONG, hot=_BIN, key=_BIN, first=_BIN, last=_BIN, owner=_BIN)
@@ -219,6 +237,15 @@ def _blocks(table: pa.Table) -> Iterator[tuple[Block, np.ndarray]]:
         yield Block(texts.slice(i, j - i)), doc.slice(i, j - i).to_numpy()
 
 
+def common_and_hot(once: list, often: list, several: list, places: list, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors that two rows have, and those of more than ``hot`` places, from the blobs of all homes."""
+    all_h, times = np.unique(np.concatenate(once + often), return_counts=True)
+    # a blob has an anchor once however many places it has; those that are more are added
+    more = np.concatenate(places).astype(np.int64) - 1
+    count = times + np.bincount(np.searchsorted(all_h, np.concatenate(several)), more, len(all_h)).astype(np.int64)
+    return np.union1d(all_h[times > 1], np.unique(np.concatenate(often))), all_h[count > hot]
+
+
 def _own_strings(h, first, last, row, hot: np.ndarray):
     """Contexts of cold anchors and single strings of hot ones: (anchor hash or None, first start, last start, row)."""
     is_hot = _isin(h & _LOW6, hot)
@@ -242,12 +269,13 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int
         held, count = [], 0
 
         def flush() -> pa.RecordBatch:
-            h, home = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, home, places = (np.concatenate(x) for x in zip(*held, strict=True))
             key = (h % U(buckets)).astype(np.int64) * buckets + home
             rows = []
             for at in _split(key):
-                own, times = np.unique(h[at] & _LOW6, return_counts=True)
-                rows.append((int(key[at[0]]) // buckets, int(key[at[0]]) % buckets, six(own[times == 1]), six(own[times > 1])))
+                own, which, times = np.unique(h[at] & _LOW6, return_inverse=True, return_counts=True)
+                count = np.bincount(which, places[at]).astype(np.uint32)
+                rows.append((int(key[at[0]]) // buckets, int(key[at[0]]) % buckets, six(own[times == 1]), six(own[times > 1]), six(own[count > 1]), count[count > 1].tobytes()))
             held.clear()
             return _table(_SEEN, rows).combine_chunks().to_batches()[0]
 
@@ -255,13 +283,15 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int
             home = batch.column("home").to_numpy()
             for i, j in pieces(batch.column("text"), _PIECE):
                 b = Block(batch.column("text").slice(i, j - i))
-                h, _, _, row, _ = anchors(b)
+                h, start, end, row, _ = anchors(b)
                 if len(h):
                     # once for each row, however often the row has it
                     order = np.lexsort((h, row))
                     new = np.ones(len(h), bool)
                     new[1:] = (np.diff(row[order]) > 0) | (h[order][1:] != h[order][:-1])
-                    held.append((h[order][new], home[i:j][row[order][new]]))
+                    # as many places as contexts, see cut_runs
+                    places = np.add.reduceat(((end - start) // 64 + 1)[order], np.flatnonzero(new))
+                    held.append((h[order][new], home[i:j][row[order][new]], places))
                     count += len(held[-1][0])
                 if count >= FLUSH:
                     yield flush()
@@ -271,10 +301,8 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int
 
     def shared(table: pa.Table) -> pa.Table:
         homes = table.column("home").to_pylist()
-        once, often = ([unsix(x) for x in table.column(c).to_pylist()] for c in ("once", "often"))
-        all_h, times = np.unique(np.concatenate(once + often), return_counts=True)
-        many = np.unique(np.concatenate(often))
-        common, busy = np.union1d(all_h[times > 1], many), all_h[times > hot]
+        once, often, several = ([unsix(x) for x in table.column(c).to_pylist()] for c in ("once", "often", "several"))
+        common, busy = common_and_hot(once, often, several, [np.frombuffer(x, np.uint32) for x in table.column("places").to_pylist()], hot)
         found: dict[int, list[np.ndarray]] = {}
         for home, a, b in zip(homes, once, often, strict=True):
             found.setdefault(home, []).append(np.concatenate([a[_isin(a, common)], b]))
@@ -334,7 +362,8 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int
         for own in _split((anchor % U(parts)).astype(np.int64)):
             src = one[own]
             sub = starts(length[src])
-            start, least = smallest_owner(gather(data, off[src], length[src]), sub, owner[own])
+            text = gather(data, off[src], length[src])
+            start, least = smallest_owner(text, sub, owner[own]) if len(text) <= 4 * CHUNK else by_string(text, sub, owner[own])
             c = np.repeat(np.arange(len(own)), np.maximum(length[src] - LENGTH + 1, 0))
             # runs of one owner
             new = np.ones(len(start), bool)

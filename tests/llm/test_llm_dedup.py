@@ -45,6 +45,24 @@ def test_suffix_dedup(documents, monkeypatch, hot, chunk):
     assert sorted((r.doc, r.n_bytes, tuple((s.start, s.end) for s in r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got) == plain_spans(rows(documents))
 
 
+def test_hot_anchors_are_counted_by_places():
+    once, often, several = ([np.array(x, np.uint64) for x in y] for y in ([[1, 2], [1]], [[3], []], [[3, 2], []]))
+    common, busy = suffix_dedup.common_and_hot(once, often, several, [np.array([70, 9], np.uint32), np.zeros(0, np.uint32)], 50)
+    # 3 is in one blob only, with 70 places
+    assert common.tolist() == [1, 3] and busy.tolist() == [3]
+
+
+def test_contexts_of_one_anchor_are_split_by_string(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
+    rng = np.random.default_rng(4)
+    line = rng.integers(97, 123, 55)
+    size = rng.integers(50, 114, 80)
+    parts = [np.concatenate([line, rng.integers(97, 99, 113)])[:n].astype(np.uint8) for n in size]
+    data, off, owner = np.concatenate(parts), np.concatenate([[0], np.cumsum(size)]), rng.integers(0, 1000, 80)
+    whole, split = (f(data, off, owner) for f in (suffix_dedup.smallest_owner, suffix_dedup.by_string))
+    assert all((x == y).all() for x, y in zip(whole, split, strict=True))
+
+
 def test_suffix_ranks_order_prefixes():
     rng = np.random.default_rng(3)
     for _ in range(200):
