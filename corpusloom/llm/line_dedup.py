@@ -1,8 +1,9 @@
-"""Line dedup across documents by a deletion-neighbourhood join with an edit bound of one character.
+"""Line dedup across documents by a deletion-neighbourhood join.
 
-A line goes if an equal line, or one at an edit distance of 1, stands earlier: in a document with a smaller id,
-or further up in the same one.  Lines are judged on the input, not on what is left, so the order of work does not
-matter.  Lines of fewer than ``min_chars`` characters always stay.
+A line goes if an equal line, or one within the edit bound, stands earlier: in a document with a smaller id, or
+further up in the same one.  The bound follows the line's length: none for lines of fewer than ``min_chars``
+characters (these go only if an equal one stands earlier), one character for all others.  Lines are judged on the
+input, not on what is left, so the order of work does not matter.  Blank lines (no character above U+0020) stay.
 
 Every line is hashed, and equal lines become one with its earliest place.  Two distinct lines within the bound
 share their first or second half and differ by at most 1 in length, so four hashes a line find the lines that may
@@ -15,9 +16,11 @@ Within a key the relation holds for all members (first kind), or for the equal l
 kind), so a minimum over the key replaces pairs however many lines share it.  The pairs so chosen are verified by
 their edit distance.
 
-Defined cases: null and empty texts have no lines to judge; rows that share an id and a line keep it both (neither
-is earlier); a null id comes after all others; repeated documents lose every line long enough; input columns named
-like a result give way.
+Defined cases: null and empty texts have no lines to judge.  A row is known by its id and a hash of its text, so
+what one row loses never touches another with the same id; rows that share an id, or have none, are in order of that
+hash, and rows alike in both are one place and keep or lose the same lines.  A null id comes after all others;
+documents that repeat an earlier one lose every line; input columns named like a result give way; a text of any
+length is cut whole.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from pyspark.sql import Window as W
 
 from .blocks import U, checkpointed, explode_blocks, lists, map_blocks, mix, prefix_sums, span_hash, starts
 
+#: Lines of so many characters may differ by one from an earlier line; shorter ones are compared as they are.
 MIN_CHARS = 20
 #: Rows of suspected lines that are sent to all tasks; more are joined by shuffle.
 BROADCAST_ROWS = 1 << 18
@@ -53,6 +57,8 @@ class Lines:
         self.number = np.arange(len(self.row)) - first[self.row]
         self.rows = len(own)
         self.filled = size > 0
+        solid = starts(self.codes > 32)
+        self.blank = solid[self.end] == solid[self.begin]
 
     def sums(self) -> np.ndarray:
         return prefix_sums(mix(self.codes.astype(U) + U(0x51ED270B)))
@@ -68,47 +74,58 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-_LINE = T.StructType([T.StructField(c, T.LongType()) for c in ("doc", "no", "h", "k0", "k1", "k2", "k3")])
+_LINE = T.StructType([T.StructField(c, T.LongType()) for c in ("doc", "row", "no", "h", "k0", "k1", "k2", "k3")])
+
+
+def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc, row (a hash that tells rows of one id apart) and text."""
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), row_hash(F.col(text)).alias("row"), F.col(text).alias("text"))
+
+
+def row_hash(text):
+    """60 bits of the text's MD5, which SQL has too; 0 for null."""
+    return F.coalesce(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(0).cast("long"))
 
 
 def lines(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFrame:
-    """doc, no, hash and half keys of every line of ``min_chars`` characters or more."""
+    """doc, row, no, hash and half keys (null for lines under ``min_chars``) of every line that is not blank."""
 
-    def fn(texts: pa.Array, doc: pa.Array) -> list[pa.Array]:
+    def fn(texts: pa.Array, doc: pa.Array, row: pa.Array) -> list[pa.Array]:
         x = Lines(texts)
         s = x.sums()
-        long = np.flatnonzero(x.end - x.begin >= min_chars)
+        long = np.flatnonzero(~x.blank)
         b, e = x.begin[long], x.end[long]
         size = e - b
+        short = size < min_chars
         halves = []
         for n in (size, size - 1):  # the class of lines of this length, and the one that a line with one more joins
             p = n // 2
             halves += [_tag(span_hash(s, b, b + p), n, 1), _tag(span_hash(s, e - (n - p), e), n, 2)]
-        return [doc.take(pa.array(x.row[long])), pa.array(x.number[long]), _signed(span_hash(s, b, e)), *map(_signed, halves)]
+        at = pa.array(x.row[long])
+        return [doc.take(at), row.take(at), pa.array(x.number[long]), _signed(span_hash(s, b, e)), *(pa.array(h.view(np.int64), mask=short) for h in halves)]
 
-    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
-    return explode_blocks(source, "text", ["doc"], _LINE, fn)
+    return explode_blocks(_rows(docs, text, doc_id), "text", ["doc", "row"], _LINE, fn)
 
 
 def _suspect_texts(docs: DataFrame, suspects: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """h, doc, no, line: the earliest copies of suspected lines with their characters."""
-    wanted = suspects.groupBy("doc").agg(F.collect_list(F.struct("no", "h")).alias("want"))
+    """h, doc, row, no, line: the earliest copies of suspected lines with their characters."""
+    wanted = suspects.groupBy("doc", "row").agg(F.collect_list(F.struct("no", "h")).alias("want"))
     if suspects.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text")).join(wanted, "doc")
-    cut = source.select("doc", F.explode("want").alias("w"), F.split("text", "\n").alias("l")).select(F.col("w.h").alias("h"), "doc", F.col("w.no").alias("no"), F.get("l", F.col("w.no").cast("int")).alias("line"))
-    # rows that share an id may differ in text; the hash tells which one was meant
+    source = _rows(docs, text, doc_id).join(wanted, ["doc", "row"])
+    cut = source.select("doc", "row", F.explode("want").alias("w"), F.split("text", "\n").alias("l")).select(F.col("w.h").alias("h"), "doc", "row", F.col("w.no").alias("no"), F.get("l", F.col("w.no").cast("int")).alias("line"))
+    # equal rows repeat a line
     return cut.where("line is not null").dropDuplicates(["h", "line"])
 
 
-_KEY = T.StructType([T.StructField(c, T.LongType()) for c in ("h", "doc", "no", "key", "kind")])
+_KEY = T.StructType([T.StructField(c, T.LongType()) for c in ("h", "doc", "row", "no", "key", "kind")])
 SAME, LONGER, EQUAL = 0, 1, 2
 
 
 def neighbourhood(suspects: DataFrame) -> DataFrame:
-    """h, doc, no, key, kind of every variant of a line: SAME (one character masked), LONGER (one left out), EQUAL (itself)."""
+    """h, doc, row, no, key, kind of every variant of a line: SAME (one character masked), LONGER (one left out), EQUAL (itself)."""
 
-    def fn(texts: pa.Array, h: pa.Array, doc: pa.Array, no: pa.Array) -> list[pa.Array]:
+    def fn(texts: pa.Array, *place: pa.Array) -> list[pa.Array]:
         x = Lines(texts)
         s, own, keys, kinds = x.sums(), [], [], []
         inverse = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -128,15 +145,15 @@ def neighbourhood(suspects: DataFrame) -> DataFrame:
             kinds += [np.full(len(f), kind) for f, kind in zip(found, (SAME, LONGER, EQUAL), strict=True)]
             own.append(np.full(sum(map(len, found)), k))
         at = pa.array(np.concatenate(own))
-        return [h.take(at), doc.take(at), no.take(at), _signed(np.concatenate(keys)), pa.array(np.concatenate(kinds).astype(np.int64))]
+        return [*(c.take(at) for c in place), _signed(np.concatenate(keys)), pa.array(np.concatenate(kinds).astype(np.int64))]
 
-    return explode_blocks(suspects, "line", ["h", "doc", "no"], _KEY, fn, limit=1 << 14)
+    return explode_blocks(suspects, "line", ["h", "doc", "row", "no"], _KEY, fn, limit=1 << 14)
 
 
 def near(suspects: DataFrame) -> DataFrame:
     """h of each distinct line with an earlier line at an edit distance of 1, verified on the characters."""
     key = W.partitionBy("key")
-    place = F.struct("doc", "no", "h")
+    place = F.struct("doc", "row", "no", "h")
     v = neighbourhood(suspects).select("h", "key", "kind", place.alias("at"))
     v = v.withColumns({
         "same": F.min(F.when(F.col("kind") == SAME, F.col("at"))).over(key),
@@ -150,25 +167,25 @@ def near(suspects: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc (the id; the largest long for null) and ``gone``, the ascending numbers (from 0) of its lines that go."""
+    """doc (the id; the largest long for null), row (``row_hash`` of the text) and ``gone``, the ascending numbers (from 0) of its lines that go."""
     every = lines(docs, text, doc_id, min_chars)
-    first = checkpointed(every.groupBy("h").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("n"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))))
-    keys = first.select("h", F.explode(F.array(*(f"k{i}" for i in range(4)))).alias("k"))
+    first = checkpointed(every.groupBy("h").agg(F.min(F.struct("doc", "row", "no")).alias("first"), F.count("*").alias("n"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))))
+    keys = first.where("k0 is not null").select("h", F.explode(F.array(*(f"k{i}" for i in range(4)))).alias("k"))
     shared = keys.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("k")
     hashes = keys.join(shared, "k", "left_semi").select("h").distinct()
-    suspects = checkpointed(first.join(hashes, "h", "left_semi").select("h", F.col("first.doc").alias("doc"), F.col("first.no").alias("no")))
+    suspects = checkpointed(first.join(hashes, "h", "left_semi").select("h", "first.*"))
     texts = checkpointed(_suspect_texts(docs, suspects, text, doc_id))
     judged = first.join(near(texts).withColumn("near", F.lit(True)), "h", "left").where("n > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = every.select("h", "doc", "no").join(judged, "h").where(F.col("near") | (F.struct("doc", "no") > F.col("first")))
-    return gone.groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("gone"))
+    gone = every.select("h", "doc", "row", "no").join(judged, "h").where(F.col("near") | (F.struct("doc", "row", "no") > F.col("first")))
+    return gone.groupBy("doc", "row").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
     """Rows of ``docs`` with the lines that stay, joined by line feeds; rows that lose every filled line go."""
-    gone = removed_lines(docs, text, doc_id, min_chars)
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))
+    gone = removed_lines(docs, text, doc_id, min_chars).select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
     fields = docs.columns
-    joined = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(fields)), key.alias("_doc")).join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), "_doc", "left")
+    keyed = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(fields)), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("_doc"), row_hash(F.col(text)).alias("_row"))
+    joined = keyed.join(gone, ["_doc", "_row"], "left")
     old = F.col(f"_c{fields.index(text)}")
     kept = F.filter(F.split(old, "\n"), lambda x, i: ~F.array_contains("_gone", i.cast("long")))
     new = F.when(F.col("_gone").isNull(), old).otherwise(F.array_join(kept, "\n"))
@@ -179,7 +196,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with its number of lines and the numbers of those that go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counts = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    out = counts.join(removed_lines(docs).withColumnRenamed("doc", "doc_id"), "doc_id", "left")
+    counts = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), row_hash(F.col("text")).alias("row"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    out = counts.join(removed_lines(docs), ["doc", "row"], "left")
     gone = F.coalesce("gone", F.array().cast("array<bigint>"))
     return out.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))

@@ -40,14 +40,16 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id FROM r L
 """
 
 OP9 = """
-WITH l AS (SELECT doc_id, no - 1 AS no, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents)),
-f AS (SELECT x, length(x) AS n, min((doc_id, no)) AS place FROM l WHERE length(x) >= 20 GROUP BY 1),
-k AS (SELECT x, n, place, m, left(x, m // 2) AS h, 1 AS side FROM (SELECT *, unnest([n, n - 1]) AS m FROM f) UNION ALL SELECT x, n, place, m, right(x, m - m // 2), 2 FROM (SELECT *, unnest([n, n - 1]) AS m FROM f)),
+WITH d AS (SELECT DISTINCT coalesce(doc_id, 9223372036854775807) AS doc, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS row, text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc, row, no - 1 AS no, x FROM (SELECT doc, row, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM d) WHERE regexp_matches(x, '[^\\x00-\\x20]')),
+f AS (SELECT x, length(x) AS n, min((doc, row, no)) AS place FROM l GROUP BY 1),
+m AS (SELECT *, unnest([n, n - 1]) AS m FROM f WHERE n >= 20),
+k AS (SELECT x, n, place, m, left(x, m // 2) AS h, 1 AS side FROM m UNION ALL SELECT x, n, place, m, right(x, m - m // 2), 2 FROM m),
 c AS (SELECT DISTINCT a.x AS x, a.n AS n, b.x AS y, b.n AS k FROM k a JOIN k b ON a.m = b.m AND a.h = b.h AND a.side = b.side AND b.place < a.place AND abs(a.n - b.n) <= 1),
 near AS (SELECT DISTINCT x FROM c WHERE len(list_filter(range(0, greatest(n, k)), lambda i: left(x, i) = left(y, i) AND substr(x, i + 1 + CASE WHEN n >= k THEN 1 ELSE 0 END) = substr(y, i + 1 + CASE WHEN k >= n THEN 1 ELSE 0 END))) > 0),
-g AS (SELECT doc_id, list_sort(list(no)) AS removed FROM l JOIN f USING (x) LEFT JOIN (SELECT x, true AS near FROM near) USING (x) WHERE near OR (doc_id, no) > place GROUP BY 1),
-t AS (SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines FROM documents)
-SELECT doc_id, n_lines, coalesce(len(removed), 0) AS n_removed, coalesce(removed, []::BIGINT[]) AS removed FROM t LEFT JOIN g USING (doc_id)
+g AS (SELECT doc, row, list_sort(list(no)) AS removed FROM l JOIN f USING (x) LEFT JOIN (SELECT x, true AS near FROM near) USING (x) WHERE near OR (doc, row, no) > place GROUP BY 1, 2),
+t AS (SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS doc, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS row, coalesce(len(string_split(text, chr(10))), 0) AS n_lines FROM documents)
+SELECT doc_id, n_lines, coalesce(len(removed), 0) AS n_removed, coalesce(removed, []::BIGINT[]) AS removed FROM t LEFT JOIN g USING (doc, row)
 """
 
 SQL = {"op4_suffix_array_dedup": OP4, "op7_benchmark_decontamination": OP7, "op8_ngram_jaccard_join": OP8, "op9_line_dedup": OP9}

@@ -3,11 +3,12 @@
 import hashlib
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import jaccard_join, line_dedup, suffix_dedup, window_dedup
+from corpusloom.llm import jaccard_join, line_dedup, sql, suffix_dedup, window_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -132,28 +133,61 @@ def plain_lines(docs, least):
         a, b = sorted((a, b), key=len)
         return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
-    every = [(d, k, x) for d, t in docs for k, x in enumerate(t.split("\n")) if len(x) >= least]
+    def order(t):
+        return int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+
+    every = [(d, order(t), k, x) for d, t in set(docs) for k, x in enumerate(t.split("\n")) if any(c > " " for c in x)]
     gone = {}
-    for d, k, x in every:
-        if any((e, m) < (d, k) and near(x, y) for e, m, y in every):
-            gone.setdefault(d, set()).add(k)
+    for *place, x in every:
+        if any(at < place and (x == y or min(len(x), len(y)) >= least and near(x, y)) for *at, y in every):
+            gone.setdefault((place[0], place[1]), set()).add(place[2])
     return {d: sorted(x) for d, x in gone.items()}
 
 
+def plain_left(docs, least):
+    """(id, text) of the rows that stay: what a row loses is its own, whoever shares its id."""
+    gone, out = plain_lines([(BIG if d is None else d, t or "") for d, t in docs], least), []
+    for d, t in docs:
+        own = gone.get((BIG if d is None else d, int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16)))
+        left = t if own is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in own)
+        if own is None or left.strip(" "):
+            out.append((d, left))
+    return sorted(out, key=str)
+
+
+def _check_lines(df, docs):
+    assert {(r.doc, r.row): r.gone for r in line_dedup.removed_lines(df).collect()} == plain_lines([(BIG if d is None else d, t or "") for d, t in docs], line_dedup.MIN_CHARS)
+    assert sorted(((r.doc_id, r.text) for r in line_dedup.dedup(df).collect()), key=str) == plain_left(docs, line_dedup.MIN_CHARS)
+
+
 def test_line_dedup(spark):
     lines = ["the quick brown fox jumps over", "the quick brown fox jumps ovre", "the quick brown fox jumps ove", "the quick brown fox jumps overs", "the quick brown fux jumps over", "short", "ünïcödé lines count by character", "ünïcödé lines count by charactér", "x the quick brown fox jumps over"]
-    docs = [(4, "\n".join([lines[0], "short", lines[6]])), (1, "\n".join([lines[1], "short"])), (2, "\n".join(lines)), (3, lines[4]), (3, lines[4]), (7, None), (8, ""), (None, lines[8]), (9, "\n".join([lines[8]] * 3))]
+    docs = [(4, "\n".join([lines[0], "short", lines[6]])), (1, "\n".join([lines[1], "short"])), (2, "\n".join(lines)), (3, lines[4]), (3, lines[4]), (7, None), (8, ""), (None, lines[8]), (9, "\n".join([lines[8]] * 3)), (10, "shart\n\n \nshort")]
+    _check_lines(spark.createDataFrame(docs, "doc_id long, text string"), docs)
+
+
+def test_lines_of_rows_that_share_an_id_stay(spark, tmp_path):
+    """What one row loses is never cut from another with the same id or none."""
+    line = [f"a line of its own: {hashlib.md5(bytes([k])).hexdigest()}" for k in range(60)]
+
+    def text(*k):
+        return "\n".join(line[i] for i in k)
+
+    docs = [(1, text(0, 1, 2)), (None, text(10, 1, 12)), (None, text(20, 21, 22)), (5, text(30, 2)), (5, text(40, 41)), (5, text(41, 43)), (5, text(41, 43)), (None, text(22, 51))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    want = plain_lines([(BIG if d is None else d, t or "") for d, t in docs], 20)
-    assert {r.doc: r.gone for r in line_dedup.removed_lines(df).collect()} == want
-    left = line_dedup.dedup(df).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in left if r.doc_id in (1, 7, 8)) == [(False, 1, docs[1][1]), (False, 7, None), (False, 8, "")]
-    assert None not in [r.doc_id for r in left]
+    _check_lines(df, docs)
+    kept = " ".join(r.text for r in line_dedup.dedup(df).collect())
+    assert all(x in kept for _, t in docs for x in t.split("\n"))
+    # the registered query and its SQL on the same rows
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted((str(r.doc_id), r.n_lines, r.n_removed, r.removed) for r in line_dedup.op9_line_dedup(spark, str(tmp_path)).collect())
+    assert got == sorted((str(a), b, c, d) for a, b, c, d in con.execute(sql.OP9).fetchall())
 
 
 def test_line_dedup_of_a_corpus(documents):
-    got = {r.doc: r.gone for r in line_dedup.removed_lines(documents).collect()}
-    assert got == plain_lines(rows(documents), line_dedup.MIN_CHARS)
+    _check_lines(documents, [(r.doc_id, r.text) for r in documents.collect()])
 
 
 def test_substring_dedup_finds_repeats_and_nothing_else(documents):
