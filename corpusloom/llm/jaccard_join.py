@@ -21,8 +21,9 @@ fitting sizes are searched for the component's main member, and then for the nod
 largest part; that is exact too, and only those last nodes meet further blocks.
 
 Defined cases: null and empty texts have no shingles and link with nothing, not even each other; a text of fewer
-than n words is one shingle of all its words; repeated rows are one node and give a row each; a null id takes part,
-and a component's id is the smallest id that is not null; columns of the input are not carried.
+than n words is one shingle of all its words; repeated rows are one node and give a row each; a null id takes part
+like any other (rows are known by a hash of id and text), a component's id is the smallest id that is not null, and
+null if it has none; a very long text is a block of its own; columns of the input are not carried.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ from .graph import components
 
 GROUPS = 64
 FANOUT = 16
-#: Shingles (8 bytes each) of one task's share of candidates, and of a block of a larger component.
-BLOCK = 1 << 23
+#: Shingles (8 bytes each) of a block of a larger component, and of a bin that smaller ones share.
+BLOCK, BIN = 1 << 23, 1 << 19
 #: Ratio of the sizes that part a larger component's blocks.
 SIZE_STEP = 1.12
 #: Rows of the candidates' table that are sent to all tasks; more are joined by shuffle.
@@ -183,33 +184,38 @@ _BODY = T.StructType([T.StructField("_node", T.LongType()), T.StructField("body"
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc, n, node of each row; node is null without a shingle."""
+    """doc, place, n, node of each row; node is null without a shingle."""
 
     def fn(texts: pa.Array) -> list[pa.Array]:
         own = shingles(texts, n)
         return [pa.array([len(s) for s in own], pa.int64()), pa.array([signature(s) if len(s) else None for s in own], pa.int64())]
 
-    return map_blocks(docs, "text", ["doc"], _SET, fn)
+    return map_blocks(docs, "text", ["doc", "place"], _SET, fn)
+
+
+def _places(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc, text and place, a hash of both: rows are found by it, and dealt by it whatever their ids are."""
+    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("place"))
 
 
 _SEEN = schema(bucket=T.LongType(), home=T.LongType(), keys=T.BinaryType())
-_MARK = schema(home=T.LongType(), docs=T.BinaryType(), rare=T.BinaryType(), busy=T.BinaryType())
+_MARK = schema(home=T.LongType(), places=T.BinaryType(), rare=T.BinaryType(), busy=T.BinaryType())
 
 
 def _prefixes(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """key, node of the prefixes' shingles, from the first document of each node."""
+    """key, node of the prefixes' shingles, from the first row of each node."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, math.ceil(size / BUCKET_BYTES))
-    home = F.pmod(F.shiftright("doc", 6), F.lit(buckets))
+    home = F.pmod("place", F.lit(buckets))
     # the texts are dealt once; both visits read the same exchange
-    dealt = docs.where("doc is not null").select(home.alias("home"), "doc", "text").groupBy("home")
+    dealt = docs.select(home.alias("home"), "place", "text").groupBy("home")
     none = F.lit(b"")
-    firsts = nodes.where("doc is not null").select(home.alias("home"), F.to_binary(F.lpad(F.hex("doc"), 16, "0"), F.lit("hex")).alias("docs"), none.alias("rare"), none.alias("busy"))
+    firsts = nodes.select(home.alias("home"), F.to_binary(F.lpad(F.hex("place"), 16, "0"), F.lit("hex")).alias("places"), none.alias("rare"), none.alias("busy"))
 
     def wanted(texts: pa.Table, marks: pa.Table):
-        """(node's shingles) of this home's first documents, once each."""
-        ids = np.unique(np.frombuffer(b"".join(marks.column("docs").to_pylist()), ">i8"))
-        keep = np.isin(texts.column("doc").to_numpy(), ids)
+        """(node's shingles) of this home's first rows, once each."""
+        first = np.unique(np.frombuffer(b"".join(marks.column("places").to_pylist()), ">i8"))
+        keep = np.isin(texts.column("place").to_numpy(), first)
         texts, seen = texts.filter(pa.array(keep)), set()
         if texts.num_rows:
             own = texts.column("text").combine_chunks()
@@ -247,15 +253,15 @@ def _prefixes(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFr
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame, n: int, small: bool) -> DataFrame:
-    """Columns of ``wanted`` (by doc and node) with ``body``, the node's shingles as bytes."""
-    rows = docs.join(F.broadcast(wanted) if small else wanted, "doc")
+    """Columns of ``wanted`` (by place and node) with ``body``, the node's shingles as bytes."""
+    rows = docs.join(F.broadcast(wanted) if small else wanted, "place")
 
     def fn(texts: pa.Array) -> list[pa.Array]:
         own = shingles(texts, n)
         return [pa.array([signature(s) if len(s) else None for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())]
 
-    # rows that share an id may differ in text; equal ones only repeat a node
-    return map_blocks(rows, "text", [c for c in wanted.columns if c != "doc"], _BODY, fn).where("_node = node").drop("_node")
+    # equal rows only repeat a node
+    return map_blocks(rows, "text", [c for c in wanted.columns if c != "place"], _BODY, fn).where("_node = node").drop("_node")
 
 
 def _sets_of(table: pa.Table, column: str = "body") -> list[np.ndarray]:
@@ -263,15 +269,14 @@ def _sets_of(table: pa.Table, column: str = "body") -> list[np.ndarray]:
 
 
 def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(doc, n, node) of each row, and (u, root) of each linked node that is not the root of its component."""
+    """(doc, place, n, node) of each row, and (u, root) of each linked node that is not the root of its component."""
     spark = docs.sparkSession
     reach(spark)
-    docs = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    docs = _places(docs, text, doc_id)
     own = checkpointed(_sets(docs, n))
-    nodes = own.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"))
-    keys = _prefixes(docs, nodes, n, percent)
-    # node ids meet at each shingle's smallest: one shuffle of keys serves both sides
-    keys = keys.repartition("key")
+    nodes = own.where("node is not null").groupBy("node").agg(F.min("place").alias("place"), F.max("n").alias("n"))
+    keys = checkpointed(_prefixes(docs, nodes, n, percent))
+    # nodes meet at each shingle's smallest; minima are taken before the shuffle, and AQE splits what many share
     low = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key", "a")
     near = components(keys.join(low, "key").where("node > a").select("a", F.col("node").alias("b")).distinct())
     member = near.select(F.col("u").alias("node"), F.col("root").alias("part")).unionByName(near.select(F.col("root").alias("node"), F.col("root").alias("part")).distinct())
@@ -280,16 +285,16 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int =
     total = size.agg(F.sum("total").alias("t"), F.max("total").alias("m"), F.count("*").alias("c")).first()
     if not total.t:
         return own, near.limit(0)
-    bins = max(1, math.ceil(total.t / BLOCK))
+    bins = max(1, math.ceil(total.t / BIN))
     # small components share bins; a large one is dealt by size, as only sizes within the similarity can link
     place = F.floor(F.log("n") / F.lit(math.log(SIZE_STEP))).cast("long")
     crowd = member.join(size.where(F.col("total") > BLOCK), "part").groupBy("part", place.alias("class")).agg(F.ceil(F.sum("n") / BLOCK).alias("split"))
     own_bin = F.concat_ws("/", F.col("part").cast("string"), F.col("class").cast("string"), F.pmod(F.xxhash64("node"), F.col("split")).cast("string"))
-    placed = member.withColumn("class", place).join(crowd, ["part", "class"], "left").select("doc", "node", "part", "class", "n", F.when(F.col("split").isNotNull(), own_bin).otherwise(F.pmod(F.xxhash64("part"), F.lit(bins)).cast("string")).alias("bin"), F.col("split").isNotNull().alias("large"))
+    placed = member.withColumn("class", place).join(crowd, ["part", "class"], "left").select("place", "node", "part", "class", "n", F.when(F.col("split").isNotNull(), own_bin).otherwise(F.pmod(F.xxhash64("part"), F.lit(bins)).cast("string")).alias("bin"), F.col("split").isNotNull().alias("large"))
     placed = checkpointed(placed)
     small = placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # dealt once: a checkpoint keeps its partitioning, so no later visit moves the sets again
-    bodies = checkpointed(_bodies(docs.where("doc is not null"), placed.select("doc", "node", "part", "bin"), n, small).repartition(max(bins, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bin"))
+    bodies = checkpointed(_bodies(docs, placed.select("place", "node", "part", "bin"), n, small).repartition(max(bins, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bin"))
 
     def local(t: pa.Table) -> pa.Table:
         part, node, sets = t.column("part").to_numpy(), t.column("node").to_numpy(), _sets_of(t)
@@ -338,22 +343,25 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int =
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
-    """doc, n (size of its set) and component, the smallest id that it reaches by links, of every row."""
+    """doc, place, n (size of its set) and component, the smallest id that it reaches by links, of every row."""
     own, roots = links(docs, text, doc_id, n, percent)
     joined = own.join(roots.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = joined.where("root is not null").groupBy("root").agg(F.min("doc").alias("component"))
-    return joined.join(smallest, "root", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    smallest = joined.where("root is not null").groupBy("root").agg(F.min("doc").alias("component"), F.min(F.struct(F.col("doc").isNull(), "doc", "place")).alias("first"))
+    return joined.join(smallest, "root", "left").select("doc", "place", "n", F.coalesce("component", "doc").alias("component"), F.coalesce("first.place", "place").alias("first"))
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest id, and one of several with that id and text.
+    """``docs`` with one row of each component: that with the smallest id, null ids last; equal rows are one.
 
-    Rows with a null id stay: nothing tells them apart.
+    Rows without a word have no component and stay.
     """
-    ids = classes(docs, text, doc_id, **options).where("doc <> component").select(F.col("doc").alias("id of a copy")).distinct()
-    left = docs.join(ids, F.col(doc_id) == F.col("id of a copy"), "left_anti")
-    if docs.select(doc_id).groupBy(doc_id).count().where("count > 1").limit(1).count():
-        left = left.dropDuplicates([doc_id, text])
+    found = checkpointed(classes(docs, text, doc_id, **options))
+    copies = found.where("place <> first").select(F.col("place").alias("place of a copy")).distinct()
+    place = F.xxhash64(doc_id, text)
+    left = docs.join(copies, place == F.col("place of a copy"), "left_anti")
+    if found.where("n > 0").groupBy("place").count().where("count > 1").limit(1).count():
+        worded = F.col(text).rlike(r"[^\x20\x09-\x0D]")
+        left = left.where(worded).dropDuplicates([doc_id, text]).unionByName(left.where(~F.coalesce(worded, F.lit(False))))
     return left
 
 

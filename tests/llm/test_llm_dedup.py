@@ -108,7 +108,21 @@ def test_jaccard_keep_first(documents):
     assert kept.columns == documents.columns
     ids = [r.doc_id for r in kept.collect()]
     want = {d for d, _, c in plain_components(rows(documents)) if d == c}
-    assert {BIG if i is None else i for i in ids} >= want - {BIG} and 0 in ids and 52 not in ids
+    # the null id is a copy
+    assert None not in ids and set(ids) >= want - {BIG} and 0 in ids and 52 not in ids
+
+
+def test_jaccard_join_through_a_null_id(spark):
+    """A row without an id links its neighbours, and rows that have none keep one of their group."""
+    base = [f"w{k}" for k in range(104)]
+    one = [*base[:50], "x", *base[51:]]
+    two = [*base[:20], "y", *one[21:80], "z", *one[81:]]
+    rows_ = [(1, " ".join(base)), (None, " ".join(one)), (3, " ".join(two)), (None, "only here " * 4), (None, "only here " * 4), (None, " "), (None, None), (None, "ONLY here " * 4)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = jaccard_join.classes(docs).collect()
+    assert sorted(str((r.doc, r.n, r.component)) for r in got) == sorted(map(str, [(1, 100, 1), (None, 100, 1), (3, 100, 1)] + [(None, 2 if "here" in (t or "") else 0, None) for _, t in rows_[3:]]))
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_first(docs).collect()]
+    assert (1, rows_[0][1]) in kept and len(kept) == 4 and (None, None) in kept and (None, " ") in kept
 
 
 def test_tree_bound_loses_no_pair():
