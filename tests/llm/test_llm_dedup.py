@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -244,6 +245,75 @@ def test_substring_dedup_beyond_the_first_owner(spark):
     assert sum(b in found[c].sources for b, c in pairs[25:]) >= 24
 
 
+def plain_passages(docs):
+    """For each row: {earlier id: first words of its 50-word passages similar to a stretch of 50 to 61 words there}."""
+    grams = [(d, [tuple(w[k : k + 5]) for k in range(len(w) - 4)]) for d, t in docs for w in [WORD.findall(t.translate(LOW))]]
+    holders = {}
+    for x, (_, g) in enumerate(grams):
+        for s in set(g):
+            holders.setdefault(s, set()).add(x)
+    out = []
+    for d, g in grams:
+        own, rivals = {}, Counter(x for s in set(g) for x in holders[s] if grams[x][0] < d)
+        for x in (x for x, n in rivals.items() if n >= 30):
+            e, h = grams[x]
+            for i in range(len(g) - 45):
+                a = set(g[i : i + 46])
+                if any(5 * len(a & b) >= 4 * len(a | b) for n in range(46, 58) for j in range(len(h) - n + 1) for b in [set(h[j : j + n])] if 5 * len(a) >= 4 * n or len(b) < n):
+                    own.setdefault(e, set()).add(i)
+        out.append(own)
+    return out
+
+
+def _found(spark, docs, **options):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    return {r.doc: r for r in window_dedup.passages(df, **options).collect()}
+
+
+@pytest.mark.parametrize("hot", [1 << 14, 1])
+def test_substring_dedup_recall(spark, hot):
+    """A text that almost has a passage must not hide it: exact repeats are found whole, near ones nine times in ten."""
+    rng, docs, exact = np.random.default_rng(8), [], []
+
+    def text(n):
+        return [f"v{k}" for k in rng.integers(0, 20000, n)]
+
+    for k in range(48):
+        passage = text(50 + 5 * (k % 3))
+        low = list(passage)
+        for at in rng.choice(len(passage), 1 + k % 4, replace=False):
+            low[at] = "other"
+        docs += [(3 * k, " ".join(text(20) + low + text(15))), (3 * k + 1, " ".join(text(30) + passage)), (3 * k + 2, " ".join(passage + text(25)))]
+        exact.append((3 * k + 1, 3 * k + 2, len(passage)))
+    got, want = _found(spark, docs, hot=hot), plain_passages(docs)
+    links = {(d, e) for (d, _), own in zip(docs, want, strict=True) for e in own}
+    assert all(a in got[b].sources and got[b].spans[0].start == 0 and got[b].spans[0].end >= n for a, b, n in exact)
+    assert len(links & {(d, e) for d in got for e in got[d].sources}) >= 0.9 * len(links)
+    for (d, _), own in zip(docs, want, strict=True):
+        words = {i + k for starts in own.values() for i in starts for k in range(50)}
+        assert {k for s in got[d].spans for k in range(s.start, s.end)} <= words
+        assert set(got[d].sources) <= set(own)
+
+
+def test_classes_of_a_large_group(spark):
+    """Copies with words changed here and there, more than a group compares at once: one class, as by brute force."""
+    rng, docs = np.random.default_rng(2), []
+    base = [f"b{k}" for k in range(70)]
+    for k in range(40):
+        own = list(base)
+        for at in rng.choice(70, rng.integers(0, 5), replace=False):
+            own[at] = f"c{k}x{at}"
+        docs.append((k, " ".join(own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc: r["class"] for r in window_dedup.classes(df).collect()}
+    root = list(range(40))
+    for d, own in enumerate(plain_passages(docs)):
+        for e in own:
+            a, b = root[d], root[e]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+    assert sum(got[k] == root[k] for k in range(40)) >= 39
+
+
 def test_passages_with_repeated_shingles_are_verified():
     a = np.arange(1, 101, dtype=np.uint64)
     # a shingle of the passage also stands long before it
