@@ -21,6 +21,7 @@ _libc = ctypes.CDLL(None)
 BLOCK_BYTES = 1 << 19
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
+_KEPT = 1 << 20
 _powers = [np.ones(1, U), np.ones(1, U)]
 #: One fixed random number for each byte value: a polynomial over these is hard to hit by chance.
 BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
@@ -41,14 +42,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for i, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, b, U)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+    """The first n powers of the base and of its inverse, modulo 2^64; no more than ``_KEPT`` are held between calls."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    own = []
+    for b in (_BASE, _INVERSE):
+        p = np.full(max(n, _KEPT), b, U)
+        p[0] = 1
+        own.append(np.multiply.accumulate(p))
+    _powers[:] = [p[:_KEPT].copy() if len(p) > _KEPT else p for p in own]
+    return own[0][:n], own[1][:n]
 
 
 def inverse_powers(n: int) -> np.ndarray:

@@ -7,10 +7,12 @@ ends when a name stands for that many.
 
 It is distributed by content.  In every ``LENGTH`` bytes the gram of ``GRAM`` bytes with the smallest hash is its
 anchor, so equal strings have equal anchors.  Anchors are counted over documents first; only the stretches around
-anchors that two documents share (an anchor's context) are sorted, each context once however often it occurs, and
-all contexts of an anchor by one task, in pieces of ``CHUNK`` bytes or so; an anchor's contexts that are far more are
-split into strings by hash.  Places are counted by the homes, and an anchor of more than ``HOT`` of them sends its strings of ``LENGTH`` bytes one by one instead of its context, dealt by their own hash.  Anchors,
-contexts and answers travel in binary blobs, several hundred to a row.
+anchors that two documents share (an anchor's context) travel, each once however often it occurs.  All contexts of an
+anchor meet in one task and are sorted there in pieces of ``CHUNK`` bytes or so, but for an anchor with one context,
+whose strings have no other place; an anchor's contexts that are far more are split into strings by hash.  Places are
+counted by the homes, and an anchor of more than ``HOT`` of them sends its strings of ``LENGTH`` bytes one by one
+instead of its context, dealt by their own hash.  Anchors, contexts and answers travel in binary blobs, several
+hundred to a row.
 
 Anchors and contexts are found by 64-bit hashes; strings are compared byte by byte.
 
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import BYTE, U, Block, gather, inverse_powers, pieces, prefix_sums, reach, span_hash, starts, tidy
+from .blocks import BYTE, U, Block, gather, inverse_powers, mix, pieces, prefix_sums, reach, span_hash, starts, tidy
 
 LENGTH, GRAM = 50, 20
 HOT = 1 << 16
@@ -205,6 +207,23 @@ def by_string(data: np.ndarray, off: np.ndarray, owner: np.ndarray) -> tuple[np.
     return start, out
 
 
+def _names(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each context's hash, and that of its anchor: its smallest gram, which all of its strings have.
+
+    Contexts are hashed by the megabyte, whatever a task holds.
+    """
+    key, anchor, i = np.zeros(len(off) - 1, U), np.zeros(len(off) - 1, U), 0
+    while i < len(off) - 1:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + (1 << 20), "right")) - 1)
+        at = off[i : j + 1] - off[i]
+        sums = prefix_sums(BYTE[data[off[i] : off[j]]])
+        key[i:j] = span_hash(sums, at[:-1], at[1:])
+        g = np.append(rolling(sums), ~U(0))
+        anchor[i:j] = np.minimum.reduceat(g, np.ravel(np.column_stack([at[:-1], at[1:] - GRAM + 1])))[::2]
+        i = j
+    return key, anchor
+
+
 def _table(schema: T.StructType, rows: list[tuple]) -> pa.Table:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -259,11 +278,12 @@ def _own_strings(h, first, last, row, hot: np.ndarray):
 def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int = HOT) -> DataFrame:
     """doc, n_bytes, spans (the maximal runs of bytes to remove) and kept (the other bytes) of each row."""
     reach(docs.sparkSession)
-    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, math.ceil(size / BUCKET_BYTES))
-    # neighbouring ids share a home, so that a task's blobs go to few
-    source = source.withColumn("home", F.pmod(F.shiftright("doc", 6), F.lit(buckets)))
+    # neighbouring ids share a home, so that a task's blobs go to few; rows without an id are dealt by their text
+    home = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.shiftright("id", 6))), F.lit(buckets))
+    source = source.select(F.coalesce("id", F.lit(_LAST)).alias("doc"), "text", home.alias("home"))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -345,21 +365,23 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int
         low, more = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("low", "more"))
         home = np.repeat(table.column("home").to_numpy(), [len(x) for x in table.column("size").to_pylist()])
         off = starts(length)
-        sums = prefix_sums(BYTE[data])
-        key = span_hash(sums, off[:-1], off[1:])
+        key, grams = _names(data, off)
         # every context once, with the smallest id that has it
         order = np.lexsort((low, key))
         head = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
         which = np.zeros(len(key), np.int64)
         which[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
         one, owner = order[head], low[order[head]]
-        # contexts of one anchor go together: by the smallest gram, which all strings of a context have
-        g = np.append(rolling(sums), ~U(0))
-        anchor = np.minimum.reduceat(g, np.ravel(np.column_stack([off[:-1], off[1:] - GRAM + 1])))[::2][one]
-        del g, sums, order
-        parts = max(1, math.ceil(length[one].sum() / CHUNK))
-        found_at, found_first, found_last, found_owner = [], [], [], []
-        for own in _split((anchor % U(parts)).astype(np.int64)):
+        # contexts of one anchor go together
+        own, anchor, times = np.unique(grams[one], return_inverse=True, return_counts=True)
+        del grams, order
+        # strings stand in their anchor's contexts alone: where there is one, it is their only place
+        lone = np.flatnonzero(times[anchor] == 1)
+        found_at, found_first, found_last, found_owner = [lone], [np.zeros(len(lone), np.int64)], [length[one[lone]] - LENGTH], [owner[lone]]
+        several = np.flatnonzero(times[anchor] > 1)
+        parts = max(1, math.ceil(length[one[several]].sum() / CHUNK))
+        for own in _split(mix(own[anchor[several]]) % U(parts)):
+            own = several[own]
             src = one[own]
             sub = starts(length[src])
             text = gather(data, off[src], length[src])
