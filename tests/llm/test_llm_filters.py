@@ -204,6 +204,12 @@ def test_sentencepiece_parity_on_the_test_table(spark):
     assert sentencepiece_codec.op3_sentencepiece(spark, f"{DATA}/sf0.001").where("not parity or not round_trip").count() == 0
 
 
+def test_ids_that_differ_are_told_by_row():
+    flat, count = np.array([1, 2, 3, 4, 5], np.int32), np.array([2, 0, 1, 2])
+    assert sentencepiece_codec._same_ids(flat, count, [[1, 2], [], [4], [4, 5]]).tolist() == [True, True, False, True]
+    assert sentencepiece_codec._same_ids(flat, count, [[1], [7], [3], [4, 6]]).tolist() == [False, False, True, False]
+
+
 def test_unigram_models_are_read():
     def field(n, kind, value):
         out = bytearray([n << 3 | kind]) if n < 16 else bytearray([(n << 3 | kind) & 127 | 128, n >> 4])
