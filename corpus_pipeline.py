@@ -1,14 +1,23 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Defined cases, stage by stage: a null or empty text scores 0, loses no line, is no copy of another and holds no
+passage, so it stays to the end, with null ids for a null text; a row with a null id is judged like any other, as the
+last of all ids; rows that share an id are judged one by one, and rows alike in id and text are one after the Jaccard
+stage, unless they have no word; an empty table gives an empty result; columns of the input named like a result keep
+their values.
+
+Line dedup comes before the Jaccard stage and cuts the lines that near copies share, so few of them are left to link.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, jaccard_join, line_dedup, sentencepiece_codec, toxicity
+from corpusloom.llm.blocks import remove_folder, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +43,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left."""
-    return sentencepiece_codec.encode(docs, keep=["doc_id", "lang", "source", "n_chars"])
+    """Token ids of what is left, and whether they decode to the text."""
+    out = sentencepiece_codec.encode(docs, keep=["doc_id", "text", "lang", "source", "n_chars"], decoded=True)
+    return out.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 STAGES = [
@@ -51,11 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is written to the session's shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
-    base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; what lies between them is written to the session's shared folder, and removed when the next stage is written."""
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            remove_folder(spark, f"{base}/{k - 1}")
     return docs

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -196,11 +197,27 @@ def explode_blocks(df: DataFrame, text: str, keep: list[str], schema: T.StructTy
     return df.select(*(df[c] for c in dict.fromkeys([*keep, text]))).mapInArrow(run, schema)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, in the shared folder the session names; one of our own only where none is named."""
+def shared_folder(spark) -> str:
+    """The folder that all executors share, as the session names it; one of our own only where a single machine is all there is."""
     import tempfile
 
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="corpusloom")
+
+
+def remove_folder(spark, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, in the session's shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
