@@ -128,24 +128,28 @@ def _braces(source: str, language: str, tokens) -> Iterator[tuple]:
     # strings and comments keep their length and lines, not their characters
     plain = _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), source)
 
-    def close(at: int) -> int:
-        depth = 0
-        for i in range(at, len(plain)):
-            depth += (plain[i] == "{") - (plain[i] == "}")
-            if depth == 0:
-                return i
-        return len(plain) - 1
+    # each opening brace's end, in one pass; one that is never closed lasts to the end
+    ends, depth = {}, []
+    for b in re.finditer(r"[{}]", plain):
+        if b.group() == "{":
+            depth.append(b.start())
+        elif depth:
+            ends[depth.pop()] = b.start()
 
     def visit(lo: int, hi: int) -> Iterator[tuple]:
-        at = lo
+        at, ahead = lo, {}
         while True:
-            hits = [(m.start(), m, kind, deep) for kind, deep, p in _BRACES[language] if (m := re.compile(p).search(plain, at, hi))]
+            for _, _, p in _BRACES[language]:
+                # a pattern is searched again only when its hit has been passed
+                if p not in ahead or (ahead[p] and ahead[p].start() < at):
+                    ahead[p] = re.compile(p).search(plain, at, hi)
+            hits = [(m.start(), m, kind, deep) for kind, deep, p in _BRACES[language] if (m := ahead[p])]
             if not hits:
                 return
             _, m, kind, deep = min(hits, key=lambda h: h[0])
             begin = m.start() + len(m.group()) - len(m.group().lstrip())
             opened = plain.find("{", m.end(), hi)
-            end = close(opened) if opened >= 0 else plain.find("\n", m.end(), hi)
+            end = ends.get(opened, len(plain) - 1) if opened >= 0 else plain.find("\n", m.end(), hi)
             end = hi - 1 if end < 0 else end
             first, last = source.count("\n", 0, begin) + 1, source.count("\n", 0, end) + 1
             if deep and opened >= 0 and tokens("\n".join(lines[first - 1 : last])) <= config.CHUNK_TOKEN_LIMIT:
@@ -167,7 +171,7 @@ def code_chunks_of(source: str, language: str, tokens=lambda t: -(-len(t) // 4))
             found = list(_python(source, tokens))
         elif language in _BRACES:
             found = list(_braces(source, language, tokens))
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # the parser's own stack ends in a MemoryError
         found = []
     if found:
         return found

@@ -23,13 +23,14 @@ def _q(name: str, sql: str | None):
     return put
 
 
-_INDEX = f"""tok AS (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+_INDEX = f"""tok AS MATERIALIZED (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents),
+tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
 dl AS (SELECT doc_id, len({TOKENS_SQL}) AS doc_len FROM documents),
 st AS (SELECT count(*) AS n, avg(doc_len) AS mean FROM dl),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
-w AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, (SELECT count(*) AS n FROM documents)),
+fl AS (SELECT 0.25 * avg(raw) AS floor FROM raw),
+w AS (SELECT term, df, CASE WHEN raw < 0 THEN floor ELSE raw END AS idf FROM raw, fl)"""
 
 
 def _bm25(where: str) -> str:
@@ -170,17 +171,19 @@ def _(spark, d):
     return prompt.sufficient(_reranked(spark, d).withColumn("chunk_type", F.lit("sliding_window")))
 
 
-#: The windows that a question is given, by rank: those of every fortieth document, in the order of path.
+#: The windows that a question is given, by rank: the documents are dealt to the questions in turn, in the order of path.
 _RANKED = f"""{FILE_WINDOWS_SQL}, {QUESTIONS_SQL}, ranked AS (SELECT q.item_id, w.*, row_number() OVER (PARTITION BY q.item_id ORDER BY rel_path, chunk_no) AS rank
-FROM questions q JOIN windows w ON w.doc_id % 40 = q.item_id),
+FROM questions q JOIN windows w ON w.doc_id % (SELECT greatest(count(*), 1) FROM benchmark) = q.item_id),
 toks AS (SELECT *, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t FROM ranked)"""
 
 
 def _ranked(spark, d):
     from pyspark.sql import Window
 
-    w = chunking.windows(files(spark, d)).withColumn("item_id", F.col("doc_id") % 40)
-    joined = w.join(questions(spark, d), "item_id")
+    asked = questions(spark, d)
+    n = asked.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    w = chunking.windows(files(spark, d)).withColumn("item_id", F.col("doc_id") % n.scalar())
+    joined = w.join(asked, "item_id")
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("rel_path", "chunk_no"))
     return joined.withColumn("rank", rank.cast("long")).withColumn("t", X.token_count(F.col("text")))
 
@@ -240,13 +243,21 @@ _RELEVANT = f"{_bm25('true')}, relevant AS (SELECT item_id, doc_id FROM question
 
 
 def _relevant(spark, d):
-    """Documents that hold a question's whole passage; candidates share its longest word, which spares comparing all."""
-    q = questions(spark, d)
-    longest = F.array_max(F.transform(F.split("passage", r"\s+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    probes = q.select("item_id", "passage", longest.alias("w"))
-    words = _docs(spark, d).select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
-    near = words.join(F.broadcast(probes.select("item_id", "w")), "w").select("item_id", "doc_id")
-    return near.join(_docs(spark, d), "doc_id").join(q.select("item_id", "passage"), "item_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    """Documents that hold a question's whole passage.
+
+    Candidates share the longest word from within the passage: its first and last may be parts of a document's words.
+    Passages without a word between two others are a stated set held against all documents.
+    """
+    q, docs = questions(spark, d).select("item_id", "passage"), _docs(spark, d).select("doc_id", "text")
+    words = F.split("passage", r"\s+")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    probes = q.withColumn("w", longest)
+    held = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
+    near = held.join(probes.where("w is not null").select("item_id", "w"), "w").select("item_id", "doc_id")
+    long = near.join(docs, "doc_id").join(q, "item_id").where(F.contains("text", F.col("passage")))
+    short = docs.join(probes.where("w is null and passage is not null").drop("w"), F.contains("text", F.col("passage")))
+    return long.select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id"))
 
 
 def _first(spark, d):

@@ -166,7 +166,10 @@ def _(spark, d):
     return _cells(spark, d).select("conv_id", "cell_no", "language", "symbol_name", "start_line", "end_line")
 
 
-@_q("code_chunks", None)
+@_q(
+    "code_chunks",
+    f"WITH {FILE_WINDOWS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY rel_path, doc_id ORDER BY chunk_no) AS k FROM windows) SELECT rel_path, 'sliding_window' AS chunk_type, '' AS symbol_name, start_line, end_line FROM r WHERE k <= {config.CODE_WINDOW_CAP}",
+)
 def _(spark, d):
     """Documents as sources: none parses as Python, so windows come back; the chunker's rules are tested on sources."""
     f = files(spark, d).select("repo_id", "rel_path", "text", F.lit("python").alias("language"))

@@ -218,3 +218,12 @@ def test_judging(spark):
     assert p.count("---") == 7 and "9" not in p and "1" * 400 in p and "1" * 401 not in p
     v = spark.createDataFrame([(" Faithful ",), ("unfaithful",), ("faithful.",), (None,)], "r string").select(evaluate.verdict(F.col("r")).alias("v"))
     assert [r.v for r in v.collect()] == [True, False, False, None]
+
+
+def test_sources_that_exhaust_the_parser_and_unclosed_braces():
+    deep = "(" * 5000 + ")" * 5000
+    assert chunking.code_chunks_of(deep, "python")[0][0] == "sliding_window"
+    open_ended = "func A() {\n  x{\n}\n}\nfunc B() {\n  y\n"
+    assert [(c[1], c[2]) for c in chunking.code_chunks_of(open_ended, "go")] == [("A", 1), ("B", 5)]
+    many = "\n".join(f"func F{i}() {{" for i in range(3000))
+    assert chunking.code_chunks_of(many, "go")[0][1] == "F0"
