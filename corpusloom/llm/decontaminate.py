@@ -4,8 +4,9 @@ Words are runs of letters, digits and characters beyond ASCII after A-Z are lowe
 consecutive words of an item; a shorter item with a word is one window.  Each hit of a window's hash is
 compared word by word before it counts.
 
-Items are broadcast in parts of at most ``part_bytes`` of text (a single longer item is a part of its own);
-each part is one more pass of narrow work over the texts, so a large test set costs time and not memory.
+Items are broadcast in parts of about ``part_bytes`` of text, dealt by hash: the text itself and 24 bytes a window, so
+4 to 5 times the text for words of common length and 13 times it at most.  Each part is one more pass of narrow work
+over the texts, so a large test set costs time and not memory.
 
 Defined cases: null and empty texts have no words and no hits; items with a null id or text are left out;
 items that share an id count once; every input row gives one output row, repeated ids included; an empty
@@ -23,23 +24,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import ALNUM, U, Block, lists, map_blocks
+from .blocks import ALNUM, U, Block, lists, map_blocks, starts
 
 SPAN = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
 _SCAN = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def _windows(items: list[tuple[str, str]], n: int) -> dict[int, tuple[np.ndarray, dict]]:
-    """By length: the sorted hashes, and each hash's windows with their items."""
-    found: dict[int, dict[int, dict[bytes, set]]] = {}
+def _windows(items: list[tuple[str, str]], n: int) -> tuple[bytes, list[str], dict[int, tuple[np.ndarray, ...]]]:
+    """All items' words as one buffer, the ids, and by length the windows: sorted hashes, place and length in the buffer, number of the id."""
+    names = sorted({i for i, _ in items})
+    number = {name: k for k, name in enumerate(names)}
+    found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    buffer, total = [], 0
     for item, text in items:
         b = Block(pa.array([text], pa.large_string()), lower=True)
         b.words(ALNUM)
         size = min(n, len(b.start))
-        if size:
-            for i, h in zip(*b.grams(b.word_hashes(), size), strict=True):
-                found.setdefault(size, {}).setdefault(int(h), {}).setdefault(b.cut(i, i + size), set()).add(item)
-    return {size: (np.array(sorted(d), U), d) for size, d in found.items()}
+        if not size:
+            continue
+        words, length = b.cut(0, len(b.start)), b.end - b.start
+        begin = starts(length + 1)[:-1]
+        at, h = b.grams(b.word_hashes(), size)
+        begin, stop = begin[at], begin[at + size - 1] + length[at + size - 1]
+        # a window that the item repeats is held once
+        _, first, same = np.unique(h, return_index=True, return_inverse=True)
+        own = np.zeros(len(h), bool)
+        own[first] = True
+        for i in np.flatnonzero(~own).tolist():
+            j = first[same[i]]
+            own[i] = words[begin[i] : stop[i]] != words[begin[j] : stop[j]]
+        found.setdefault(size, []).append((h[own], begin[own] + total, (stop - begin)[own].astype(np.int32), np.full(own.sum(), number[item], np.int32)))
+        buffer.append(words)
+        total += len(words)
+    out = {}
+    for size, parts in found.items():
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        out[size] = tuple(c[order] for c in columns)
+    return b"".join(buffer), names, out
 
 
 def _sieve(keys: np.ndarray) -> np.ndarray:
@@ -54,21 +76,25 @@ def _scan(df: DataFrame, text: str, keep: list[str], shared) -> DataFrame:
 
     def fn(texts: pa.Array) -> list[pa.Array]:
         if not state:
-            state.update({size: (keys, by, _sieve(keys)) for size, (keys, by) in shared.value.items()})
+            state.update({size: (*columns, _sieve(columns[0])) for size, columns in shared.value[2].items()})
         b = Block(texts, lower=True)
         b.words(ALNUM)
         h = b.word_hashes()
         hit = np.zeros(len(h), bool)
         items: list[set] = [set() for _ in range(b.rows)]
-        for size, (keys, by, sieve) in state.items():
+        buffer, names = shared.value[:2]
+        for size, (keys, begin, length, item, sieve) in state.items():
             at, g = b.grams(h, size)
             maybe = np.flatnonzero(sieve[(g >> U(44)).astype(np.int64)])
             at, g = at[maybe], g[maybe]
-            where = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-            for i, x in zip(at[keys[where] == g].tolist(), g[keys[where] == g].tolist(), strict=True):
-                if own := by[x].get(b.cut(i, i + size)):
-                    hit[i : i + size] = True
-                    items[b.row[i]] |= own
+            low, high = np.searchsorted(keys, g), np.searchsorted(keys, g, "right")
+            some = high > low
+            for i, a, z in zip(at[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
+                own = b.cut(i, i + size)
+                for k in range(a, z):
+                    if buffer[begin[k] : begin[k] + length[k]] == own:
+                        hit[i : i + size] = True
+                        items[b.row[i]].add(names[item[k]])
         words = np.flatnonzero(hit)
         each = np.bincount(b.row[words], minlength=b.rows)
         local = (words - b.first[b.row[words]]).astype(np.int32) if len(words) else np.zeros(0, np.int32)
@@ -77,7 +103,7 @@ def _scan(df: DataFrame, text: str, keep: list[str], shared) -> DataFrame:
     return map_blocks(df, text, keep, _SCAN, fn)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, keep: list[str] | None = None, part_bytes: int = 8 << 20) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, keep: list[str] | None = None, part_bytes: int = 4 << 20) -> DataFrame:
     """``keep`` columns (all by default) with n_words, hit_words (their numbers, ascending) and items (ids as strings, sorted)."""
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c not in _SCAN.names]
