@@ -6,12 +6,15 @@ labels alone by gradient descent on the log loss, so the sentences that carry a
 found without sentence labels.
 
 The model is fitted on at most ``sample_docs`` labelled documents, half of each label where there are so many and
-those with the smallest hash of their id, weighted back to the labels' shares; this bounds what the driver holds; every document and every sentence is scored.  Only features of at least
+those with the smallest hash of their id, and on no more of them than have ``sample_bytes`` of features, half of that
+for each label (its first document always); they are weighted back to the labels' shares.  This bounds what the driver
+holds; whole texts teach, and every document and every sentence is scored.  Only features of at least
 ``min_docs`` sampled documents have a weight, ``MAX_WORDS`` of them at most (the most frequent), so the
 broadcast model is at most 16 bytes times that.
 
 Defined cases: a null or empty text has no sentence and scores 0; labels that are null, or whose document is
-missing, teach nothing; of several labels of one document the largest holds; with no labelled document every
+missing, teach nothing; of several labels of one document the largest holds; of several texts with one id the one
+whose features hash lowest teaches; all are scored; a row with a null id is scored and teaches nothing; with no labelled document every
 score is about 0; every input row gives one row; a column named like a result gives way.
 """
 
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import ALNUM, BYTE, U, Block, explode_blocks, lists, map_blocks, prefix_sums, span_hash, starts
+from .blocks import ALNUM, BYTE, U, Block, checkpointed, explode_blocks, lists, map_blocks, prefix_sums, span_hash, starts
 
 MAX_WORDS = 1 << 17
 _STOP = np.zeros(256, bool)
@@ -135,8 +138,8 @@ def fit_bags(bags: list[tuple[int, int, np.ndarray, np.ndarray]], share: dict[in
     return Model(keys[alive], w[alive], float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample_docs: int = 3000, **options) -> Model:
-    """A model from at most ``sample_docs`` labelled documents (those whose ids hash lowest)."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample_docs: int = 3000, sample_bytes: int = 96 << 20, **options) -> Model:
+    """A model from at most ``sample_docs`` labelled documents (those whose ids hash lowest) with ``sample_bytes`` of features."""
     known = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
     total = {r.y: r.n for r in known.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     # half of each label if there are so many; what one lacks the other may have
@@ -144,7 +147,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     half = {1: some, 0: min(total.get(0, 0), sample_docs - some)}
     drawn = [known.where(F.col("y") > 0 if y else F.col("y") <= 0).orderBy(F.xxhash64("i"), "i").limit(n).withColumn("y", F.lit(y)) for y, n in half.items()]
     known = drawn[0].unionByName(drawn[1])
-    share = {y: total.get(y, 0) / max(n, 1) for y, n in half.items()}
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(known), "i")  # sample_docs rows at most
     schema = T.StructType([T.StructField("i", T.StringType()), T.StructField("y", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("sentences", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
 
@@ -163,7 +165,18 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         local = (sentence - base[row]).astype(np.int32)
         return [i, y, pa.array(per.astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()) for x in (local, h))]
 
-    got = explode_blocks(rows.select(F.col("i").cast("string").alias("i"), "y", "t"), "t", ["i", "y"], schema, bags).collect()
+    got = checkpointed(explode_blocks(rows.select(F.col("i").cast("string").alias("i"), "y", "t"), "t", ["i", "y"], schema, bags).withColumn("h", F.xxhash64("hashes", "sentences")))
+    # one text of each id, so that these are sample_docs small rows at most
+    sizes = got.groupBy("i", "y").agg(F.min(F.struct("h", (F.octet_length("hashes") + F.octet_length("sentences")).alias("size"))).alias("s")).select("i", "y", "s.*")
+    chosen, room, used = [], {0: sample_bytes // 2, 1: sample_bytes // 2}, {0: 0, 1: 0}
+    for r in sorted(sizes.collect(), key=lambda r: (r.h, r.i)):
+        if r.size <= room[r.y] or not used[r.y]:
+            room[r.y] -= r.size
+            used[r.y] += 1
+            chosen.append((r.i, r.h))
+    share = {y: total.get(y, 0) / max(n, 1) for y, n in used.items()}
+    picked = docs.sparkSession.createDataFrame(chosen, "i string, h long")
+    got = got.join(F.broadcast(picked), ["i", "h"]).dropDuplicates(["i", "h"]).collect()
     bags = sorted(((r.y, r.n, np.frombuffer(r.sentences, np.int32), np.frombuffer(r.hashes, U), r.i) for r in got), key=lambda b: (b[4], b[3].tobytes()))
     return fit_bags([b[:4] for b in bags], share, **options)
 

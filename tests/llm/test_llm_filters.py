@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,3 +272,42 @@ def test_columns_named_like_results(spark, documents):
     assert sentencepiece_codec.encode(docs).where("n_tokens <> 7").count() > 0
     assert license_scan.scan(docs, F.lit("a/b")).count() == n
     assert url_filter.judge(docs).where("verdict in ('allow', 'block')").count() == n
+
+
+def test_toxicity_sample_is_bounded_by_bytes_and_equal_ids_teach_once(spark):
+    texts = [(i, ("you are vile trash. " if i % 2 else "what a fine day. ") + f"common words number {i % 7} here.") for i in range(60)]
+    docs = spark.createDataFrame([*texts, *[(1, texts[1][1])] * 40, (None, "no id here."), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1)], "doc_id long, toxic int")
+    for size in (96 << 20, 1):
+        out = toxicity.score(docs, toxicity.fit(docs, labels, sample_bytes=size), keep=["doc_id"])
+        assert out.count() == docs.count() and out.where("score is null or score < 0 or score > 1").count() == 0
+    model = toxicity.fit(docs, labels)
+    got = {r.text: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert all(got[t] == i % 2 for i, t in texts)
+    empty = docs.limit(0)
+    assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
+
+
+def test_toxicity_score_is_the_noisy_or(spark):
+    texts = ["Vile trash. Fine day! trash vile trash", "fine day", "", None, "Trash"]
+    h = {w: int(toxicity.Sentences(pa.array([w])).hash[0]) for w in ("vile", "trash", "fine")}
+    keys = sorted(h, key=h.get)
+    weight = {"vile": 2.0, "trash": 1.5, "fine": -3.0}
+    model = toxicity.Model(np.array([h[k] for k in keys], np.uint64), np.array([weight[k] for k in keys]), -1.0)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in toxicity.score(rows, model).collect():
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", (r.text or "").lower()):
+            if sentence.strip():
+                clean *= 1 - 1 / (1 + math.exp(1.0 - sum(weight.get(w, 0) for w in set(sentence.split()))))
+        assert r.score == pytest.approx(1 - clean)
+
+
+def test_windows_are_compact_and_repeats_held_once():
+    text = " ".join(f"w{i}" for i in range(20))
+    buffer, names, found = decontaminate._windows([("b", text + " " + text), ("a", text), ("a", text), ("c", "Two words"), ("d", " . ")], 13)
+    assert names == ["a", "b", "c", "d"] and set(found) == {2, 13}
+    keys, begin, length, item = found[13]
+    held = [(names[i], buffer[b : b + n].decode()) for b, n, i in zip(begin, length, item, strict=True)]
+    own = {" ".join((text + " " + text).split()[k : k + 13]) for k in range(28)}
+    assert sorted(h for i, h in held if i == "b") == sorted(own) and (np.diff(keys.astype(object)) >= 0).all()
