@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import ALNUM, U, Block, map_blocks
+from .blocks import ALNUM, U, Block, checkpointed, map_blocks
 
 #: Customary short notices of public licences, by SPDX identifier.
 NOTICES = {
@@ -151,7 +151,8 @@ def scan(docs: DataFrame, path: Column | str, text: str = "text", keep: list[str
     new = ["path", "licence", "cosine", "how"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     rows = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text).alias("_text"), (F.col(path) if isinstance(path, str) else path).alias("path"))
-    found = own_licence(rows, "_text", [f"_k{i}" for i in range(len(keep))] + ["path"], **options)
+    # three uses follow; the texts are scanned for the first alone
+    found = checkpointed(own_licence(rows, "_text", [f"_k{i}" for i in range(len(keep))] + ["path"], **options))
     found = found.withColumns({
         # the directory with its slash; the root is empty
         "dir": F.regexp_extract("path", r"(?s)^(.*/)?[^/]*$", 1),
