@@ -13,6 +13,7 @@ from .suffix_dedup import op4_suffix_array_dedup
 from .toxicity import op10_toxicity
 from .url_filter import op1_url_filter
 from .window_dedup import op2_substring_dedup
+from .yinyang import op11_centroid_clustering
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_centroid_clustering": op11_centroid_clustering,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -52,4 +52,25 @@ t AS (SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS doc, CAST('0x' ||
 SELECT doc_id, n_lines, coalesce(len(removed), 0) AS n_removed, coalesce(removed, []::BIGINT[]) AS removed FROM t LEFT JOIN g USING (doc, row)
 """
 
-SQL = {"op4_suffix_array_dedup": OP4, "op7_benchmark_decontamination": OP7, "op8_ngram_jaccard_join": OP8, "op9_line_dedup": OP9}
+
+def _op11(k: int = 16, rounds: int = 3, dim: int = 64) -> str:
+    near = """a{r} AS MATERIALIZED (SELECT row, vec_id, x, j, d FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY d, j) AS best FROM (
+  SELECT row, vec_id, x, j, CAST(list_sum(list_transform(range(1, {n}), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT) AS d FROM v, c{r})) WHERE best = 1)"""
+    mean = """c{r} AS MATERIALIZED (SELECT o.j, coalesce(m.c, o.c) AS c FROM c{p} o LEFT JOIN (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+  SELECT j, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{p}, (SELECT unnest(range(1, {n})) AS i) GROUP BY j, i) GROUP BY j) m USING (j))"""
+    steps = [near.format(r=0, n=dim + 1)]
+    for r in range(1, rounds + 1):
+        steps += [mean.format(r=r, p=r - 1, n=dim + 1), near.format(r=r, n=dim + 1)]
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS j, x AS c FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {k})),
+{", ".join(steps)}
+SELECT vec_id, CAST(a.j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} USING (j)
+"""
+
+
+OP11 = _op11()
+
+SQL = {"op4_suffix_array_dedup": OP4, "op7_benchmark_decontamination": OP7, "op8_ngram_jaccard_join": OP8, "op9_line_dedup": OP9, "op11_centroid_clustering": OP11}
