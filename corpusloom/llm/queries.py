@@ -12,6 +12,7 @@ from .sentencepiece_codec import op3_sentencepiece
 from .suffix_dedup import op4_suffix_array_dedup
 from .toxicity import op10_toxicity
 from .url_filter import op1_url_filter
+from .warc import op12_warc
 from .window_dedup import op2_substring_dedup
 from .yinyang import op11_centroid_clustering
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_warc": op12_warc,
     "pipeline": corpus_pipeline.run,
 }
 

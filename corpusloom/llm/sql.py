@@ -73,4 +73,13 @@ FROM a{rounds} a JOIN c{rounds} USING (j)
 
 OP11 = _op11()
 
-SQL = {"op4_suffix_array_dedup": OP4, "op7_benchmark_decontamination": OP7, "op8_ngram_jaccard_join": OP8, "op9_line_dedup": OP9, "op11_centroid_clustering": OP11}
+OP12 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT *, sha1(t) AS h FROM p),
+d AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '') AS digest FROM h),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM m
+"""
+
+SQL = {"op4_suffix_array_dedup": OP4, "op7_benchmark_decontamination": OP7, "op8_ngram_jaccard_join": OP8, "op9_line_dedup": OP9, "op11_centroid_clustering": OP11, "op12_warc": OP12}
