@@ -123,30 +123,32 @@ def whole_records(pieces: Iterator[tuple[str, int, bytes]]) -> Iterator[tuple[li
             if fields is not None:
                 raise broken()
             place, first = (file, start), start == 0
-        else:
-            first = False
-        if fields is None:
-            if not piece.strip():  # an empty file, or blank lines at its end
-                continue
-            head, sep, body = piece.partition(END.encode())
-            if first and not piece.startswith(NEXT.encode()):
+            if first and piece.strip() and not piece.startswith(NEXT.encode()):
                 raise ValueError(f"{file}: no WARC/1 record at its beginning")
-            fields = _fields(head.split(b"\r\n", 1)[-1])
-            length = dict(fields).get("content-length", "")
-            if not sep or not length.isdigit():
-                raise ValueError(f"{file}: a record without Content-Length")
-            block, need = [body], int(length) - len(body)
-        else:  # the separator was part of the block
-            block += [cut, piece]
-            need -= len(cut) + len(piece)
-        if need <= 0:
-            body = b"".join(block)
-            if need < 0:
-                body, rest = body[:need], body[need:]
-                if rest.strip(b"\r\n"):
-                    raise ValueError(f"{file}: a record goes on beyond its Content-Length")
-            yield fields, body
-            fields = None
+        while piece is not None:
+            if fields is None:
+                if not piece.strip():  # an empty file, or blank lines at its end
+                    break
+                head, sep, body = piece.partition(END.encode())
+                fields = _fields(head.split(b"\r\n", 1)[-1])
+                length = dict(fields).get("content-length", "")
+                if not sep or not length.isdigit():
+                    raise ValueError(f"{file}: a record without Content-Length")
+                block, need = [body], int(length) - len(body)
+            else:  # the separator was part of the block
+                block += [cut, piece]
+                need -= len(cut) + len(piece)
+            piece = None
+            if need <= 0:
+                body = b"".join(block)
+                if need < 0:
+                    body, rest = body[:need], body[need:]
+                    if rest.startswith(cut):  # a separator that the reader took for part of a line
+                        piece = rest[len(cut) :]
+                    elif rest.strip(b"\r\n"):
+                        raise ValueError(f"{file}: a record goes on beyond its Content-Length")
+                yield fields, body
+                fields = None
     if fields is not None:
         raise broken()
 

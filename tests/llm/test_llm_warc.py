@@ -104,6 +104,8 @@ def test_broken_archives_are_errors():
     ok = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc"
     read = lambda *p: list(warc.whole_records(iter([("f", 0, x.encode()) for x in p])))
     assert [b for _, b in read(ok, "1\r\nContent-Length: 1\r\n\r\nx\r\n\r\n")] == [b"abc", b"x"]
+    # Spark's reader may overlook a separator at the end of its buffer
+    assert [b for _, b in read(ok + "\r\n\r\nWARC/1.1\r\nContent-Length: 1\r\n\r\nx\r\n\r\nWARC/1.0\r\nContent-Length: 0\r\n\r\n", "1\r\nContent-Length: 1\r\n\r\ny")] == [b"abc", b"x", b"", b"y"]
     for bad in ([ok[:-1]], ["no archive"], ["WARC/1.1\r\nA: b\r\n\r\nabc"], [ok + "more"]):
         with pytest.raises(ValueError):
             read(*bad)
