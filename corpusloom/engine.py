@@ -99,7 +99,7 @@ class Engine:
         given = given.withColumns({"rank": rank.cast("long"), "score": F.lit(1.0), "dense_score": F.lit(1.0)})
         asked = routed.where("route = 'full'").select("item_id", "question", "route")
         docs = chunks.select(F.col("chunk_id").alias("doc_id"), F.col("embed_text").alias("text"))
-        dense = vectors.sparse_top_k(vectors.hashed(docs), vectors.hashed(asked, key="item_id", text="question"))
+        dense = vectors.top_k(docs.select("doc_id", vectors.embed(F.col("text")).alias("v")), asked.select("item_id", vectors.embed(F.col("question")).alias("v")), key="doc_id", vector="v", by="item_id", positive=True)
         fused = fusion.rrf(dense, bm25.top_k(docs, asked))
         few = fusion.shortcut(fused, k).select("item_id", "doc_id", "score", "rank", "dense_score")
         many = fused.join(few.select("item_id").distinct(), "item_id", "left_anti").join(asked, "item_id").join(docs, "doc_id")

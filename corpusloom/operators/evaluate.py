@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_rate
+from ..functions.text import keyword_rate, tokens
+from .index import Bm25Index
+
+#: Candidates that are sent to all tasks, at about 50 bytes each; joined by shuffle beyond.
+BROADCAST = 1 << 18
 
 
 def hit(mode: Column, expected_file: Column, expected_symbol: Column, path: Column, symbol: Column) -> Column:
@@ -15,6 +19,30 @@ def hit(mode: Column, expected_file: Column, expected_symbol: Column, path: Colu
     return F.when(mode == "file", file).when(mode == "symbol", name).otherwise(file | name)
 
 
+def relevant(index: Bm25Index, collection: str, docs: DataFrame, questions: DataFrame, by: str = "item_id", key: str = "doc_id", text: str = "text", passage: str = "passage") -> DataFrame:
+    """``by``, ``key`` of the documents that hold a question's whole passage, letter by letter.
+
+    Candidates are the index's postings of the rarest word from within the passage (its first and last may be parts of
+    a document's words); each is read and compared once.  Passages without a word between two others are a stated set
+    that is held against all documents.  A null or empty passage has no answer.
+    """
+    asked = questions.where(F.length(passage) > 0).select(by, F.col(passage).alias("passage"))
+    words = F.split("passage", r"\s+")
+    inner = tokens(F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), " "))
+    asked = asked.withColumn("inner", inner)
+    terms = asked.select(by, F.explode(F.array_distinct("inner")).alias("term"))
+    weights = index.weights(collection).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    # a passage with a word that the index doesn't know is held by none
+    rarest = terms.join(weights, "term", "left").groupBy(by).agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"))
+    near = index.postings(collection).join(F.broadcast(rarest), "term").select(by, F.col("key").alias(key))
+    near = F.broadcast(near) if near.count() <= BROADCAST else near
+    bodies = docs.select(key, F.col(text).alias("body"))
+    held = lambda rows: rows.where(F.contains("body", F.col("passage"))).select(by, key)
+    long = held(bodies.join(near, key).join(F.broadcast(asked.select(by, "passage")), by))
+    short = asked.where(F.size("inner") == 0).select(by, "passage")
+    return long.unionByName(held(bodies.join(F.broadcast(short), F.contains("body", F.col("passage"))))) if short.count() else long
+
+
 def first_hits(results: DataFrame, relevant: DataFrame, by: str = "item_id", key: str = "doc_id") -> DataFrame:
     """by, first_rank of each question that has a relevant document; null without a hit."""
     hits = results.join(relevant, [by, key], "left_semi").groupBy(by).agg(F.min("rank").alias("first_rank"))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config
 from ..functions import text as X
@@ -20,19 +24,104 @@ def norms(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     return vectors.select(key, F.round(X.norm(F.col(vector)), 6).alias("norm_before"), F.round(X.norm(X.l2_normalize(F.col(vector))), 6).alias("norm_after"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = config.DENSE_K, key: str = "vec_id", vector: str = "embedding", by: str = "query_id", limit: int = 10_000) -> DataFrame:
-    """by, key, score, rank: exact cosine of a stated set of queries, sent to all tasks in parts of about ``limit``."""
-    asked = queries.select(F.col(by), X.l2_normalize(F.col(vector)).alias("_q"))
-    unit = vectors.select(key, X.l2_normalize(F.col(vector)).alias("_v"))
+def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, unit rows) of the vectors that have ``dim`` finite components; a zero vector stays zero."""
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(size == dim)
+    v = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    n = np.sqrt((v * v).sum(1))
+    good = np.isfinite(n)
+    return at[good], v[good] / np.where(n[good] > 0, n[good], 1)[:, None]
+
+
+def best_of(scores: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k largest scores, equal ones in the given order."""
+    if len(scores) > k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        at = np.flatnonzero(scores >= least)
+    else:
+        at = np.arange(len(scores))
+    return at[np.lexsort((order[at], -scores[at]))[:k]]
+
+
+def places(keys: pa.Array) -> np.ndarray:
+    """The rank of each key among the batch's."""
+    order = pc.sort_indices(keys).to_numpy()
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
+def in_parts(queries: DataFrame, by: str, vector: str, limit: int) -> list[tuple[list, np.ndarray]]:
+    """Queries as (ids, unit rows) in parts of about ``limit`` and of one length each; those without a vector are left out."""
+    asked = queries.where(F.col(vector).isNotNull()).select(by, F.col(vector).cast("array<double>").alias("v"))
     parts = max(1, -(-asked.count() // limit))
+    out = []
+    for p in range(parts):
+        rows = asked.where(F.pmod(F.xxhash64(by), F.lit(parts)) == p).toArrow()
+        for dim in set(pc.list_value_length(rows["v"]).to_pylist()) - {0, None}:
+            at, unit = _matrix(rows["v"].combine_chunks(), dim)
+            out.append((rows[by].take(pa.array(at)).to_pylist(), unit))
+    return out
+
+
+def ranked(scored: DataFrame, k: int, key: str, by: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), key))
+    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = config.DENSE_K, key: str = "vec_id", vector: str = "embedding", by: str = "query_id", limit: int = 10_000, positive: bool = False) -> DataFrame:
+    """by, key, score, rank: exact cosine of a stated set of queries, sent to all tasks in parts of about ``limit``.
 
-    def part(p: int) -> DataFrame:
-        own = asked.where(F.pmod(F.xxhash64(by), F.lit(parts)) == p)
-        scored = unit.join(F.broadcast(own), F.size("_v") == F.size("_q")).select(by, key, F.round(X.dot(F.col("_v"), F.col("_q")), 6).alias("score"))
-        rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), key))
-        return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    Each batch of vectors is multiplied with the queries and keeps the best ``k`` of each, so little is shuffled.
+    Vectors that are null, of another length than the query or not finite are left out; ``positive`` leaves out scores
+    that aren't above 0.
+    """
+    schema = T.StructType([T.StructField(by, queries.schema[by].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    rows = vectors.where(F.col(vector).isNotNull()).select(key, vector)
 
-    return reduce(DataFrame.unionByName, map(part, range(parts)))
+    def part(ids: list, unit: np.ndarray) -> DataFrame:
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, unit))
+
+        def run(batches):
+            ids, q = shared.value
+            for b in batches:
+                at, v = _matrix(b.column(1), q.shape[1])
+                order, names, found, scores = places(b.column(0).take(pa.array(at))), [], [], []
+                for lo in range(0, len(ids), 256):
+                    s = np.round(v @ q[lo : lo + 256].T, 6)
+                    for i in range(s.shape[1]):
+                        own = best_of(s[:, i], order, k)
+                        own = own[s[own, i] > 0] if positive else own
+                        names += [ids[lo + i]] * len(own)
+                        found.append(at[own])
+                        scores.append(s[own, i])
+                if names:
+                    yield pa.RecordBatch.from_arrays([pa.array(names), b.column(0).take(pa.array(np.concatenate(found))), pa.array(np.concatenate(scores))], names=schema.names)
+
+        return ranked(rows.mapInArrow(run, schema), k, key, by)
+
+    parts = [part(*p) for p in in_parts(queries, by, vector, limit)]
+    return reduce(DataFrame.unionByName, parts) if parts else ranked(rows.limit(0).select(F.lit(None).cast(schema[by].dataType).alias(by), key, F.lit(0.0).alias("score")), k, key, by)
+
+
+def _unit_counts(buckets: int):
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(of: pa.Array) -> pa.Array:
+        size = of.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(of)), size)
+        n = np.bincount(row * buckets + of.flatten().to_numpy(zero_copy_only=False), minlength=len(of) * buckets).reshape(len(of), buckets).astype(np.float64)
+        length = np.sqrt((n * n).sum(1))
+        n /= np.where(length > 0, length, 1)[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * buckets), pa.array(n.ravel()))
+
+    return run
+
+
+def embed(text: Column, buckets: int = 64) -> Column:
+    """The stand-in for a model: a text's words counted by two hexadecimal digits of their MD5, as a unit vector; zero without words."""
+    of = F.transform(F.coalesce(X.tokens(text), F.array().cast("array<string>")), lambda w: F.conv(F.left(F.md5(w), F.lit(2)), 16, 10).cast("int") % buckets)
+    return _unit_counts(buckets)(of)
 
 
 def hashed(docs: DataFrame, buckets: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,10 +130,3 @@ def hashed(docs: DataFrame, buckets: int = 64, key: str = "doc_id", text: str =
     counts = words.groupBy(key, (F.conv(F.left(F.md5("w"), F.lit(2)), 16, 10).cast("long") % buckets).alias("bucket")).agg(F.count("*").alias("n"))
     length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
     return counts.select(key, "bucket", (F.col("n") / length).alias("weight"))
-
-
-def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int = config.DENSE_K, key: str = "doc_id", by: str = "item_id") -> DataFrame:
-    """by, key, score, rank of bucketed unit vectors: dot products by a join on the bucket."""
-    scored = queries.select(by, "bucket", F.col("weight").alias("q")).join(docs, "bucket").groupBy(by, key).agg(F.round(F.sum(F.col("q") * F.col("weight")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)

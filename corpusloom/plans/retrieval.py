@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as X
 from ..operators import bm25, chunking, evaluate, fusion, prompt, vectors
+from ..operators.index import Bm25Index
+from ..sources.storage import shared_folder
 from ..sources.tables import QUESTIONS_SQL, files, questions, table
 from .text import FILE_WINDOWS_SQL, TOKENS_SQL
 
@@ -25,8 +29,6 @@ def _q(name: str, sql: str | None):
 
 _INDEX = f"""tok AS MATERIALIZED (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents),
 tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
-dl AS (SELECT doc_id, len({TOKENS_SQL}) AS doc_len FROM documents),
-st AS (SELECT count(*) AS n, avg(doc_len) AS mean FROM dl),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, (SELECT count(*) AS n FROM documents)),
 fl AS (SELECT 0.25 * avg(raw) AS floor FROM raw),
@@ -35,6 +37,8 @@ w AS (SELECT term, df, CASE WHEN raw < 0 THEN floor ELSE raw END AS idf FROM raw
 
 def _bm25(where: str) -> str:
     return f"""{QUESTIONS_SQL}, {_INDEX},
+dl AS (SELECT doc_id, len({TOKENS_SQL}) AS doc_len FROM documents),
+st AS (SELECT avg(doc_len) AS mean FROM dl),
 qt AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({TOKENS_SQL.replace('text', 'question')}) AS term FROM questions WHERE {where}) GROUP BY ALL),
 sc AS (SELECT item_id, doc_id, round(sum(c * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / mean))), 6) AS score FROM qt JOIN w USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
 sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 50)"""
@@ -67,12 +71,32 @@ def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text")
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored_index(spark, d) -> Bm25Index:
+    """The documents' index in the session's shared folder: built when it is first asked for, and again if their files have changed."""
+    docs = table(spark, d, "documents")
+    at = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    mark = (spark.sparkContext.applicationId, d, *at.agg(F.count("*"), F.bit_xor(F.xxhash64("*"))).first())
+    if mark not in _STORED:
+        path = f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
+        Bm25Index(spark, path).add(docs.select("doc_id", "text", F.lit("all").alias("repo_id")))
+        _STORED[mark] = path
+    return Bm25Index(spark, _STORED[mark])
+
+
+def _sparse(spark, d, asked=None, k=config.SPARSE_K):
+    return stored_index(spark, d).top_k(questions(spark, d) if asked is None else asked, "all", k)
+
+
 def _dense(spark, d):
-    return vectors.sparse_top_k(vectors.hashed(_docs(spark, d)), vectors.hashed(questions(spark, d), key="item_id", text="question"))
+    asked = questions(spark, d).select("item_id", vectors.embed(F.col("question")).alias("v"))
+    return vectors.top_k(_docs(spark, d).select("doc_id", vectors.embed(F.col("text")).alias("v")), asked, key="doc_id", vector="v", by="item_id", positive=True)
 
 
 def _fused(spark, d):
-    return fusion.rrf(_dense(spark, d), bm25.top_k(_docs(spark, d), questions(spark, d)))
+    return fusion.rrf(_dense(spark, d), _sparse(spark, d))
 
 
 def _coverage(question, text):
@@ -88,17 +112,28 @@ def _reranked(spark, d):
 
 @_q("bm25_topk", f"WITH {_bm25('item_id = 0')} SELECT doc_id, score, rank FROM sparse")
 def _(spark, d):
-    return bm25.top_k(_docs(spark, d), questions(spark, d).where("item_id = 0")).select("doc_id", "score", "rank")
+    return _sparse(spark, d, questions(spark, d).where("item_id = 0")).select("doc_id", "score", "rank")
 
 
 @_q("bm25_topk_batch", f"WITH {_bm25('true')} SELECT item_id, doc_id, score, rank FROM sparse")
 def _(spark, d):
-    return bm25.top_k(_docs(spark, d), questions(spark, d)).select("item_id", "doc_id", "score", "rank")
+    return _sparse(spark, d).select("item_id", "doc_id", "score", "rank")
+
+
+@_q("bm25_index_build", f"SELECT term, doc_id, tf, len({TOKENS_SQL}) AS doc_len FROM (SELECT doc_id, text, unnest(list_distinct({TOKENS_SQL})) AS term FROM documents) JOIN (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) GROUP BY ALL) USING (doc_id, term)")
+def _(spark, d):
+    """The postings as they are stored, read back."""
+    return stored_index(spark, d).postings("all").select("term", F.col("key").alias("doc_id"), "tf", F.col("len").alias("doc_len"))
+
+
+@_q("bm25_index_stats", f"WITH {_INDEX} SELECT 'all' AS repo_id, n AS n_docs, round(mean, 6) AS mean_len, round(floor, 6) AS floor, n_terms FROM fl, (SELECT count(*) AS n, avg(len({TOKENS_SQL})) AS mean FROM documents), (SELECT count(*) AS n_terms FROM df)")
+def _(spark, d):
+    return stored_index(spark, d).stats().select("repo_id", "n_docs", F.round("mean_len", 6).alias("mean_len"), F.round("floor", 6).alias("floor"), "n_terms")
 
 
 @_q("bm25_idf", f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM w")
 def _(spark, d):
-    return bm25.weights(_docs(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return stored_index(spark, d).weights("all").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @_q("bm25_doclen", f"SELECT doc_id, len({TOKENS_SQL}) AS doc_len FROM documents")
@@ -152,7 +187,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf_score DESC
 SELECT item_id, doc_id, dense_score AS score, row_number() OVER (PARTITION BY item_id ORDER BY dense_score DESC, r0) AS rank FROM fr WHERE n <= 8""",
 )
 def _(spark, d):
-    few = fusion.rrf(_dense(spark, d).where("rank <= 4"), bm25.top_k(_docs(spark, d), questions(spark, d), k=4))
+    few = fusion.rrf(_dense(spark, d).where("rank <= 4"), _sparse(spark, d, k=4))
     return fusion.shortcut(few).select("item_id", "doc_id", "score", "rank")
 
 
@@ -239,42 +274,28 @@ def _(spark, d):
     return holes.select(*prompt.source_fields(holes))
 
 
-_RELEVANT = f"{_bm25('true')}, relevant AS (SELECT item_id, doc_id FROM questions q JOIN documents d ON contains(d.text, q.passage)), first AS (SELECT r.item_id, min(s.rank) AS first_rank FROM (SELECT DISTINCT item_id FROM relevant) i JOIN relevant r USING (item_id) LEFT JOIN sparse s ON s.item_id = r.item_id AND s.doc_id = r.doc_id GROUP BY 1)"
+RELEVANT_SQL = f"{_bm25('true')}, relevant AS (SELECT item_id, doc_id FROM questions q JOIN documents d ON contains(d.text, q.passage)), first AS (SELECT r.item_id, min(s.rank) AS first_rank FROM (SELECT DISTINCT item_id FROM relevant) i JOIN relevant r USING (item_id) LEFT JOIN sparse s ON s.item_id = r.item_id AND s.doc_id = r.doc_id GROUP BY 1)"
 
 
 def _relevant(spark, d):
-    """Documents that hold a question's whole passage.
-
-    Candidates share the longest word from within the passage: its first and last may be parts of a document's words.
-    Passages without a word between two others are a stated set held against all documents.
-    """
-    q, docs = questions(spark, d).select("item_id", "passage"), _docs(spark, d).select("doc_id", "text")
-    words = F.split("passage", r"\s+")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    probes = q.withColumn("w", longest)
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
-    near = held.join(probes.where("w is not null").select("item_id", "w"), "w").select("item_id", "doc_id")
-    long = near.join(docs, "doc_id").join(q, "item_id").where(F.contains("text", F.col("passage")))
-    short = docs.join(probes.where("w is null and passage is not null").drop("w"), F.contains("text", F.col("passage")))
-    return long.select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id"))
+    return evaluate.relevant(stored_index(spark, d), "all", _docs(spark, d), questions(spark, d))
 
 
 def _first(spark, d):
-    return evaluate.first_hits(bm25.top_k(_docs(spark, d), questions(spark, d)), _relevant(spark, d))
+    return evaluate.first_hits(_sparse(spark, d), _relevant(spark, d))
 
 
-@_q("first_hit_rank", f"WITH {_RELEVANT} SELECT item_id, first_rank FROM first")
+@_q("first_hit_rank", f"WITH {RELEVANT_SQL} SELECT item_id, first_rank FROM first")
 def _(spark, d):
     return _first(spark, d)
 
 
-@_q("recall_at_k", f"WITH {_RELEVANT}, k AS (SELECT unnest([1, 5, 10])::BIGINT AS k) SELECT k, round(avg(CASE WHEN first_rank <= k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM first, k GROUP BY 1")
+@_q("recall_at_k", f"WITH {RELEVANT_SQL}, k AS (SELECT unnest([1, 5, 10])::BIGINT AS k) SELECT k, round(avg(CASE WHEN first_rank <= k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM first, k GROUP BY 1")
 def _(spark, d):
     return evaluate.recall(_first(spark, d), [1, 5, 10])
 
 
-@_q("mrr", f"WITH {_RELEVANT} SELECT round(avg(coalesce(1.0::DOUBLE / first_rank, 0)), 6) AS mrr, count(*) AS n FROM first")
+@_q("mrr", f"WITH {RELEVANT_SQL} SELECT round(avg(coalesce(1.0::DOUBLE / first_rank, 0)), 6) AS mrr, count(*) AS n FROM first")
 def _(spark, d):
     return evaluate.mrr(_first(spark, d))
 

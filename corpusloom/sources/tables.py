@@ -12,11 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_files(documents: DataFrame) -> DataFrame:
     """Documents as files of repositories: repo_id (the source), doc_id, rel_path, text, lang."""
-    ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % len(EXTENSIONS) + 1).cast("int"))
+    ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.pmod("doc_id", F.lit(len(EXTENSIONS))) + 1).cast("int"))
     path = F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), ext)
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id"), "doc_id", path.alias("rel_path"), "text", "lang")
+    return documents.select(F.col("source").alias("repo_id"), "doc_id", path.alias("rel_path"), "text", "lang")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_files(table(spark, sf_dir, "documents"))
 
 
 FILES_SQL = (
@@ -25,9 +29,13 @@ FILES_SQL = (
 )
 
 
+def as_questions(items: DataFrame) -> DataFrame:
+    """Items as questions: item_id, question (the first eight words), passage."""
+    return items.select("item_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("question"), F.col("text").alias("passage"))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as questions: item_id, question (the first eight words), passage."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("question"), F.col("text").alias("passage"))
+    return as_questions(table(spark, sf_dir, "benchmark"))
 
 
 QUESTIONS_SQL = "questions AS (SELECT item_id, array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, 8), ' ') AS question, text AS passage FROM benchmark)"
