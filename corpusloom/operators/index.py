@@ -25,6 +25,8 @@ BLOCK = 512
 #: Frequent terms that are sent to all tasks when blocks are dealt, at about 100 bytes each; joined by shuffle beyond.
 BROADCAST = 1 << 18
 
+_TYPES = {"stats": "n_docs long, mean_len double, floor double, n_terms long, repo_id string", "terms": "term string, df long, repo_id string"}
+
 
 def _impact(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (config.BM25_K1 + 1) / (tf + config.BM25_K1 * (1 - config.BM25_B + config.BM25_B * length / mean))
@@ -37,7 +39,8 @@ class Bm25Index:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}").withColumn("repo_id", F.col("repo_id").cast("string"))
+        read = self.spark.read
+        return (read.schema(_TYPES[name]) if name in _TYPES else read).parquet(f"{self.root}/{name}").withColumn("repo_id", F.col("repo_id").cast("string"))
 
     def _put(self, rows: DataFrame, name: str) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(f"{self.root}/{name}")
@@ -79,7 +82,9 @@ class Bm25Index:
         return self._table("stats")
 
     def postings(self, repo: str) -> DataFrame:
-        """term, key, tf, len of a collection."""
+        """term, key, tf, len of a collection; none of one that isn't there."""
+        if not self.stats().where((F.col("repo_id") == repo) & (F.col("n_terms") > 0)).count():
+            return self.spark.createDataFrame([], "term string, key string, tf long, len long")
         return self._table("postings").where(F.col("repo_id") == repo).select("term", F.explode("docs").alias("d")).select("term", "d.*")
 
     def weights(self, repo: str) -> DataFrame:

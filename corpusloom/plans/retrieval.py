@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as X
-from ..operators import bm25, chunking, evaluate, fusion, prompt, vectors
+from ..operators import bm25, chunking, evaluate, fusion, prompt, vector_index, vectors
 from ..operators.index import Bm25Index
+from ..operators.vector_index import VectorIndex
 from ..sources.storage import shared_folder
 from ..sources.tables import QUESTIONS_SQL, files, questions, table
 from .text import FILE_WINDOWS_SQL, TOKENS_SQL
@@ -74,16 +75,24 @@ def _docs(spark, d):
 _STORED: dict[tuple, str] = {}
 
 
-def stored_index(spark, d) -> Bm25Index:
-    """The documents' index in the session's shared folder: built when it is first asked for, and again if their files have changed."""
-    docs = table(spark, d, "documents")
-    at = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    mark = (spark.sparkContext.applicationId, d, *at.agg(F.count("*"), F.bit_xor(F.xxhash64("*"))).first())
+def _stored(spark, d, name: str, build) -> str:
+    """The folder of an index of a table, in the session's shared folder: built when it is first asked for, and again if the table's files have changed."""
+    rows = table(spark, d, name)
+    at = rows.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    mark = (spark.sparkContext.applicationId, name, d, *at.agg(F.count("*"), F.bit_xor(F.xxhash64("*"))).first())
     if mark not in _STORED:
-        path = f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
-        Bm25Index(spark, path).add(docs.select("doc_id", "text", F.lit("all").alias("repo_id")))
+        path = f"{shared_folder(spark)}/{name}-index-{uuid.uuid4().hex}"
+        build(path, rows)
         _STORED[mark] = path
-    return Bm25Index(spark, _STORED[mark])
+    return _STORED[mark]
+
+
+def stored_index(spark, d) -> Bm25Index:
+    return Bm25Index(spark, _stored(spark, d, "documents", lambda path, docs: Bm25Index(spark, path).add(docs.select("doc_id", "text", F.lit("all").alias("repo_id")))))
+
+
+def stored_vectors(spark, d) -> VectorIndex:
+    return VectorIndex(spark, _stored(spark, d, "embeddings", lambda path, rows: VectorIndex(spark, path).build(rows)))
 
 
 def _sparse(spark, d, asked=None, k=config.SPARSE_K):
@@ -168,6 +177,26 @@ def _(spark, d):
     return vectors.top_k(v, v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"))
 
 
+@_q("dense_topk_stored", _dense_sql("vec_id % 20 = 0"))
+def _(spark, d):
+    """The exact way of the stored vectors: every list is read and every vector scored."""
+    v = table(spark, d, "embeddings")
+    return stored_vectors(spark, d).top_k(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), exact=True)
+
+
+@_q("dense_topk_lists", None)
+def _(spark, d):
+    """The lists nearest to each query only; what that finds of the exact results is ``dense_recall``."""
+    v = table(spark, d, "embeddings")
+    return stored_vectors(spark, d).top_k(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"))
+
+
+@_q("dense_recall", "SELECT count(*) AS n, true AS recall_is_090 FROM embeddings WHERE vec_id % 20 = 0")
+def _(spark, d):
+    at, asked = stored_vectors(spark, d), table(spark, d, "embeddings").where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return vector_index.recall(at.top_k(asked), at.top_k(asked, exact=True)).select("n", (F.col("recall") >= 0.9).alias("recall_is_090"))
+
+
 @_q("hashed_embedding", f"WITH {_hashed('dv', 'doc_id', 'documents', 'text')} SELECT doc_id, bucket, round(weight, 6) AS weight FROM dv")
 def _(spark, d):
     return vectors.hashed(_docs(spark, d)).withColumn("weight", F.round("weight", 6))

@@ -50,6 +50,12 @@ def window_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours
 _TOKEN = T.StructType([T.StructField("message", T.StructType([T.StructField("content", T.StringType())])), T.StructField("done", T.BooleanType())])
 
 
+def parsed_lines(lines: DataFrame, by: str = "request_id", seq: str = "seq", line: str = "line") -> DataFrame:
+    """by, seq, token, done of every line; blank and broken ones have no token and aren't the last."""
+    j = F.from_json(line, _TOKEN)
+    return lines.select(by, seq, j["message"]["content"].alias("token"), F.coalesce(j["done"], F.lit(False)).alias("done"))
+
+
 def token_stream(lines: DataFrame, by: str = "request_id", seq: str = "seq", line: str = "line") -> DataFrame:
     """by, seq, token of each request's JSON lines up to the one that is done; blank and broken lines are skipped."""
     rows = lines.where(F.trim(F.col(line)) != "").select(by, seq, F.from_json(line, _TOKEN).alias("j")).where("j.message is not null or j.done is not null")
