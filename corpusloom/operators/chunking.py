@@ -68,6 +68,18 @@ def notebook_cells(cells: DataFrame, text: str, kind: Column, number: Column, by
     return short.unionByName(parts.drop("chunk_no"))
 
 
+def notebook_chunks(notebooks: DataFrame, text: str = "text", by: tuple[str, ...] = ("repo_id", "rel_path")) -> DataFrame:
+    """The cells of notebooks in JSON as chunks: a cell's ``source`` may be a text or a list of texts.
+
+    What isn't a cell counts in the numbering and is left out; a text that is no JSON, or has no list of cells, has none.
+    """
+    cells = F.try_variant_get(F.try_parse_json(F.col(text)), "$.cells", "array<variant>")
+    rows = notebooks.select(*by, F.posexplode(cells).alias("i", "cell"))
+    source = F.try_variant_get("cell", "$.source", "variant")
+    body = F.when(F.schema_of_variant(source) == "STRING", F.try_variant_get("cell", "$.source", "string")).otherwise(F.array_join(F.try_variant_get("cell", "$.source", "array<string>"), ""))
+    return notebook_cells(rows.select(*by, "i", F.try_variant_get("cell", "$.cell_type", "string").alias("k"), body.alias("text")), "text", F.col("k"), F.col("i") + 1, list(by))
+
+
 CHUNK = T.StructType([T.StructField("chunk_type", T.StringType()), T.StructField("symbol_name", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("text", T.StringType())])
 
 

@@ -63,15 +63,35 @@ def structure_listing(paths: DataFrame, prefix: str | None, by: str = "repo_id")
     return out.select(by, "text", "n_files", line_count(F.col("text")).alias("end_line"))
 
 
-def manifest_chunks(paths: DataFrame, by: str = "repo_id", size: int = config.MANIFEST_PATHS, skipped: DataFrame | None = None) -> DataFrame:
-    """by, batch_no, n_paths, text, end_line: a repository's paths in batches; ``skipped`` (by, summary) goes under the first."""
+def skipped_lines(summary: DataFrame, by: str = "repo_id") -> DataFrame:
+    """by, summary: the folders of a skipped summary (by, folder, n_files, ext_parts) as lines, one row a repository."""
+    line = F.concat(F.lit("  "), F.col("folder"), F.lit("/ — "), F.col("n_files").cast("string"), F.lit(" file(s) ("), F.col("ext_parts"), F.lit(")"))
+    rows = F.array_sort(F.collect_list(F.struct("folder", line.alias("line"))))
+    return summary.groupBy(by).agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("summary"))
+
+
+def manifest_chunks(paths: DataFrame, by: str = "repo_id", size: int = config.MANIFEST_PATHS, skipped: DataFrame | None = None, truncated: DataFrame | None = None) -> DataFrame:
+    """by, batch_no, n_paths, text, end_line: a repository's paths in batches.
+
+    Under the first go the paths of ``truncated`` (by, path), which were read in part, and ``skipped`` (by, summary).  A
+    repository that has nothing but skipped files gets one chunk that says so.
+    """
     ranked = paths.withColumn("batch_no", F.floor((F.row_number().over(Window.partitionBy(by).orderBy("path")) - 1) / size).cast("long"))
     total = paths.groupBy(by).agg(F.count("*").alias("total"))
     batches = ranked.groupBy(by, "batch_no").agg(F.count("*").alias("n_paths")).join(tree_text(ranked, [by, "batch_no"]), [by, "batch_no"]).join(total, by)
     body = F.concat(F.format_string("Repository file index — searchable text files (%d total):\n", "total"), "text")
+    first = F.col("batch_no") == 0
+    if truncated is not None:
+        named = F.array_join(F.transform(F.array_sort(F.collect_set("path")), lambda p: F.concat(F.lit("  "), p)), "\n")
+        head = F.format_string("\n\nPartially indexed (first %d file(s) truncated to size limit):\n", F.count_distinct("path"))
+        cut = truncated.groupBy(by).agg(F.concat(head, named).alias("cut"))
+        batches = batches.join(cut, by, "left")
+        body = F.concat(body, F.when(first, F.coalesce("cut", F.lit(""))).otherwise(""))
     if skipped is not None:
-        batches = batches.join(skipped, by, "left")
-        body = F.concat(body, F.when((F.col("batch_no") == 0) & (F.col("summary") != ""), F.concat(F.lit("\n\nExcluded from search (binary/non-text — on disk only):\n"), "summary")).otherwise(""))
+        empty = skipped.join(total, by, "left_anti").where("summary <> ''")
+        columns = {"batch_no": F.lit(0).cast("long"), "n_paths": F.lit(0).cast("long"), "text": F.lit("(no searchable files)"), "total": F.lit(0).cast("long")}
+        batches = batches.unionByName(empty.select(by).withColumns(columns), allowMissingColumns=True).join(skipped, by, "left")
+        body = F.concat(body, F.when(first & (F.col("summary") != ""), F.concat(F.lit("\n\nExcluded from search (binary/non-text — on disk only):\n"), "summary")).otherwise(""))
     return batches.withColumn("text", body).select(by, "batch_no", "n_paths", "text", line_count(F.col("text")).alias("end_line"))
 
 

@@ -24,6 +24,11 @@ def format_chunk(index: Column, path: Column, start: Column, end: Column, kind:
     return F.concat(head, F.lit("\n```"), F.coalesce(language, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")), F.lit("\n```"))
 
 
+def format_structure(text: Column) -> Column:
+    """A manifest as a block of a prompt."""
+    return F.concat(F.lit("Repository file index:\n"), F.coalesce(text, F.lit("")))
+
+
 def trim_greedy(chunks: DataFrame, tokens: str, budget: int = config.PROMPT_BUDGET, by: str = "item_id") -> DataFrame:
     """by, rank, new_rank of the chunks that fit in order; one that doesn't is skipped, smaller ones may follow.
 

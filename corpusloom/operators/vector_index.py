@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import config
 from . import vectors as V
@@ -129,7 +130,7 @@ class VectorIndex:
         cand = F.broadcast(cand) if len(ids) * k * refine <= BROADCAST else cand
         pairs = stored.where(F.col("list").isin(list(asked))).select("key", "list", "vector").join(cand, ["list", "key"]).select("_q", "key", "vector")
         scored = T.StructType([T.StructField(by, kind), stored.schema["key"], T.StructField("score", T.DoubleType())])
-        named = self.spark.sparkContext.broadcast(ids)
+        named, arrow = self.spark.sparkContext.broadcast(ids), to_arrow_type(kind)
 
         def exactly(batches):
             q = shared.value[1]
@@ -137,7 +138,7 @@ class VectorIndex:
                 if b.num_rows:
                     of = b.column("_q").to_numpy()
                     v = b.column("vector").flatten().to_numpy().reshape(b.num_rows, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array([named.value[i] for i in of.tolist()]), b.column("key"), pa.array(np.round((v * q[of]).sum(1), 6))], names=scored.names)
+                    yield pa.RecordBatch.from_arrays([pa.array([named.value[i] for i in of.tolist()], arrow), b.column("key"), pa.array(np.round((v * q[of]).sum(1), 6))], names=scored.names)
 
         return V.ranked(pairs.mapInArrow(exactly, scored), k, "key", by)
 

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import config
 from ..functions import text as X
@@ -78,7 +79,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = config.DENSE_K, key:
     that aren't above 0.
     """
     schema = T.StructType([T.StructField(by, queries.schema[by].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
-    rows = vectors.where(F.col(vector).isNotNull()).select(key, vector)
+    rows, kind = vectors.where(F.col(vector).isNotNull()).select(key, vector), to_arrow_type(schema[by].dataType)
 
     def part(ids: list, unit: np.ndarray) -> DataFrame:
         shared = vectors.sparkSession.sparkContext.broadcast((ids, unit))
@@ -97,7 +98,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = config.DENSE_K, key:
                         found.append(at[own])
                         scores.append(s[own, i])
                 if names:
-                    yield pa.RecordBatch.from_arrays([pa.array(names), b.column(0).take(pa.array(np.concatenate(found))), pa.array(np.concatenate(scores))], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(names, kind), b.column(0).take(pa.array(np.concatenate(found))), pa.array(np.concatenate(scores))], names=schema.names)
 
         return ranked(rows.mapInArrow(run, schema), k, key, by)
 

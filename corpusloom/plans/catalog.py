@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog, chunking
 from ..sources import files as S
 from ..sources.tables import FILES_SQL, files, table
-from ..streaming import jobs
+from ..streaming import jobs, stateful
 from .text import FILE_WINDOWS_SQL
 
 QUERIES, SQL = {}, {}
@@ -61,6 +61,15 @@ def _(spark, d):
     return jobs.progress(files(spark, d).select("repo_id", "rel_path", seen.alias("seen")))
 
 
+@_q(
+    "ingest_progress_later",
+    f"""WITH {FILE_WINDOWS_SQL}, r AS (SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY rel_path, chunk_no) AS i, count(*) OVER (PARTITION BY repo_id) AS n FROM windows)
+SELECT repo_id, i AS chunks_done, 'embedding' AS phase, round(0.2::DOUBLE + 0.7::DOUBLE * i / n, 6) AS progress FROM r WHERE i % 32 = 0 OR i = n UNION ALL SELECT repo_id, n, 'bm25', unnest([0.9::DOUBLE, 1.0::DOUBLE]) FROM r WHERE i = n""",
+)
+def _(spark, d):
+    return jobs.progress_later(chunking.windows(files(spark, d)))
+
+
 _STATUS = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'running' END"
 
 
@@ -74,6 +83,21 @@ def _(spark, d):
     return jobs.accepted_jobs(jobs.with_event_time(table(spark, d, "events")))
 
 
+_SILENT = 6 * 3600
+
+
+@_q(
+    "job_history",
+    f"""WITH e AS (SELECT DISTINCT user_id, event_id, epoch_us(ts) AS t, {_STATUS} AS status FROM events),
+w AS (SELECT *, lag(status) OVER o AS b, lag(t) OVER o AS b_t, lead(t) OVER o AS n_t FROM e WINDOW o AS (PARTITION BY user_id ORDER BY t, event_id))
+SELECT user_id, event_id, t AS "at", status, NOT coalesce(b = 'running' AND t - b_t <= {_SILENT * 1_000_000}, false) AS accepted FROM w
+UNION ALL SELECT user_id, NULL, t + {_SILENT * 1_000_000}, 'failed', NULL FROM w WHERE status = 'running' AND (n_t IS NULL OR n_t - t > {_SILENT * 1_000_000})""",
+)
+def _(spark, d):
+    """What the stream of the same name in ``streaming.stateful`` gives, with jobs that are silent for six hours."""
+    return stateful.job_history(jobs.with_event_time(table(spark, d, "events")), _SILENT)
+
+
 @_q("rate_limit_tumbling", "SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_id, row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 1 HOUR, ts) ORDER BY ts, event_id) <= 1 AS allowed FROM events")
 def _(spark, d):
     out = jobs.limited(jobs.with_event_time(table(spark, d, "events")), 1)

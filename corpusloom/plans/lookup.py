@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions import text as X
 from ..operators import chunking, intent, manifest
 from ..sources import files as S
 from ..sources.tables import FILES_SQL, files, table
-from .text import FILE_WINDOWS_SQL
+from .text import FILE_WINDOWS_SQL, TOKENS_SQL
 
 QUERIES, SQL = {}, {}
 
-ASKED = [
-    "hello!", "Hi", "good morning", "thanks a lot", "Who are you?", "what's in the repo", "what is in the src7 folder?", "list files", "show the contents of src3/en", "file structure", "project structure of src1/",
-    "what files are in src2", "files in src4/de", "explain doc_12.md", "where is src5/en/doc_999999.md", "how does doc_25.txt work", "what is in readme", "inside the src9 directory", "give me an overview",
-    "main modules", "how is login handled?", "open doc_3.html and doc_12.md", "what is doc_44.yaml file about", "contents of the repository", "tell me the files under src6", "in the readme folder", "components",
-]
-_VALUES = "asked(question) AS (VALUES " + ", ".join("('{}')".format(q.replace("'", "''")) for q in ASKED) + ")"
+#: Every turn of a conversation as a question: as it is, or its first words in the forms that questions about files have.
+_VALUES = f"""words AS (SELECT conv_id, turn, text, {TOKENS_SQL} AS w FROM conversations),
+asked AS (SELECT DISTINCT question FROM (SELECT CASE turn % 6 WHEN 0 THEN text WHEN 1 THEN 'what is in the ' || coalesce(w[1], '') || ' folder?' WHEN 2 THEN 'Files in src' || conv_id % 20 || '/' || coalesce(w[2], '')
+  WHEN 3 THEN ['hello!', 'Thanks', 'good morning ?', 'hi there', 'who are you'][CAST(1 + conv_id % 5 AS INTEGER)] WHEN 4 THEN 'project structure of ' || coalesce(w[1], '') || '/'
+  ELSE 'open doc_' || conv_id || '.md and ' || coalesce(w[1], '') || '.txt in the readme' END AS question FROM words) WHERE question IS NOT NULL)"""
 _EXT = "|".join(sorted(config.TARGET_EXTENSIONS, key=lambda e: (-len(e), e)))
 _TARGET = rf"(?i)([\w./\\-]+\.(?:{_EXT}))\b"
 _STRUCTURE = ("(?i)" + config.STRUCTURE).replace("'", "''")
@@ -47,8 +47,16 @@ def _q(name: str, sql: str | None):
     return put
 
 
-def _asked(spark):
-    return spark.createDataFrame([(q,) for q in ASKED], "question string")
+def _asked(spark, d):
+    w = X.tokens(F.col("text"))
+    first, second = (F.coalesce(F.get(w, F.lit(i)), F.lit("")) for i in (0, 1))
+    greeting = F.get(F.array(*map(F.lit, ["hello!", "Thanks", "good morning ?", "hi there", "who are you"])), (F.col("conv_id") % 5).cast("int"))
+    form = F.col("turn") % 6
+    question = (
+        F.when(form == 0, F.col("text")).when(form == 1, F.concat(F.lit("what is in the "), first, F.lit(" folder?"))).when(form == 2, F.concat(F.lit("Files in src"), (F.col("conv_id") % 20).cast("string"), F.lit("/"), second))
+        .when(form == 3, greeting).when(form == 4, F.concat(F.lit("project structure of "), first, F.lit("/"))).otherwise(F.concat(F.lit("open doc_"), F.col("conv_id").cast("string"), F.lit(".md and "), first, F.lit(".txt in the readme")))
+    )
+    return table(spark, d, "conversations").select(question.alias("question")).where("question is not null").distinct()
 
 
 def _paths(spark, d):
@@ -125,7 +133,7 @@ folder AS (SELECT question, CASE WHEN whole OR name = '' OR lower(name) IN ({',
 
 @_q("folder_prefix_extract", f"WITH {_VALUES}, {_PREFIX} SELECT * FROM folder")
 def _(spark, d):
-    return _asked(spark).select("question", intent.folder_prefix(F.col("question")).alias("folder"))
+    return _asked(spark, d).select("question", intent.folder_prefix(F.col("question")).alias("folder"))
 
 
 _TARGETS = f"""names AS (SELECT question, list_concat(list_transform(regexp_extract_all(trim(question), '{_TARGET}', 1), lambda x: lower(x)), CASE WHEN {_README} THEN ['readme'] ELSE [] END) AS names FROM asked),
@@ -138,7 +146,7 @@ target AS (SELECT question, path AS target FROM (SELECT *, row_number() OVER (PA
 
 @_q("file_target_match", f"WITH {_VALUES}, {_PATHS}, {_TARGETS} SELECT * FROM target")
 def _(spark, d):
-    return intent.target_files(_asked(spark), _paths(spark, d), path="path")
+    return intent.target_files(_asked(spark, d), _paths(spark, d), path="path")
 
 
 @_q("file_target_chunks", f"WITH {FILE_WINDOWS_SQL} SELECT rel_path, start_line, 1.0::DOUBLE AS score FROM windows WHERE regexp_extract(lower(rel_path), '([^/]*)$', 1) = 'doc_12.md'")
@@ -154,12 +162,12 @@ def _(spark, d):
 
 @_q("structure_query_filter", f"WITH {_VALUES} SELECT question, {_IS_STRUCTURE} AS is_structure FROM asked")
 def _(spark, d):
-    return _asked(spark).select("question", intent.is_structure(F.col("question")).alias("is_structure"))
+    return _asked(spark, d).select("question", intent.is_structure(F.col("question")).alias("is_structure"))
 
 
 @_q("conversational_filter", f"WITH {_VALUES} SELECT question, regexp_matches(trim(question), '{_GREETING}') AS is_conversational FROM asked")
 def _(spark, d):
-    return _asked(spark).select("question", intent.is_conversational(F.col("question")).alias("is_conversational"))
+    return _asked(spark, d).select("question", intent.is_conversational(F.col("question")).alias("is_conversational"))
 
 
 @_q(
@@ -169,7 +177,7 @@ SELECT question, corpus_size, CASE WHEN regexp_matches(trim(question), '{_GREETI
 FROM asked LEFT JOIN target USING (question), sizes""",
 )
 def _(spark, d):
-    found = _asked(spark).join(intent.target_files(_asked(spark), _paths(spark, d), path="path"), "question", "left")
+    found = _asked(spark, d).join(intent.target_files(_asked(spark, d), _paths(spark, d), path="path"), "question", "left")
     sized = found.withColumn("corpus_size", F.explode(F.array(*(F.lit(n).cast("long") for n in (10, 50, 51)))))
     return sized.select("question", "corpus_size", intent.route(F.col("question"), F.col("target").isNotNull(), F.col("corpus_size")).alias("route"))
 

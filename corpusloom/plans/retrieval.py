@@ -11,8 +11,9 @@ from ..functions import text as X
 from ..operators import bm25, chunking, evaluate, fusion, prompt, vector_index, vectors
 from ..operators.index import Bm25Index
 from ..operators.vector_index import VectorIndex
+from ..sources.golden import read_golden
 from ..sources.storage import shared_folder
-from ..sources.tables import QUESTIONS_SQL, files, questions, table
+from ..sources.tables import FILES_SQL, QUESTIONS_SQL, files, questions, table
 from .text import FILE_WINDOWS_SQL, TOKENS_SQL
 
 QUERIES, SQL = {}, {}
@@ -329,6 +330,28 @@ def _(spark, d):
     return evaluate.mrr(_first(spark, d))
 
 
+_GOLDEN = f"""{RELEVANT_SQL}, {FILES_SQL}, golden AS (SELECT item_id, CASE WHEN item_id % 5 = 4 OR o IS NULL THEN '' ELSE '/doc_' || o || '.' END AS ef, CASE WHEN item_id % 3 = 0 THEN 'de' ELSE '' END AS es, ['file', 'symbol', 'coverage', 'either'][CAST(1 + item_id % 4 AS INTEGER)] AS mode
+  FROM questions LEFT JOIN (SELECT item_id, min(doc_id) AS o FROM relevant GROUP BY 1) USING (item_id)),
+found AS (SELECT item_id, rank, ef <> '' AND contains(rel_path, ef) AS f, es <> '' AND lang = es AS s, mode FROM golden JOIN sparse USING (item_id) JOIN files USING (doc_id) WHERE rank <= 10)"""
+
+
+@_q("golden_hits", f"WITH {_GOLDEN} SELECT g.item_id, min(CASE WHEN CASE g.mode WHEN 'file' THEN f WHEN 'symbol' THEN s ELSE f OR s END THEN rank END) AS first_rank FROM golden g LEFT JOIN found USING (item_id) GROUP BY 1")
+def _(spark, d):
+    """A golden set written as JSON and read by its source; a hit is the expected file, the language as the symbol, or either."""
+    oldest = _relevant(spark, d).groupBy("item_id").agg(F.min("doc_id").alias("o"))
+    i = F.col("item_id")
+    file = F.when((i % 5 != 4) & F.col("o").isNotNull(), F.concat(F.lit("/doc_"), F.col("o").cast("string"), F.lit(".")))
+    mode = F.when(i % 4 == 0, "file").when(i % 4 == 1, "symbol").when(i % 4 == 2, "coverage")
+    golden = questions(spark, d).join(oldest, "item_id", "left").select("item_id", "question", file.alias("expected_file"), F.when(i % 3 == 0, "de").alias("expected_symbol"), mode.alias("match_mode"))
+    path = f"{shared_folder(spark)}/golden-{uuid.uuid4().hex}"
+    golden.write.json(path)
+    golden = read_golden(spark, path, lines=True).withColumn("item_id", F.col("item_id").cast("long"))
+    found = _sparse(spark, d, golden.select("item_id", "question"), 10).join(files(spark, d).select("doc_id", "rel_path", "lang"), "doc_id")
+    hit = evaluate.hit(F.col("match_mode"), F.col("expected_file"), F.col("expected_symbol"), F.col("rel_path"), F.col("lang"))
+    hits = found.join(golden, "item_id").where(hit).groupBy("item_id").agg(F.min("rank").alias("first_rank"))
+    return golden.select("item_id").join(hits, "item_id", "left")
+
+
 _KEYS = "list_distinct(list_slice(list_filter(regexp_split_to_array(b.text, '\\s+'), lambda x: length(x) > 5), 1, 4))"
 
 

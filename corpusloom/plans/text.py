@@ -90,9 +90,11 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", S.is_text(content).alias("is_text"))
 
 
-@_q("capped_read", "SELECT doc_id, length(left(text, 1000)) AS capped_len, length(text) > 1000 AS truncated FROM documents")
+#: A character that the cap cuts through is one replacement character, so characters are counted by their first bytes.
+@_q("capped_read", f"SELECT doc_id, len(list_filter(regexp_extract_all(substr({_HEX}, 1, 2000), '..'), lambda x: x NOT BETWEEN '80' AND 'BF')) AS capped_len, strlen(text) > 1000 AS truncated FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(F.left("text", F.lit(1000))).cast("long").alias("capped_len"), (F.length("text") > 1000).alias("truncated"))
+    text, truncated = S.read_capped(F.col("text").cast("binary"), 1000)
+    return table(spark, d, "documents").select("doc_id", F.length(text).cast("long").alias("capped_len"), truncated.alias("truncated"))
 
 
 @_q("tokenize_terms", f"WITH t AS (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL")
@@ -107,6 +109,14 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", X.token_count(F.col("text")).alias("n_tokens"))
 
 
+@_q("vocabulary_token_count", None)
+def _(spark, d, vocabulary="/opt/tokenizers/byte_bpe_50k.tiktoken"):
+    """Tokens of each document by a public vocabulary, whose file is a parameter; tested against plain merges."""
+    from ..functions.vocabulary import counter
+
+    return table(spark, d, "documents").select("doc_id", counter(spark, vocabulary)(F.col("text")).alias("n_tokens"))
+
+
 @_q("embed_text_hash", f"WITH {FILES_SQL} SELECT rel_path, sha256('File: ' || rel_path || chr(10) || text) AS content_hash FROM files")
 def _(spark, d):
     return files(spark, d).select("rel_path", X.content_hash(X.embed_text(F.col("rel_path"), F.col("text"))).alias("content_hash"))
@@ -137,6 +147,16 @@ def _(spark, d):
     return h.select("page_id", "host", (F.startswith(F.lower("url"), F.lit("https://")) & domain.isin("example.com", "example.org")).alias("admitted"))
 
 
+#: Pages moved to hosts that are admitted, to some that only look like them, and to plain HTTP.
+_MOVED = "CASE page_id % 6 WHEN 0 THEN 'https://github.com' WHEN 1 THEN 'https://GitLab.com:443' WHEN 2 THEN 'HTTPS://user@bitbucket.org' WHEN 3 THEN 'https://github.com.example.org' WHEN 4 THEN 'http://github.com' END"
+
+
+@_q("url_allow_list", f"WITH m AS (SELECT page_id, CASE WHEN page_id % 6 < 5 THEN {_MOVED} || regexp_replace(url, '^[^:]*://[^/?#]*', '') ELSE url END AS url FROM pages) SELECT page_id, starts_with(lower(url), 'https://') AND {_HOST} IN ('github.com', 'gitlab.com', 'bitbucket.org') AS admitted FROM m")
+def _(spark, d):
+    url = F.when(F.col("page_id") % 6 < 5, F.concat(F.expr(_MOVED), F.regexp_replace("url", "^[^:]*://[^/?#]*", ""))).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", X.admitted_url(url).alias("admitted"))
+
+
 @_q("repo_id_hash", f"SELECT page_id, left(md5({_NORM}), 8) AS repo_id FROM pages")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", X.repo_id(X.normalize_url(F.col("url"))).alias("repo_id"))
@@ -203,3 +223,24 @@ def _(spark, d):
     f = files(spark, d).select("rel_path", X.content_hash(X.embed_text(F.col("rel_path"), F.col("text"))).alias("content_hash"))
     cache = f.where("content_hash < '8'").select("content_hash").distinct()
     return catalog.missing(f, cache).select("rel_path")
+
+
+@_q(
+    "notebook_json_cells",
+    """WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS cell_no, turn, CASE role WHEN 'user' THEN 'markdown' WHEN 'assistant' THEN 'code' ELSE 'raw' END AS k,
+  regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE conv_id % 10 <> 9),
+s AS (SELECT *, string_split(text, chr(10)) AS lines, ceil(length(text) / 4.0) > 512 AS long FROM c WHERE k <> 'raw' AND text <> '' AND cell_no <= 100 AND turn % 7 <> 6),
+w AS (SELECT *, unnest(range(0, CASE WHEN long THEN CAST(ceil(len(lines) / 45.0) AS BIGINT) ELSE 1 END)) AS i FROM s)
+SELECT conv_id, cell_no, 'cell_' || cell_no || '_' || k AS symbol_name, cell_no AS start_line, CASE WHEN long THEN cell_no + least(45 * i + 60, len(lines)) - (45 * i + 1) ELSE cell_no - 1 + len(lines) END AS end_line,
+  md5(CASE WHEN long THEN array_to_string(list_slice(lines, 45 * i + 1, 45 * i + 60), chr(10)) ELSE text END) AS text_md5 FROM w""",
+)
+def _(spark, d):
+    """Conversations as notebooks in JSON: sources as texts and as lists of lines, cells whose source is a number, and every tenth notebook broken."""
+    kind = F.when(F.col("role") == "user", "markdown").when(F.col("role") == "assistant", "code").otherwise("raw")
+    lines = F.transform(F.split("text", "(?<=\n)"), lambda x: x)
+    plain = F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", "")
+    source = F.when(F.col("turn") % 7 == 6, "12").when(F.col("turn") % 2 == 0, F.to_json(lines)).otherwise(plain)
+    cell = F.concat(F.lit('{"cell_type":"'), kind, F.lit('","source":'), source, F.lit("}"))
+    cells = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", cell.alias("c")))), lambda x: x["c"]), ",")
+    books = table(spark, d, "conversations").groupBy("conv_id").agg(cells.alias("c")).select("conv_id", F.when(F.col("conv_id") % 10 == 9, F.concat(F.lit('{"cells":['), "c")).otherwise(F.concat(F.lit('{"cells":['), "c", F.lit("]}"))).alias("text"))
+    return chunking.notebook_chunks(books, by=("conv_id",)).select("conv_id", "cell_no", "symbol_name", "start_line", "end_line", F.md5("text").alias("text_md5"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import config
 from ..operators.chunking import windows
 
 
@@ -89,6 +90,20 @@ def progress(files: DataFrame, by: str = "repo_id", order: str = "rel_path", see
     return files.select(by, i.cast("long").alias("file_no"), F.lit("chunking").alias("phase"), F.round(0.2 * share, 6).alias("progress"))
 
 
+def progress_later(chunks: DataFrame, by: str = "repo_id", order: tuple[str, ...] = ("rel_path", "chunk_no"), flush: int = config.FLUSH) -> DataFrame:
+    """by, chunks_done, phase, progress while a repository's chunks are embedded in parts of ``flush``, and of its index.
+
+    The part of each number of chunks is told; a part that isn't full is the last.
+    """
+    w = Window.partitionBy(by)
+    i = F.row_number().over(w.orderBy(*order)).cast("long")
+    rows = chunks.select(by, i.alias("chunks_done"), F.count("*").over(w).alias("_n")).where((F.col("chunks_done") % flush == 0) | (F.col("chunks_done") == F.col("_n")))
+    share = 0.2 + 0.7 * F.col("chunks_done") / F.greatest("_n", "chunks_done", F.lit(1))
+    embedding = rows.select(by, "chunks_done", F.lit("embedding").alias("phase"), F.round(share, 6).alias("progress"))
+    ends = rows.where("chunks_done = _n").select(by, "chunks_done", F.lit("bm25").alias("phase"), F.explode(F.array(F.lit(0.9), F.lit(1.0))).alias("progress"))
+    return embedding.unionByName(ends)
+
+
 def ingest_stream(files: DataFrame, path: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame] = windows):
     """Starts a query that chunks files as they arrive and appends them, by repository; a batch that is retried replaces itself."""
 

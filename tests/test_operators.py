@@ -186,29 +186,32 @@ def test_repo_ids_and_caps(spark):
     assert got.count() == 6 and got.select("rel_path").distinct().count() == 3
 
 
+R1, R2 = "0000000a", "0000000b"
+
+
 def test_engine_round_trip(spark, tmp_path):
     from corpusloom.engine import Engine
 
     nb = json.dumps({"cells": [{"cell_type": "markdown", "source": ["# T\n", "x"]}, {"cell_type": "raw", "source": "no"}, {"cell_type": "code", "source": "print(1)"}]})
-    files = [("r1", "src/app.py", b"def login(user):\n    return user\n\ndef logout():\n    return None\n"), ("r1", "README.md", b"# Demo\nlogin and logout"), ("r1", "n.ipynb", nb.encode()), ("r1", "x.png", b"\x89PNG"), ("r2", "a.txt", b"other")]
+    files = [(R1, "src/app.py", b"def login(user):\n    return user\n\ndef logout():\n    return None\n"), (R1, "README.md", b"# Demo\nlogin and logout"), (R1, "n.ipynb", nb.encode()), (R1, "x.png", b"\x89PNG"), (R2, "a.txt", b"other")]
     df = spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in files], "repo_id string, rel_path string, content binary")
     e = Engine(spark, str(tmp_path))
     got = {r.repo_id: (r.files_indexed, r.files_skipped, r.chunks_indexed) for r in e.ingest(df).collect()}
-    assert got == {"r1": (3, 1, 6), "r2": (1, 0, 2)}
+    assert got == {R1: (3, 1, 6), R2: (1, 0, 2)}
     q = spark.createDataFrame([(1, "what does src/app.py do"), (2, "list files"), (3, "how to login")], "item_id int, question string")
-    routes = {r.item_id: r.route for r in e.retrieve("r1", q).collect()}
+    routes = {r.item_id: r.route for r in e.retrieve(R1, q).collect()}
     assert routes == {1: "file", 2: "structure", 3: "whole"}
-    answers = {r.item_id: r for r in e.query("r1", q).collect()}
+    answers = {r.item_id: r for r in e.query(R1, q).collect()}
     assert all(a.sufficient for a in answers.values()) and "def login" in answers[1].answer
     more = spark.createDataFrame([(4, "hello!"), (5, "how to login")], "item_id int, question string")
-    said = {r.item_id: r for r in e.query("r1", more).collect()}
+    said = {r.item_id: r for r in e.query(R1, more).collect()}
     assert not said[4].sufficient and said[4].prompt is None and said[4].answer.startswith("Hello") and said[5].sufficient
-    e.ingest(df.where("repo_id = 'r2'"))
-    assert {r.repo_id for r in e.list_repos().collect()} == {"r1", "r2"}
-    e.delete_repo("r2")
-    assert [r.repo_id for r in e.list_repos().collect()] == ["r1"] and e.health()["status"] == "ok"
+    e.ingest(df.where(F.col("repo_id") == R2))
+    assert {r.repo_id for r in e.list_repos().collect()} == {R1, R2}
+    e.delete_repo(R2)
+    assert [r.repo_id for r in e.list_repos().collect()] == [R1] and e.health()["status"] == "ok"
     with pytest.raises(KeyError):
-        e.delete_repo("r2")
+        e.delete_repo(R2)
 
 
 def test_judging(spark):
@@ -227,3 +230,108 @@ def test_sources_that_exhaust_the_parser_and_unclosed_braces():
     assert [(c[1], c[2]) for c in chunking.code_chunks_of(open_ended, "go")] == [("A", 1), ("B", 5)]
     many = "\n".join(f"func F{i}() {{" for i in range(3000))
     assert chunking.code_chunks_of(many, "go")[0][1] == "F0"
+
+
+def test_engine_cache_index_and_log(spark, tmp_path):
+    from corpusloom.engine import Engine
+
+    body = lambda i: "\n".join(f"word{i} line {n} of file {i}" for n in range(70)).encode()
+    df = spark.createDataFrame([(R1, f"docs/f{i:02}.md", bytearray(body(i))) for i in range(40)] + [(R2, "a.txt", bytearray(b"other"))], "repo_id string, rel_path string, content binary")
+    asked = []
+
+    def embed(text):
+        asked.append(1)
+        return vectors.embed(text)
+
+    e = Engine(spark, str(tmp_path), embed=embed)
+    first = {r.repo_id: r.chunks_indexed for r in e.ingest(df, job="one").collect()}
+    vectors_stored = spark.read.parquet(f"{tmp_path}/cache").count()
+    assert first == {R1: 81, R2: 2} and vectors_stored == 83 == e.chunks().where("embedding is not null").count()
+    # the same again: every text is in the cache
+    e.ingest(df, job="two")
+    assert spark.read.parquet(f"{tmp_path}/cache").count() == vectors_stored
+    log = {(r.job_id, r.phase, r.progress): r for r in e.job_log().collect()}
+    assert log["one", "embedding", 0.9].rows == 83 and log["two", "embedding", 0.9].rows == 0 and log["one", "bm25", 1.0].rows_per_second > 0
+    assert e.job_status("two")["status"] == "completed" and [r.phase for r in e.job_events("one").orderBy("at").collect()][::2] == ["chunking", "embedding", "bm25", "done"]
+    assert e.job_events("none").first().event == "not_found"
+    with pytest.raises(KeyError):
+        e.job_status("none")
+    # another model has vectors of its own
+    Engine(spark, str(tmp_path), model="other").ingest(df.where(F.col("repo_id") == R2))
+    assert spark.read.parquet(f"{tmp_path}/cache").count() == vectors_stored + 2
+    q = spark.createDataFrame([(1, "word7 word7 file"), (2, "file structure")], "item_id int, question string")
+    got = e.retrieve(R1, q).where("item_id = 1").orderBy("rank").collect()
+    assert {r.route for r in got} == {"full"} and got[0].rel_path == "docs/f07.md"
+    prompt_ = {r.item_id: r.prompt for r in e.query(R1, q).collect()}[2]
+    assert "Repository file index:\nRepository file index — searchable text files (40 total):\ndocs/" in prompt_ and "[Chunk" not in prompt_
+    with pytest.raises(ValueError):
+        e.delete_repo("../x")
+    e.delete_repo(R2)
+    assert {r.repo_id for r in e.index.stats().collect()} == {R1}
+
+
+def test_a_stopped_ingest_keeps_the_old_collection_and_is_logged(spark, tmp_path):
+    from corpusloom.engine import Engine
+
+    df = spark.createDataFrame([(R1, "a.md", bytearray(b"one")), (R2, "b.md", bytearray(b"two"))], "repo_id string, rel_path string, content binary")
+    e = Engine(spark, str(tmp_path))
+    e.ingest(df)
+    before = sorted(r.chunk_id for r in e.chunks().collect())
+    broken = Engine(spark, str(tmp_path), embed=lambda t: F.raise_error(F.lit("no service")).cast("array<double>"), model="down")
+    with pytest.raises(Exception, match="no service"):
+        broken.ingest(df, job="bad")
+    assert sorted(r.chunk_id for r in e.chunks().collect()) == before and e.job_status("bad")["status"] == "failed"
+    assert [p.name for p in (tmp_path / "staged").iterdir() if not p.name.startswith(".")] == []
+
+
+def test_manifests_tell_truncated_and_skipped_files(spark):
+    paths = spark.createDataFrame([("r", "a/b.py"), ("r", "c.md")], "repo_id string, path string")
+    skipped = spark.createDataFrame([("r", "  x/ — 2 file(s) (2 .png)"), ("s", "  y/ — 1 file(s) (1 .so)"), ("t", "")], "repo_id string, summary string")
+    cut = spark.createDataFrame([("r", "c.md"), ("r", "a/b.py"), ("r", "c.md")], "repo_id string, path string")
+    got = {r.repo_id: r.text for r in manifest.manifest_chunks(paths, skipped=skipped, truncated=cut).collect()}
+    assert got["r"] == "Repository file index — searchable text files (2 total):\na/\n  b.py\nc.md\n\nPartially indexed (first 2 file(s) truncated to size limit):\n  a/b.py\n  c.md\n\nExcluded from search (binary/non-text — on disk only):\n  x/ — 2 file(s) (2 .png)"
+    assert got["s"] == "Repository file index — searchable text files (0 total):\n(no searchable files)\n\nExcluded from search (binary/non-text — on disk only):\n  y/ — 1 file(s) (1 .so)"
+    assert set(got) == {"r", "s"}
+
+
+def test_notebooks_of_all_kinds(spark):
+    books = [("n1", json.dumps({"cells": [{"cell_type": "code", "source": "[1, 2]"}, {"cell_type": "markdown", "source": ["a\n", "b"]}, "odd", {"cell_type": "code", "source": 5}, {"cell_type": "code"}, {"cell_type": "raw", "source": "x"}, {"cell_type": "code", "source": " \n"}, {"cell_type": "code", "source": "é"}]})), ("n2", "not json"), ("n3", "[1]"), ("n4", '{"cells": 3}'), ("n5", None), ("n6", json.dumps({"cells": [{"cell_type": "code", "source": f"x{i}"} for i in range(120)]}))]
+    df = spark.createDataFrame([("r", p, t) for p, t in books], "repo_id string, rel_path string, text string")
+    got = chunking.notebook_chunks(df).collect()
+    assert sorted((r.symbol_name, r.text) for r in got if r.rel_path == "n1") == [("cell_1_code", "[1, 2]"), ("cell_2_markdown", "a\nb"), ("cell_8_code", "é")]
+    assert {r.rel_path for r in got} == {"n1", "n6"} and sum(r.rel_path == "n6" for r in got) == 100
+
+
+def test_golden_sets(spark, tmp_path):
+    from corpusloom.sources.golden import read_golden
+
+    (tmp_path / "a.json").write_text(json.dumps([{"question": "q1", "expected_file": "f.py", "match_mode": "file", "answer_keywords": ["a", "b"], "min_chunks_in_context": 2}, {"question": "q2", "expected_symbol": "s"}, {"expected_file": "no question"}]))
+    (tmp_path / "b.json").write_text("no json")
+    got = {r.question: r for r in read_golden(spark, str(tmp_path)).collect()}
+    assert set(got) == {"q1", "q2"} and got["q1"].answer_keywords == ["a", "b"] and got["q1"].min_chunks_in_context == 2
+    assert (got["q2"].expected_file, got["q2"].match_mode, got["q2"].answer_keywords) == ("", "either", []) and len({r.item_id for r in got.values()}) == 2
+
+
+def test_vocabulary_counts_are_plain_merges(spark):
+    import base64
+
+    import regex
+
+    from corpusloom.functions import vocabulary
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb"))}
+
+    def merged(piece):
+        parts = [bytes([b]) for b in piece]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
+            if parts[best] + parts[best + 1] not in ranks:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        return len(parts)
+
+    texts = ["", None, "hello world's 123  end", "<|endoftext|>", "naïve ß 日本語 😀\n\n\ttabs", *(r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20).collect())]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", vocabulary.counter(spark, path)(F.col("t")).alias("n"))
+    want = {i: None if t is None else sum(merged(p.encode()) for p in regex.findall(vocabulary.PATTERN, t)) for i, t in enumerate(texts)}
+    assert {r.i: r.n for r in df.collect()} == want
