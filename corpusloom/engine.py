@@ -164,7 +164,10 @@ class Engine:
             return {"status": "degraded", "error": str(e).split("\n")[0][:200]}
 
     def retrieve(self, repo: str, questions: DataFrame, k: int = config.FINAL_K) -> DataFrame:
-        """item_id, route, rank, score, dense_score and the chunk, for each of ``questions`` (item_id, question)."""
+        """item_id, route, rank, score, dense_score and the chunk, for each of ``questions`` (item_id, question).
+
+        What the two searches found stays in a folder below ``asked``.
+        """
         chunks = self.chunks().where(F.col("repo_id") == repo)
         size = chunks.count()
         content = chunks.where("chunk_type <> 'file_manifest'")
@@ -182,7 +185,13 @@ class Engine:
         docs = chunks.select(F.col("chunk_id").alias("doc_id"), F.col("embed_text").alias("text"))
         stored = chunks.select(F.col("chunk_id").alias("doc_id"), F.col("embedding").alias("v"))
         dense = vectors.top_k(stored, asked.select("item_id", self.embed(F.col("question")).alias("v")), key="doc_id", vector="v", by="item_id", positive=True)
-        fused = fusion.rrf(dense, self.index.top_k(asked, repo))
+        # each search is worked out once, and what follows is planned from a few rows a question
+        at = f"{self.root}/asked/{uuid.uuid4().hex}"
+        both = {}
+        for name, found in (("dense", dense), ("sparse", self.index.top_k(asked, repo))):
+            found.write.parquet(f"{at}/{name}")
+            both[name] = self.spark.read.schema(found.schema).parquet(f"{at}/{name}")
+        fused = fusion.rrf(both["dense"], both["sparse"].withColumn("doc_id", F.col("doc_id").cast("string")))
         few = fusion.shortcut(fused, k).select("item_id", "doc_id", "score", "rank", "dense_score")
         many = fused.join(few.select("item_id").distinct(), "item_id", "left_anti").join(asked, "item_id").join(docs, "doc_id")
         many = fusion.rerank(many, self.logit(F.col("question"), F.col("text")), k).select("item_id", "doc_id", "score", "rank", "dense_score")
@@ -194,9 +203,12 @@ class Engine:
         """item_id, sufficient, prompt, answer; greetings and questions without enough context get a fixed answer and no prompt.
 
         A question about structure is given the manifests that were found, as far as they fit, and no chunk beside them.
+        What was retrieved is worked out once, into a folder of its own.
         """
         size = self.chunks().where(F.col("repo_id") == repo).count()
-        got = self.retrieve(repo, questions)
+        found, at = self.retrieve(repo, questions), f"{self.root}/asked/{uuid.uuid4().hex}/all"
+        found.write.parquet(at)
+        got = self.spark.read.schema(found.schema).parquet(at)
         enough = prompt.sufficient(got, corpus_size=size)
         block = lambda i: prompt.format_chunk(F.col(i), F.col("rel_path"), F.col("start_line"), F.col("end_line"), F.col("chunk_type"), F.col("language"), F.col("text"))
         tree = prompt.format_structure(F.col("text"))
