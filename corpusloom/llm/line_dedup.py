@@ -189,7 +189,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars
     old = F.col(f"_c{fields.index(text)}")
     kept = F.filter(F.split(old, "\n"), lambda x, i: ~F.array_contains("_gone", i.cast("long")))
     new = F.when(F.col("_gone").isNull(), old).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("_new", new).where("_gone is null or trim(_new) <> ''")
+    out = joined.withColumn("_new", new).where(F.col("_gone").isNull() | F.col("_new").rlike(r"[^\x00-\x20]"))
     return out.select(*(F.col("_new" if c == text else f"_c{i}").alias(c) for i, c in enumerate(fields)))
 
 

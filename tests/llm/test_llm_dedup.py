@@ -165,7 +165,7 @@ def plain_left(docs, least):
     for d, t in docs:
         own = gone.get((BIG if d is None else d, int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16)))
         left = t if own is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in own)
-        if own is None or left.strip(" "):
+        if own is None or any(c > " " for c in left):
             out.append((d, left))
     return sorted(out, key=str)
 
@@ -177,7 +177,7 @@ def _check_lines(df, docs):
 
 def test_line_dedup(spark):
     lines = ["the quick brown fox jumps over", "the quick brown fox jumps ovre", "the quick brown fox jumps ove", "the quick brown fox jumps overs", "the quick brown fux jumps over", "short", "ünïcödé lines count by character", "ünïcödé lines count by charactér", "x the quick brown fox jumps over"]
-    docs = [(4, "\n".join([lines[0], "short", lines[6]])), (1, "\n".join([lines[1], "short"])), (2, "\n".join(lines)), (3, lines[4]), (3, lines[4]), (7, None), (8, ""), (None, lines[8]), (9, "\n".join([lines[8]] * 3)), (10, "shart\n\n \nshort")]
+    docs = [(4, "\n".join([lines[0], "short", lines[6]])), (1, "\n".join([lines[1], "short"])), (2, "\n".join(lines)), (3, lines[4]), (3, lines[4]), (7, None), (8, ""), (None, lines[8]), (9, "\n".join([lines[8]] * 3)), (10, "shart\n\n \nshort"), (11, "short\n\n\nshort\n\t"), (12, "\n\n")]
     _check_lines(spark.createDataFrame(docs, "doc_id long, text string"), docs)
 
 

@@ -2,7 +2,7 @@
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +169,73 @@ def test_licences(spark):
     assert license_scan.scan(df.limit(0), "path").count() == 0
 
 
+def plain_licence(text, notices=license_scan.NOTICES, least=license_scan.LEAST):
+    """The licence of a text with dictionaries and sets, word by word."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
+    templates = [(name, set(words(t))) for name in sorted(notices) for t in notices[name]]
+    df = Counter(w for _, own in templates for w in own)
+    idf = lambda w: math.log((1 + len(templates)) / (1 + df[w])) + 1
+    length = lambda own: math.sqrt(sum(idf(w) ** 2 for w in own))
+    lines = [words(x) for x in text.split("\n")]
+    at, spans, ends = 0, [], []
+    for x in lines:
+        spans.append((at, at + len(x)))
+        at += len(x)
+    flat = [w for x in lines for w in x]
+    stretches = [s for s in spans if s[1] > s[0]]
+    # paragraphs end at lines without a word
+    begin = 0
+    for i, j in [*spans, (at, at)]:
+        if i == j:
+            ends.append((begin, i))
+            begin = i
+    stretches += [s for s in ends if s[1] > s[0]] + [(0, at)]
+    places, used = defaultdict(dict), defaultdict(set)
+    for i, j in stretches:
+        own = set(flat[i:j])
+        if sum(w in df and w not in license_scan._FUNCTION for w in flat[i:j]) < 2:
+            continue
+        for n, (name, t) in enumerate(templates):
+            c = sum(idf(w) ** 2 for w in own & t) / (length(own) * length(t))
+            if c >= least:
+                used[name].add(n)
+                for k in range(i, j):
+                    if flat[k] in t:
+                        places[name][k] = max(places[name].get(k, 0), c)
+    rank = lambda name: (name != "Proprietary", round(sum(c * idf(flat[k]) for k, c in places[name].items()), 6), round(len(used[name]) / len(notices[name]), 6))
+    return max(sorted(used), key=rank, default=None)
+
+
+def test_licences_are_the_plain_ones(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
+    bsd = license_scan
+    extra = [(-1, f"Copyright 2020\nAll rights reserved.\n\n{bsd._FORMS}\n\n1. {bsd._SOURCE}\n\n2. {bsd._BINARY}\n\n{bsd._NO_LIABILITY}\n"), (-2, f"All rights reserved.\n\n{bsd._FORMS}\n\n* {bsd._SOURCE}\n\n* {bsd._BINARY}\n\n* {bsd._NAMES}\n\n{bsd._NO_LIABILITY}"), (-3, f"{bsd._GRANTED}\n\n{bsd._INCLUDED}\n\n{bsd._AS_IS}"), (-4, "x\nAll rights reserved.\ny"), (-5, "\n\n"), (-6, None)]
+    df = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    got = {r.doc_id: r.own for r in license_scan.own_licence(df, "text", ["doc_id"]).collect()}
+    assert [got[i] for i in range(-6, 0)] == [None, None, "Proprietary", "MIT", "BSD-3-Clause", "BSD-2-Clause"]
+    assert got == {r.doc_id: plain_licence(r.text or "") for r in df.collect()}
+
+
+def test_licences_of_real_files(spark):
+    """Licence files of the installed packages, told by one licence's own phrase."""
+    import sysconfig
+    from pathlib import Path
+
+    root = Path(sysconfig.get_paths()["purelib"])
+    texts = {t for p in root.glob("*.dist-info/**/*") if re.search(r"(?i)licen[cs]e|copying", p.name) and p.is_file() for t in [p.read_text(errors="replace")]}
+
+    def told(t):
+        flat = " ".join(t.split())
+        found = [name for name, phrase in (("MIT", "Permission is hereby granted, free of charge"), ("BSD", "Redistributions of source code must retain"), ("Apache-2.0", "Version 2.0, January 2004"), ("ISC", "Permission to use, copy, modify, and/or distribute")) if phrase in flat]
+        return (("BSD-3-Clause" if "to endorse or promote" in flat else "BSD-2-Clause") if found == ["BSD"] else found[0]) if len(found) == 1 else None
+
+    rows = [(i, t, told(t)) for i, t in enumerate(sorted(texts)) if told(t)]
+    if len(rows) < 10:
+        pytest.skip("few licence files are installed")
+    got = license_scan.own_licence(spark.createDataFrame(rows, "i int, text string, told string"), "text", ["told"]).collect()
+    assert sum(r.own == r.told for r in got) >= 0.95 * len(got), sorted((r.told, r.own) for r in got if r.own != r.told)
+
+
 def test_licence_cosine_is_the_plain_one():
     ix = license_scan.Index({"A": ["alpha beta gamma"], "B": ["alpha delta"]})
     idf = lambda c: math.log(3 / (1 + c)) + 1
