@@ -19,9 +19,13 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+#: White space by its code points, which is quicker than by its property. Fixed value.
+_SPACE = r"[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words at any white space, Unicode's and the ASCII separators included."""
-    return F.filter(F.split(F.lower(text), r"(?U)[\s\x1c-\x1f]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), _SPACE), "")
 
 
 def token_count(text: Column) -> Column:

@@ -7,31 +7,95 @@ postings.  Files are sorted by term, so a reader skips the row groups that a que
 
 Asking reads no document: the best block of each term gives a score that the k-th document reaches at least; blocks that
 can't lift a document to it, even with the best of all other terms, are only read for documents that others have found.
+The blocks of the questions' terms are taken from the index once, into a folder below ``probes``, which stays.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config
 from ..functions.text import tokens
 from ..sources.storage import drop_folder
 
 BLOCK = 512
+#: Documents whose words are counted together; no block has more postings than it and a few pieces more.
+PIECE = 256
 #: Frequent terms that are sent to all tasks when blocks are dealt, at about 100 bytes each; joined by shuffle beyond.
 BROADCAST = 1 << 18
 
 _TYPES = {"stats": "n_docs long, mean_len double, floor double, n_terms long, repo_id string", "terms": "term string, df long, repo_id string"}
 
 
+_LISTS = ("keys", "tfs", "lens")
+
+
+def _posting() -> Column:
+    """A block's postings: lists of numbers side by side are a third of the size of a list of structs."""
+    return F.arrays_zip(F.col("keys").alias("key"), F.col("tfs").alias("tf"), F.col("lens").alias("len"))
+
+
 def _impact(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (config.BM25_K1 + 1) / (tf + config.BM25_K1 * (1 - config.BM25_B + config.BM25_B * length / mean))
 
 
+def _lists(own: DataFrame) -> DataFrame:
+    """Of each ``PIECE`` documents (repo_id, key, words): a row a term with its postings, and one without a term that counts documents and words.
+
+    Documents' words are counted where they are read, so only lists of postings are shuffled.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    whole, key = T.IntegerType(), own.schema["key"].dataType
+    schema = T.StructType([
+        T.StructField("repo_id", T.StringType()), T.StructField("term", T.StringType()), T.StructField("keys", T.ArrayType(key)), T.StructField("tfs", T.ArrayType(whole)), T.StructField("lens", T.ArrayType(whole)),
+        *(T.StructField(c, T.LongType()) for c in ("max_tf", "min_len", "n", "words", "mark")),
+    ])
+    fields = to_arrow_schema(schema)
+
+    def piece(b: pa.RecordBatch) -> pa.RecordBatch:
+        repos, words = b.column("repo_id").dictionary_encode(), b.column("words")
+        size = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = words.flatten().dictionary_encode()
+        v, of = max(1, len(flat.dictionary)), repos.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pairs, tf = np.unique(np.repeat(np.arange(len(size)), size) * v + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        row, term = pairs // v, pairs % v
+        group = of[row] * v + term
+        order = np.argsort(group, kind="stable")
+        row, tf, group = row[order], tf[order].astype(np.int64), group[order]
+        head = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else np.zeros(0, np.int64)
+        ends = np.append(head[1:], len(group)) if len(head) else head
+        n_docs, n_words = np.bincount(of, minlength=len(repos.dictionary)), np.bincount(of, size, len(repos.dictionary)).astype(np.int64)
+        m, k = len(head), len(n_docs)
+        # deals the pieces of a frequent term to its blocks
+        first = str(b.column("key")[0].as_py())
+        mark = int.from_bytes(hashlib.md5(first.encode()).digest()[:7], "big")
+        offsets = pa.array(np.append(np.append(head, len(group)), np.full(k, len(group))).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (b.column("key").take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(size[row].astype(np.int32)))]
+        empty = np.zeros(k, np.int64)
+        columns = [
+            pa.concat_arrays([repos.dictionary.take(pa.array(group[head] // v)), repos.dictionary]), pa.concat_arrays([flat.dictionary.take(pa.array(group[head] % v)).cast(pa.string()), pa.nulls(k, pa.string())]), *lists,
+            pa.array(np.append(np.maximum.reduceat(tf, head) if m else tf[:0], empty)), pa.array(np.append(np.minimum.reduceat(size[row], head) if m else tf[:0], empty)),
+            pa.array(np.append(ends - head, n_docs).astype(np.int64)), pa.array(np.append(np.zeros(m, np.int64), n_words)), pa.array(np.full(m + k, mark, np.int64)),
+        ]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, PIECE):
+                yield piece(b.slice(lo, PIECE))
+
+    return own.mapInArrow(run, schema)
+
+
 class Bm25Index:
     """The index below ``root``: tables ``postings``, ``terms`` and ``stats``, each partitioned by repo_id."""
 
@@ -53,21 +117,20 @@ class Bm25Index:
         """
         staged = f"{self.root}/staging-{uuid.uuid4().hex}"
         own = docs.where(F.col(key).isNotNull() & F.col(repo).isNotNull()).select(F.col(repo).cast("string").alias("repo_id"), F.col(key).alias("key"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("words"))
-        own = own.select("repo_id", "key", F.size("words").cast("long").alias("len"), "words")
-        tf = own.select("repo_id", "key", "len", F.explode_outer("words").alias("term")).groupBy("repo_id", "key", "len", "term").agg(F.count("term").alias("tf"))
-        tf.write.parquet(staged)
-        rows = self.spark.read.schema(tf.schema).parquet(staged)
-        posted = rows.where("term is not null")
-        terms = posted.groupBy("repo_id", "term").agg(F.count("*").alias("df"))
+        lists = _lists(own)
+        lists.write.parquet(staged)
+        lists = self.spark.read.schema(lists.schema).parquet(staged)
+        posted = lists.where("term is not null")
+        terms = posted.groupBy("repo_id", "term").agg(F.sum("n").alias("df"))
         large = terms.where(F.col("df") > block).select("repo_id", "term", F.ceil(F.col("df") / block).cast("int").alias("parts"))
         large = F.broadcast(large) if large.count() <= BROADCAST else large
-        part = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int")
-        entry = F.struct("key", "tf", "len")
-        blocks = posted.join(large, ["repo_id", "term"], "left").withColumn("block_no", part).groupBy("repo_id", "term", "block_no").agg(F.sort_array(F.collect_list(entry)).alias("docs"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.count("*").alias("n"))
-        self._put(blocks.repartitionByRange("repo_id", "term", "block_no").sortWithinPartitions("repo_id", "term", "block_no"), "postings")
+        rows = posted.join(large, ["repo_id", "term"], "left").withColumn("block_no", F.pmod("mark", F.coalesce("parts", F.lit(1))).cast("int"))
+        # dealt by ranges of the blocks' keys, so that grouping needs no other shuffle and files are sorted by term
+        dealt = rows.select("repo_id", "term", "block_no", *_LISTS, "max_tf", "min_len", "n").repartitionByRange("repo_id", "term", "block_no")
+        blocks = dealt.groupBy("repo_id", "term", "block_no").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in _LISTS), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"), F.sum("n").alias("n"))
+        self._put(blocks.sortWithinPartitions("repo_id", "term", "block_no"), "postings")
         self._put(terms.repartitionByRange("repo_id", "term").sortWithinPartitions("repo_id", "term"), "terms")
-        # a document has one length in all of its rows
-        sizes = rows.groupBy("repo_id", "key").agg(F.max("len").alias("len")).groupBy("repo_id").agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
+        sizes = lists.where("term is null").groupBy("repo_id").agg(F.sum("n").alias("n_docs"), (F.sum("words") / F.sum("n")).alias("mean_len"))
         raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         floors = terms.join(F.broadcast(sizes.select("repo_id", "n_docs")), "repo_id").groupBy("repo_id").agg((config.BM25_EPSILON * F.avg(raw)).alias("floor"), F.count("*").alias("n_terms"))
         self._put(sizes.join(floors, "repo_id", "left").select("repo_id", "n_docs", "mean_len", "floor", F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms")).coalesce(1), "stats")
@@ -85,7 +148,7 @@ class Bm25Index:
         """term, key, tf, len of a collection; none of one that isn't there."""
         if not self.stats().where((F.col("repo_id") == repo) & (F.col("n_terms") > 0)).count():
             return self.spark.createDataFrame([], "term string, key string, tf long, len long")
-        return self._table("postings").where(F.col("repo_id") == repo).select("term", F.explode("docs").alias("d")).select("term", "d.*")
+        return self._table("postings").where(F.col("repo_id") == repo).select("term", F.explode(_posting()).alias("d")).select("term", "d.key", F.col("d.tf").cast("long").alias("tf"), F.col("d.len").cast("long").alias("len"))
 
     def weights(self, repo: str) -> DataFrame:
         """term, df, idf; negative weights give way to a quarter of the mean."""
@@ -113,7 +176,7 @@ class Bm25Index:
         return reduce(DataFrame.unionByName, answers).withColumnRenamed("key", key)
 
     def _key_type(self):
-        return self._table("postings").schema["docs"].dataType.elementType["key"].dataType
+        return self._table("postings").schema["keys"].dataType.elementType
 
     def _weighted(self, asked: DataFrame, repo: str, by: str) -> DataFrame:
         """by, term, w: the count in the question times the weight, of terms that the collection has."""
@@ -130,7 +193,7 @@ class Bm25Index:
         return rows.join(F.broadcast(weighted), "term")
 
     def _scored(self, blocks: DataFrame, s, by: str) -> DataFrame:
-        rows = blocks.select(by, "w", F.explode("docs").alias("d"))
+        rows = blocks.select(by, "w", F.explode(_posting()).alias("d"))
         return rows.select(by, F.col("d.key").alias("key"), (F.col("w") * _impact(F.col("d.tf"), F.col("d.len"), F.lit(s.mean_len))).alias("part"))
 
     def _best(self, parts: DataFrame, k: int, by: str) -> DataFrame:
@@ -143,7 +206,9 @@ class Bm25Index:
 
     def _skipping(self, asked: DataFrame, repo: str, s, k: int, by: str) -> DataFrame:
         weighted = self._weighted(asked, repo, by)
-        blocks = self._blocks(weighted, repo)
+        at, blocks = f"{self.root}/probes/{uuid.uuid4().hex}", self._blocks(weighted, repo)
+        blocks.write.parquet(at)
+        blocks = self.spark.read.schema(blocks.schema).parquet(at)
         bound = F.col("w") * _impact(F.col("max_tf"), F.col("min_len"), F.lit(s.mean_len))
         # what blocks can score, without their postings; the best block of each term, and what the other terms add at most
         heads = blocks.select(by, "term", "block_no", bound.alias("bound"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
@@ -108,21 +109,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = config.DENSE_K, key:
 
 def _unit_counts(buckets: int):
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def run(of: pa.Array) -> pa.Array:
-        size = of.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(of)), size)
-        n = np.bincount(row * buckets + of.flatten().to_numpy(zero_copy_only=False), minlength=len(of) * buckets).reshape(len(of), buckets).astype(np.float64)
+    def run(words: pa.Array) -> pa.Array:
+        size = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        row, flat = np.repeat(np.arange(len(words)), size), words.flatten().dictionary_encode()
+        # a word is hashed once a batch
+        of = np.array([int(hashlib.md5(w.encode()).hexdigest()[:2], 16) % buckets for w in flat.dictionary.to_pylist()], np.int64)
+        n = np.bincount(row * buckets + of[flat.indices.to_numpy(zero_copy_only=False)] if len(row) else row, minlength=len(words) * buckets).reshape(len(words), buckets).astype(np.float64)
         length = np.sqrt((n * n).sum(1))
         n /= np.where(length > 0, length, 1)[:, None]
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * buckets), pa.array(n.ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * buckets), pa.array(n.ravel()))
 
     return run
 
 
 def embed(text: Column, buckets: int = 64) -> Column:
     """The stand-in for a model: a text's words counted by two hexadecimal digits of their MD5, as a unit vector; zero without words."""
-    of = F.transform(F.coalesce(X.tokens(text), F.array().cast("array<string>")), lambda w: F.conv(F.left(F.md5(w), F.lit(2)), 16, 10).cast("int") % buckets)
-    return _unit_counts(buckets)(of)
+    return _unit_counts(buckets)(F.coalesce(X.tokens(text), F.array().cast("array<string>")))
 
 
 def hashed(docs: DataFrame, buckets: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
