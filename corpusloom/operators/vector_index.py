@@ -36,15 +36,35 @@ def trained(x: np.ndarray, lists: int, rounds: int) -> np.ndarray:
     return c
 
 
+def calibrated(x: np.ndarray, c: np.ndarray, k: int, target: float, queries: int = 128) -> int:
+    """The smallest number of lists that hold ``target`` of the ``k`` nearest of a sample's vectors, for some of them.
+
+    A sample's neighbours lie further apart than all vectors' do, so it asks for too many rather than too few.
+    """
+    at = np.arange(0, len(x), max(1, len(x) // queries))[:queries]
+    of = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
+    place = np.argsort(np.argsort(-(x[at] @ c.T), axis=1, kind="stable"), axis=1)
+    s = x[at] @ x.T
+    s[np.arange(len(at)), at] = np.inf  # itself, which comes first and isn't counted
+    near = np.argsort(-s, axis=1)[:, 1 : k + 1]
+    if not near.size:
+        return len(c)
+    needed = np.take_along_axis(place, of[near], axis=1)
+    share = np.cumsum(np.bincount(needed.ravel(), minlength=len(c))) / needed.size
+    return int(np.searchsorted(share, target) + 1)
+
+
 class VectorIndex:
     """The index below ``root``: tables ``centroids`` and ``vectors``, the latter partitioned by list."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def build(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lists: int | None = None, sample: int = 65_536, rounds: int = 8) -> None:
+    def build(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lists: int | None = None, sample: int = 65_536, rounds: int = 8, k: int = config.DENSE_K, target: float = 0.95) -> None:
         """Trains and writes the index in place of what was there; ``lists`` is the square root of the number of vectors if not given, 4,096 at most.
 
+        The number of lists that a search opens is calibrated on the sample, so that they hold ``target`` of the ``k``
+        nearest: few where vectors lie in groups, most where they lie like noise.
         Vectors that are null, not finite or of another length than most of the sample are left out; a table without
         any other is an error.
         """
@@ -56,7 +76,8 @@ class VectorIndex:
             raise ValueError("there is no vector to index")
         lists = lists or int(min(4096, max(1, round(rows.count() ** 0.5))))
         c = trained(x, min(lists, len(x)), rounds)
-        self.spark.createDataFrame([(i, v) for i, v in enumerate(c.tolist())], "list int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/centroids")
+        probes = min(len(c), calibrated(x, c, k, target))
+        self.spark.createDataFrame([(i, v, probes) for i, v in enumerate(c.tolist())], "list int, centroid array<double>, probes int").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/centroids")
         self._write(rows, key, vector, c, "overwrite")
 
     def add(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> None:
@@ -66,6 +87,9 @@ class VectorIndex:
     def centroids(self) -> np.ndarray:
         return np.array([r.centroid for r in self.spark.read.parquet(f"{self.root}/centroids").orderBy("list").collect()])
 
+    def probes(self) -> int:
+        return self.spark.read.parquet(f"{self.root}/centroids").first().probes
+
     def _write(self, rows: DataFrame, key: str, vector: str, c: np.ndarray, mode: str) -> None:
         schema = T.StructType([
             T.StructField("key", rows.schema[key].dataType), T.StructField("code", T.BinaryType()), T.StructField("scale", T.DoubleType()), T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("list", T.IntegerType())
@@ -89,16 +113,16 @@ class VectorIndex:
         out = rows.select(key, vector).mapInArrow(run, schema).hint("rebalance", "list")
         out.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("list").parquet(f"{self.root}/vectors")
 
-    def top_k(self, queries: DataFrame, k: int = config.DENSE_K, probes: int = 8, refine: int = 4, exact: bool = False, key: str = "vec_id", vector: str = "embedding", by: str = "query_id", limit: int = 10_000) -> DataFrame:
+    def top_k(self, queries: DataFrame, k: int = config.DENSE_K, probes: int | None = None, refine: int = 4, exact: bool = False, key: str = "vec_id", vector: str = "embedding", by: str = "query_id", limit: int = 10_000) -> DataFrame:
         """``by``, ``key``, score, rank of the best vectors for a stated set of queries, in parts of about ``limit``.
 
-        ``probes`` lists are searched for each query, and ``refine`` times ``k`` candidates are scored exactly.
+        ``probes`` lists, the calibrated number if not given, are searched for each query, and ``refine`` times ``k`` candidates are scored exactly.
         """
         stored = self.spark.read.parquet(f"{self.root}/vectors")
         if exact:
             asked = queries.select(F.col(by), F.col(vector).alias("vector"))
             return V.top_k(stored, asked, k, "key", "vector", by, limit).withColumnRenamed("key", key)
-        c = self.centroids()
+        c, probes = self.centroids(), probes or self.probes()
         parts = [self._search(stored, ids, unit, c, k, probes, refine, by, queries.schema[by].dataType) for ids, unit in V.in_parts(queries, by, vector, limit) if unit.shape[1] == c.shape[1]]
         if not parts:
             return stored.limit(0).select(F.lit(None).cast(queries.schema[by].dataType).alias(by), F.col("key").alias(key), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank"))
