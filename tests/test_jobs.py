@@ -2,6 +2,7 @@
 
 import json
 import shutil
+from pathlib import Path
 
 import pytest
 from oracle import DATA, duck, spark_rows
@@ -134,7 +135,8 @@ def test_evaluation_of_empty_tables(spark, tmp_path):
 
 def test_configuration_and_command_line(spark, tmp_path, monkeypatch):
     for name in ("index_documents", "evaluate_retrieval"):
-        assert common.configured(spark, f"jobs/{name}.json") == json.load(open(f"jobs/{name}.json"))
+        file = Path(common.__file__).with_name(f"{name}.json")
+        assert common.configured(spark, str(file)) == json.loads(file.read_text())
     took = {}
 
     def job(session, documents, output, **options):
