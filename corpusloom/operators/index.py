@@ -27,8 +27,8 @@ from ..functions.text import tokens
 from ..sources.storage import drop_folder
 
 BLOCK = 512
-#: Documents whose words are counted together; no block has more postings than it and a few pieces more.
-PIECE = 256
+#: Documents, and about as many words, that are counted together; more of them make fewer and longer lists of postings.
+PIECE, WORDS = 4096, 1 << 20
 #: Frequent terms that are sent to all tasks when blocks are dealt, at about 100 bytes each; joined by shuffle beyond.
 BROADCAST = 1 << 18
 
@@ -47,10 +47,11 @@ def _impact(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (config.BM25_K1 + 1) / (tf + config.BM25_K1 * (1 - config.BM25_B + config.BM25_B * length / mean))
 
 
-def _lists(own: DataFrame) -> DataFrame:
-    """Of each ``PIECE`` documents (repo_id, key, words): a row a term with its postings, and one without a term that counts documents and words.
+def _lists(own: DataFrame, most: int) -> DataFrame:
+    """Of each piece of the documents (repo_id, key, words): rows of a term with at most ``most`` of its postings, and one without a term that counts documents and words.
 
-    Documents' words are counted where they are read, so only lists of postings are shuffled.
+    Documents' words are counted where they are read, so only lists of postings are shuffled.  A piece is up to
+    ``PIECE`` documents of about ``WORDS`` words; a longer document is a piece of its own.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -66,16 +67,17 @@ def _lists(own: DataFrame) -> DataFrame:
         size = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         flat = words.flatten().dictionary_encode()
         v, of = max(1, len(flat.dictionary)), repos.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        pairs, tf = np.unique(np.repeat(np.arange(len(size)), size) * v + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        row, term = pairs // v, pairs % v
-        group = of[row] * v + term
-        order = np.argsort(group, kind="stable")
-        row, tf, group = row[order], tf[order].astype(np.int64), group[order]
-        head = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else np.zeros(0, np.int64)
-        ends = np.append(head[1:], len(group)) if len(head) else head
+        row = np.repeat(np.arange(len(size)), size)
+        pairs, tf = np.unique((of[row] * v + flat.indices.to_numpy(zero_copy_only=False)) * len(size) + row, return_counts=True)
+        group, row = pairs // len(size), pairs % len(size)
+        # lists begin with each term, and again after every ``most`` of its postings
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        nth = np.arange(len(group)) - np.repeat(starts, np.diff(np.append(starts, len(group))))
+        head = np.flatnonzero(nth % most == 0)
+        ends = np.append(head[1:], len(group))[: len(head)]
         n_docs, n_words = np.bincount(of, minlength=len(repos.dictionary)), np.bincount(of, size, len(repos.dictionary)).astype(np.int64)
         m, k = len(head), len(n_docs)
-        # deals the pieces of a frequent term to its blocks
+        # deals the lists of a frequent term to its blocks, those of one piece in turn
         first = str(b.column("key")[0].as_py())
         mark = int.from_bytes(hashlib.md5(first.encode()).digest()[:7], "big")
         offsets = pa.array(np.append(np.append(head, len(group)), np.full(k, len(group))).astype(np.int32))
@@ -84,14 +86,19 @@ def _lists(own: DataFrame) -> DataFrame:
         columns = [
             pa.concat_arrays([repos.dictionary.take(pa.array(group[head] // v)), repos.dictionary]), pa.concat_arrays([flat.dictionary.take(pa.array(group[head] % v)).cast(pa.string()), pa.nulls(k, pa.string())]), *lists,
             pa.array(np.append(np.maximum.reduceat(tf, head) if m else tf[:0], empty)), pa.array(np.append(np.minimum.reduceat(size[row], head) if m else tf[:0], empty)),
-            pa.array(np.append(ends - head, n_docs).astype(np.int64)), pa.array(np.append(np.zeros(m, np.int64), n_words)), pa.array(np.full(m + k, mark, np.int64)),
+            pa.array(np.append(ends - head, n_docs).astype(np.int64)), pa.array(np.append(np.zeros(m, np.int64), n_words)), pa.array(np.append(mark + nth[head] // most, np.full(k, mark)).astype(np.int64)),
         ]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, PIECE):
-                yield piece(b.slice(lo, PIECE))
+            ends = np.cumsum(b.column("words").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < b.num_rows:
+                full = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + WORDS, side="right"))
+                hi = min(lo + PIECE, max(full, lo + 1))
+                yield piece(b.slice(lo, hi - lo))
+                lo = hi
 
     return own.mapInArrow(run, schema)
 
@@ -107,7 +114,7 @@ class Bm25Index:
         return (read.schema(_TYPES[name]) if name in _TYPES else read).parquet(f"{self.root}/{name}").withColumn("repo_id", F.col("repo_id").cast("string"))
 
     def _put(self, rows: DataFrame, name: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(f"{self.root}/{name}")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("repo_id").parquet(f"{self.root}/{name}")
 
     def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "repo_id", block: int = BLOCK) -> None:
         """Indexes ``docs``, whole collections each, in place of what their collections had; other collections stay.
@@ -117,11 +124,14 @@ class Bm25Index:
         """
         staged = f"{self.root}/staging-{uuid.uuid4().hex}"
         own = docs.where(F.col(key).isNotNull() & F.col(repo).isNotNull()).select(F.col(repo).cast("string").alias("repo_id"), F.col(key).alias("key"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("words"))
-        lists = _lists(own)
-        lists.write.parquet(staged)
-        lists = self.spark.read.schema(lists.schema).parquet(staged)
+        lists = _lists(own, max(1, block // 2))
+        lists.write.option("compression", "zstd").parquet(f"{staged}/lists")
+        lists = self.spark.read.schema(lists.schema).parquet(f"{staged}/lists")
         posted = lists.where("term is not null")
+        # counted once: the blocks, the floor and the table of terms come from it
         terms = posted.groupBy("repo_id", "term").agg(F.sum("n").alias("df"))
+        terms.write.parquet(f"{staged}/terms")
+        terms = self.spark.read.schema(terms.schema).parquet(f"{staged}/terms")
         large = terms.where(F.col("df") > block).select("repo_id", "term", F.ceil(F.col("df") / block).cast("int").alias("parts"))
         large = F.broadcast(large) if large.count() <= BROADCAST else large
         rows = posted.join(large, ["repo_id", "term"], "left").withColumn("block_no", F.pmod("mark", F.coalesce("parts", F.lit(1))).cast("int"))

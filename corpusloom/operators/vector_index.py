@@ -22,6 +22,8 @@ from . import vectors as V
 
 #: Candidates that are sent to all tasks for scoring, at about 50 bytes each; joined by shuffle beyond.
 BROADCAST = 1 << 18
+#: Queries whose scores against a batch are held at once.
+QUERIES = 256
 
 
 def trained(x: np.ndarray, lists: int, rounds: int) -> np.ndarray:
@@ -133,24 +135,47 @@ class VectorIndex:
         asked: dict[int, np.ndarray] = {j: np.flatnonzero((near == j).any(1)) for j in np.unique(near).tolist()}
         shared = self.spark.sparkContext.broadcast((asked, unit, c))
         schema = T.StructType([T.StructField("_q", T.IntegerType()), stored.schema["key"], T.StructField("list", T.IntegerType()), T.StructField("score", T.DoubleType())])
+        kept_type = to_arrow_type(stored.schema["key"].dataType)
+        keep = k * refine
 
         def by_code(batches):
+            """The best of each query among all that a task reads: few enough to be ranked over all tasks."""
             asked, q, c = shared.value
+            pool, lists = pa.nulls(0, kept_type), np.zeros(0, np.int32)
+            held = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)  # scores and places in the pool, a query each
             for b in batches:
-                lists = b.column("list").to_numpy()
-                order = V.places(b.column("key"))
-                for j in np.unique(lists).tolist():
-                    at, own = np.flatnonzero(lists == j), asked[j]
-                    code = np.frombuffer(b"".join(b.column("code").take(pa.array(at)).to_pylist()), np.int8).reshape(len(at), -1)
-                    v = c[j] + code * b.column("scale").to_numpy()[at][:, None]
-                    s = v @ q[own].T
-                    best = [V.best_of(s[:, i], order[at], k * refine) for i in range(len(own))]
-                    found = np.concatenate(best)
-                    which = np.repeat(np.arange(len(own)), [len(x) for x in best])
-                    yield pa.RecordBatch.from_arrays([pa.array(own[which], pa.int32()), b.column("key").take(pa.array(at[found])), pa.array(np.full(len(found), j), pa.int32()), pa.array(s[found, which])], names=schema.names)
+                if not b.num_rows:
+                    continue
+                own = b.column("list").to_numpy()
+                code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.int8).reshape(b.num_rows, -1)
+                v = c[own] + code * b.column("scale").to_numpy()[:, None]
+                keys, before = pa.concat_arrays([pool, b.column("key")]), len(pool)
+                order = V.places(keys)
+                for lo in range(0, len(q), QUERIES):
+                    s = np.full((min(QUERIES, len(q) - lo), len(v)), -np.inf)
+                    for j in np.unique(own).tolist():
+                        rows = asked[j][(asked[j] >= lo) & (asked[j] < lo + QUERIES)]
+                        at = np.flatnonzero(own == j)
+                        s[np.ix_(rows - lo, at)] = q[rows] @ v[at].T
+                    for i, row in enumerate(s, lo):
+                        scores, place = held[i]
+                        # equal scores go on, as their keys decide
+                        more = np.flatnonzero(row >= scores.min() if len(scores) == keep else row > -np.inf)
+                        if len(more):
+                            scores, place = np.append(scores, row[more]), np.append(place, more + before)
+                            best = V.best_of(scores, order[place], keep)
+                            held[i] = scores[best], place[best]
+                used = np.unique(np.concatenate([p for _, p in held]))
+                pool, lists = keys.take(pa.array(used)), np.append(lists, own)[used]
+                held = [(s, np.searchsorted(used, p)) for s, p in held]
+            for lo in range(0, len(q), QUERIES):
+                some = held[lo : lo + QUERIES]
+                place = np.concatenate([p for _, p in some])
+                of = np.repeat(np.arange(lo, lo + len(some)), [len(p) for _, p in some])
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pool.take(pa.array(place)), pa.array(lists[place], pa.int32()), pa.array(np.concatenate([s for s, _ in some]))], names=schema.names)
 
         codes = stored.where(F.col("list").isin(list(asked))).select("key", "list", "code", "scale")
-        cand = V.ranked(codes.mapInArrow(by_code, schema), k * refine, "key", "_q").select("_q", "key", "list").distinct()
+        cand = V.ranked(codes.mapInArrow(by_code, schema), keep, "key", "_q").select("_q", "key", "list").distinct()
         cand = F.broadcast(cand) if len(ids) * k * refine <= BROADCAST else cand
         pairs = stored.where(F.col("list").isin(list(asked))).select("key", "list", "vector").join(cand, ["list", "key"]).select("_q", "key", "vector")
         scored = T.StructType([T.StructField(by, kind), stored.schema["key"], T.StructField("score", T.DoubleType())])
