@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from corpusloom.operators import evaluate, vector_index, vectors
+from corpusloom.operators import index as index_module
 from corpusloom.operators.index import Bm25Index
 from corpusloom.operators.vector_index import VectorIndex
 
@@ -70,6 +71,24 @@ def test_blocks_are_bounded_and_sorted_by_term(spark, index):
     assert stats["a"].n_docs == 302 and stats["b"].n_docs == 40
 
 
+def test_small_pieces_and_lists_give_the_same_index(spark, tmp_path, monkeypatch):
+    """A document of more words than a piece holds, empty ones beside it, repeats of a key, and lists of one posting."""
+    rows = [*corpus(50, 6), (700, "word1 " * 40 + "the0"), (701, ""), (702, "word2"), (703, None), (704, "word1 word1")]
+    df = spark.createDataFrame([(i, t, "a") for i, t in rows] + [(704, "word1 word1", "b"), (704, "word1 word1", "b")], DOCS).coalesce(1)
+    got = []
+    for n, (piece, words, block) in enumerate([(4096, 1 << 20, 512), (3, 25, 2)]):
+        monkeypatch.setattr(index_module, "PIECE", piece)
+        monkeypatch.setattr(index_module, "WORDS", words)
+        at = Bm25Index(spark, str(tmp_path / f"i{n}"))
+        at.add(df, block=block)
+        got.append(sorted(map(tuple, at.postings("a").collect())))
+        assert sorted(map(tuple, at.postings("b").collect())) == [("word1", 704, 2, 2)] * 2
+        blocks = spark.read.parquet(f"{at.root}/postings").where("repo_id = 'a'").selectExpr("max(n)", "count(*)").first()
+        assert blocks[1] > 100 and (n == 0 or blocks[0] < 10)
+    want = sorted((w, i, c, len(t.split())) for i, t in rows if t for w, c in Counter(t.lower().split()).items())
+    assert got[0] == want and got[1] == want
+
+
 def test_collections_are_replaced_and_dropped_alone(spark, tmp_path):
     at = Bm25Index(spark, str(tmp_path / "i"))
     one = [(i, t, "one") for i, t in corpus(30)]
