@@ -90,6 +90,83 @@ def test_quality_separates_the_labels(spark):
     assert rate[1] > 0.98 and rate[0] < 0.1
 
 
+def test_quality_on_documents_that_taught_nothing(spark):
+    """A fold of the labelled rows that neither the target nor the threshold has seen."""
+    sf = f"{DATA}/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    unseen = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) == 0
+    good = labels.where("quality = 1").where(~unseen)
+    model = quality.weights(docs, good.where(~quality.held_out()))
+    cut = quality.calibrated(docs, model, good.where(quality.held_out()))
+    out = quality.judge(docs, model, keep=["doc_id"], threshold=cut).join(labels.where(unseen), "doc_id").where("not base_failed")
+    rate = {r.quality: r.k for r in out.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert rate[1] > 0.97 and rate[0] < 0.15
+
+
+def plain_quality(docs, taught, held):
+    """Score and verdict of each (id, text): the multinomials and the threshold worked out word by word, over hashed n-grams."""
+
+    def grams(text):
+        w = WORD.findall(text or "")
+        return [tuple(w[i : i + n]) for n in (1, 2) for i in range(len(w) - n + 1)]
+
+    def base_failed(text):
+        w = WORD.findall(text or "")
+        tri = Counter(zip(w, w[1:], w[2:], strict=False))
+        cover = {k + j for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        return len(w) < 50 or 100 * len(cover) > 50 * len(w)
+
+    def fitted(bucket):
+        raw, target = Counter(), Counter()
+        for d, t in docs:
+            raw.update(bucket[g] for g in grams(t))
+            if d in taught:
+                target.update(bucket[g] for g in grams(t))
+        n, m = sum(raw.values()), sum(target.values())
+        size = quality.BUCKETS
+        w = lambda b: math.log((target[b] + 0.5) / (m + 0.5 * size)) - math.log((raw[b] + 0.5) / (n + 0.5 * size))
+        scores = [sum(w(bucket[g]) for g in grams(t)) / (len(grams(t)) + 50) for _, t in docs]
+        cells = sorted(math.floor(s / 0.001) for s, (d, t) in zip(scores, docs, strict=True) if d in held and not base_failed(t))
+        cut = cells[int(0.001 * len(cells))] * 0.001
+        return scores, [not base_failed(t) and s >= cut for s, (_, t) in zip(scores, docs, strict=True)]
+
+    return grams, fitted
+
+
+def test_quality_score_and_verdict_by_brute_force(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    trusted = documents.where("doc_id % 3 = 0").select("doc_id")
+    held = {r.doc_id for r in trusted.where(quality.held_out()).collect()}
+    taught = {r.doc_id for r in trusted.collect()} - held
+    assert held and taught
+    grams, fitted = plain_quality(rows, taught, held)
+    every = sorted({g for _, t in rows for g in grams(t)})
+    # the buckets themselves come from the hash function
+    one = F.when(F.size("g") == 1, F.xxhash64(F.get("g", F.lit(0)))).otherwise(F.xxhash64(F.get("g", F.lit(0)), F.get("g", F.lit(1))))
+    hashed = spark.createDataFrame([(list(g),) for g in every], "g array<string>").select("g", F.pmod(one, F.lit(quality.BUCKETS)).alias("b")).collect()
+    scores, kept = fitted({tuple(r.g): r.b for r in hashed})
+    model = quality.weights(documents, trusted.where(~quality.held_out()))
+    cut = quality.calibrated(documents, model, trusted.where(quality.held_out()))
+    got = {(r.doc_id, r.text): (r.score, r.kept) for r in quality.judge(documents, model, threshold=cut).collect()}
+    for key, s, k in zip(rows, scores, kept, strict=True):
+        assert got[key][0] == pytest.approx(s, abs=1e-9) and got[key][1] == k
+    assert 0 < sum(kept) < len(kept)
+
+
+def test_quality_buckets_grow_with_the_corpus():
+    assert [quality.n_buckets(n) for n in (0, 1 << 23, (1 << 23) + 1, 10**8, 10**12)] == [1 << 14, 1 << 14, 1 << 15, 1 << 18, 1 << 20]
+
+
+def test_quality_and_urls_of_empty_tables_and_long_texts(spark, empty):
+    model = quality.weights(empty, empty.select("doc_id"))
+    assert quality.calibrated(empty, model, empty.select("doc_id")) == quality.THRESHOLD
+    assert quality.judge(empty, model).count() == 0
+    assert url_filter.judge(empty.selectExpr("doc_id as page_id", "text as url")).count() == 0
+    long = spark.range(1).selectExpr("id as doc_id", "repeat('some words of a very long text ', 330000) as text")
+    r = quality.judge(long, quality.weights(long, long.select("doc_id")), keep=["doc_id"]).first()
+    assert r.n_words == r.n_repeat_words == 7 * 330000 and r.base_failed and not r.kept
+
+
 def plain_rule(url):
     if url is None or "://" not in url:
         return "", "", None
