@@ -295,6 +295,21 @@ def test_substring_dedup_recall(spark, hot):
         assert set(got[d].sources) <= set(own)
 
 
+@pytest.mark.parametrize("hot", [1 << 14, 1])
+def test_substring_dedup_recall_at_the_threshold(spark, hot):
+    """Passages of 50 words with one other word, at similarity 0.804: found as often as the docstring says, split or not."""
+    rng, docs, n = np.random.default_rng(21), [], 600
+    for k in range(n):
+        own = [f"u{k}x{w}" for w in range(50)]
+        other = list(own)
+        other[rng.integers(5, 45)] = "changed"
+        docs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    got = _found(spark, docs, hot=hot)
+    found = sum(got[2 * k + 1].sources == [2 * k] for k in range(n))
+    assert found >= 0.97 * n
+    assert all(not got[2 * k].sources for k in range(n))
+
+
 def test_classes_of_a_large_group(spark):
     """Copies with words changed here and there, more than a group compares at once: one class, as by brute force."""
     rng, docs = np.random.default_rng(2), []
