@@ -75,6 +75,18 @@ def test_null_and_repeated_ids_and_an_empty_table(spark, documents, sf, tmp_path
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_further_columns_keep_their_values(spark, documents, sf, tmp_path):
+    names = ["decoded", "n_words", "score", "predicted", "kept", "component", "home", "gone", "hit_words", "items", "h", "doc", "parity"]
+    docs = documents.where("doc_id < 20").withColumns({c: F.col("doc_id") + k for k, c in enumerate(names)}).withColumns({c: F.lit(-1) for c in ("ids", "n_tokens", "round_trip")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for table in ("benchmark", "labels"):
+        spark.read.parquet(f"{sf}/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", *names, "n_tokens", "ids", "round_trip"]
+    rows = out.collect()
+    assert rows and all(r[c] == r.doc_id + k for r in rows for k, c in enumerate(names)) and all(r.round_trip and r.n_tokens == len(r.ids) for r in rows)
+
+
 def test_toxic_documents_go(spark):
     d = f"{DATA}/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
