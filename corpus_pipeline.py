@@ -3,8 +3,9 @@
 Defined cases, stage by stage: a null or empty text scores 0, loses no line, is no copy of another and holds no
 passage, so it stays to the end, with null ids for a null text; a row with a null id is judged like any other, as the
 last of all ids; rows that share an id are judged one by one, and rows alike in id and text are one after the Jaccard
-stage, unless they have no word; an empty table gives an empty result; columns of the input named like a result keep
-their values.
+stage, unless they have no word; an empty table gives an empty result; a very long text is worked on whole; further
+columns of the input keep their values to the end, those named like a result too, until the last stage puts its own
+``n_tokens``, ``ids`` and ``round_trip`` in their place.
 
 Line dedup comes before the Jaccard stage and cuts the lines that near copies share, so few of them are left to link.
 """
@@ -24,7 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learned from the labels of the stage's own documents, doesn't call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(toxicity.fold() != 0)
     model = toxicity.fit(docs, labels)
-    return toxicity.score(docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    names = docs.columns
+    # under other names, so that a column of the input called score or predicted is kept
+    rows = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(names)), "text")
+    return toxicity.score(rows, model, keep=rows.columns).where("predicted = 0").select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +48,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, and whether they decode to the text."""
-    out = sentencepiece_codec.encode(docs, keep=["doc_id", "text", "lang", "source", "n_chars"], decoded=True)
-    return out.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    new = ["n_tokens", "ids", "round_trip"]
+    kept = [c for c in docs.columns if c not in ("text", *new)]
+    # under other names, so that no column of the input meets the operator's own
+    rows = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(kept)), "text")
+    out = sentencepiece_codec.encode(rows, decoded=True).withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text")))
+    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)), *new)
 
 
 STAGES = [
