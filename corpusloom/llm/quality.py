@@ -139,8 +139,9 @@ def calibrated(docs: DataFrame, model: DataFrame, trusted: DataFrame, text: str
     """The edge of the cell that all but ``spare`` of the ``trusted`` documents reach; of those that pass the base rules."""
     good, _ = _ids(trusted, doc_id)
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(good, "_id", "left_semi")
-    # scores are means of bounded logs, so there are some thousand cells at most
-    cells = judge(own, model, "_text", []).where("not base_failed").groupBy(F.floor(F.col("score") / CELL).alias("c")).agg(F.count("*").alias("n"))
+    # scores are means of bounded logs, so there are some thousand cells at most; counted without a filter, which would
+    # move below the projection and work out every text's counts again
+    cells = judge(own, model, "_text", []).groupBy(F.floor(F.col("score") / CELL).alias("c")).agg(F.count_if(~F.col("base_failed")).alias("n"))
     total = cells.withColumns({"below": F.sum("n").over(Window.orderBy("c")), "all": F.sum("n").over(Window.partitionBy())})
     cut = total.where(F.col("below") > spare * F.col("all")).agg(F.min("c")).first()[0]
     return THRESHOLD if cut is None else cut * CELL
