@@ -89,6 +89,49 @@ def test_small_pieces_and_lists_give_the_same_index(spark, tmp_path, monkeypatch
     assert got[0] == want and got[1] == want
 
 
+def _plans(spark, build):
+    """The number of rows that the index's Python steps give on, and what was built."""
+    rows, real = [], type(spark.range(1)).mapInArrow
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema, *a: rows.append(out := real(self, f, schema, *a)) or out)
+        return build(), [r.count() for r in rows]
+
+
+def test_terms_are_shuffled_by_buckets_and_frequent_ones_dealt(spark, tmp_path):
+    """A row of the shuffle holds many terms, and a term of most documents lies in several buckets, each with blocks of its own."""
+    rows = corpus(3000, 5)
+    df = spark.createDataFrame([(i, t, "a") for i, t in rows], DOCS).repartition(6)
+    at = Bm25Index(spark, str(tmp_path / "i"))
+    _, given = _plans(spark, lambda: at.add(df, block=32))
+    assert given == [given[0]] and given[0] <= 6 * index_module.LEAST < 400
+    blocks = spark.read.parquet(f"{at.root}/postings")
+    the = blocks.where("term = 'the0'").collect()
+    assert len({r.block_no % index_module.LEAST for r in the}) > 2 and len({r.block_no for r in the}) == len(the) and max(r.n for r in the) == 32
+    assert sum(r.n for r in the) == sum("the0" in t.split() for _, t in rows) == at.weights("a").where("term = 'the0'").first().df
+
+
+def test_questions_are_added_up_where_the_documents_are(spark, tmp_path, monkeypatch):
+    """Parts of few postings, keys that are strings and repeated, equal scores, and one row a share and question at most ``k`` times."""
+    monkeypatch.setattr(index_module, "SHARE", 200)
+    rows = [(f"k{i % 250}", t) for i, t in corpus(300, 8)] + [(f"same{i:02}", "word1 the0 the1") for i in range(40)]
+    at = Bm25Index(spark, str(tmp_path / "i"))
+    at.add(spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id string, text string, repo_id string"), block=8)
+    asked = spark.createDataFrame(QUESTIONS, "item_id long, question string")
+    far, given = _plans(spark, lambda: sorted(map(tuple, at.top_k(asked, "a", 7).collect())))
+    assert far == sorted(map(tuple, at.top_k(asked, "a", 7, skip=False).collect())) and len(far) > 20
+    # postings travel as lists, not as rows of their own
+    assert given[0] < at.postings("a").count() / 2
+
+
+def test_a_collection_that_loses_its_words_has_no_terms(spark, tmp_path):
+    at = Bm25Index(spark, str(tmp_path / "i"))
+    at.add(spark.createDataFrame([(1, "alpha beta", "one"), (2, "alpha", "two"), (3, "gamma", "two"), (4, "delta", "two")], DOCS))
+    at.add(spark.createDataFrame([(1, " ", "one"), (2, None, "one")], DOCS))
+    stats = {r.repo_id: r for r in at.stats().collect()}
+    assert (stats["one"].n_docs, stats["one"].mean_len, stats["one"].n_terms) == (2, 0, 0) and stats["two"].n_terms == 3
+    assert at.top_k(spark.createDataFrame([(1, "alpha")], "item_id long, question string"), "one").collect() == []
+
+
 def test_collections_are_replaced_and_dropped_alone(spark, tmp_path):
     at = Bm25Index(spark, str(tmp_path / "i"))
     one = [(i, t, "one") for i, t in corpus(30)]
