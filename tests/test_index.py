@@ -168,6 +168,18 @@ def test_relevant_documents_hold_the_passage(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_candidates_of_an_answer_come_from_its_own_blocks(spark, tmp_path):
+    """Blocks of words that no passage asks for don't become rows of postings."""
+    df = spark.createDataFrame([(i, t + (" mid needle end" if i == 7 else "")) for i, t in corpus(200, 12)], "doc_id long, text string")
+    at = Bm25Index(spark, str(tmp_path / "i"))
+    at.add(df.selectExpr("*", "'all' as repo_id"), block=16)
+    asked = []
+    whole = at.postings
+    at.postings = lambda *a: asked.append(out := whole(*a)) or out
+    got = evaluate.relevant(at, "all", df, spark.createDataFrame([(1, "mid needle end"), (2, "nowhere to be found")], "item_id long, passage string")).collect()
+    assert [tuple(r) for r in got] == [(1, 7)] and [p.count() for p in asked] == [1]
+
+
 def test_exact_vector_search(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 5))
