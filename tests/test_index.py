@@ -1,11 +1,13 @@
 """The stored index against BM25 worked out in Python, with its defined cases; the exact vector search as well."""
 
+import hashlib
 import math
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import evaluate, vector_index, vectors
 from corpusloom.operators import index as index_module
@@ -194,6 +196,21 @@ def test_exact_vector_search(spark):
     assert not [r for r in got if r.query_id == "null"]
 
 
+def test_embedding_counts_words_slice_by_slice(spark, monkeypatch):
+    """The words of a batch aren't held at once, and give the vectors of the plain rule: any white space, lower case, null and blank texts."""
+    texts = [*[t for _, t in corpus(60, 11)], None, "", " \u2003\x1c ", "É\u00a0é\x1fİx STRASSE", "long " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    monkeypatch.setattr(vectors, "SLICE", 300)
+    got = {r.doc_id: r.v for r in df.select("doc_id", vectors.embed(F.col("text")).alias("v")).collect()}
+    lower = {r.doc_id: r.t for r in df.selectExpr("doc_id", "lower(text) as t").collect()}
+    for i in range(len(texts)):
+        n = np.zeros(64)
+        for w in (lower[i] or "").split():
+            n[int(hashlib.md5(w.encode()).hexdigest()[:2], 16) % 64] += 1
+        assert got[i] == pytest.approx(n / (np.linalg.norm(n) or 1))
+    assert got[60] == got[61] == got[62] == [0.0] * 64
+
+
 def _clustered(n=3000, dim=16, seed=8):
     rng = np.random.default_rng(seed)
     centers = rng.normal(size=(40, dim))
