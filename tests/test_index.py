@@ -13,6 +13,7 @@ from corpusloom.operators import evaluate, vector_index, vectors
 from corpusloom.operators import index as index_module
 from corpusloom.operators.index import Bm25Index
 from corpusloom.operators.vector_index import VectorIndex
+from corpusloom.plans import retrieval
 
 DOCS = "doc_id long, text string, repo_id string"
 
@@ -211,6 +212,44 @@ def test_embedding_counts_words_slice_by_slice(spark, monkeypatch):
     assert got[60] == got[61] == got[62] == [0.0] * 64
 
 
+def test_embedding_remembers_few_words(spark, monkeypatch):
+    """A memo that is emptied again and again gives the same vectors."""
+    df = spark.createDataFrame(corpus(60, 11), "doc_id int, text string").coalesce(1)
+    rows = lambda: {r.doc_id: r.v for r in df.select("doc_id", vectors.embed(F.col("text")).alias("v")).collect()}
+    want = rows()
+    monkeypatch.setattr(vectors, "MEMO", 3)
+    assert rows() == want
+
+
+def test_search_embeds_a_text_once(spark):
+    """No filter works a text's vector out a second time; a text without a vector is left out in the task."""
+    df = spark.createDataFrame([*corpus(30, 5), (99, None)], "doc_id int, text string")
+    v = df.select("doc_id", vectors.embed(F.col("text")).alias("v"))
+    asked = v.where("doc_id = 0").withColumnRenamed("doc_id", "item_id").localCheckpoint()
+    got = vectors.top_k(v, asked, key="doc_id", vector="v", by="item_id", positive=True)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert 99 not in {r.doc_id for r in got.collect()}
+    holes = df.select("doc_id", F.when(F.col("doc_id") != 7, vectors.embed(F.col("text"))).alias("v"))
+    assert {r.doc_id for r in vectors.top_k(holes, asked, key="doc_id", vector="v", by="item_id").collect()} == {*range(30), 99} - {7}
+
+
+def test_reranking_leaves_the_documents_in_place(spark, monkeypatch):
+    """Candidates go to the documents, not documents to the candidates; too many of them meet by shuffle and give the same rows."""
+    d = "/root/testdata/sf0.001"
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        sent = retrieval.QUERIES["rerank_softmax"](spark, d)
+        assert "SortMergeJoin [doc_id" not in sent._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(retrieval, "BROADCAST", 0)
+        dealt = retrieval.QUERIES["rerank_softmax"](spark, d)
+        assert "SortMergeJoin [doc_id" in dealt._jdf.queryExecution().executedPlan().toString()
+        assert sorted(sent.collect()) == sorted(dealt.collect())
+    finally:
+        spark.conf.set(key, before)
+
+
 def _clustered(n=3000, dim=16, seed=8):
     rng = np.random.default_rng(seed)
     centers = rng.normal(size=(40, dim))
