@@ -455,3 +455,18 @@ def test_windows_are_compact_and_repeats_held_once():
     held = [(names[i], buffer[b : b + n].decode()) for b, n, i in zip(begin, length, item, strict=True)]
     own = {" ".join((text + " " + text).split()[k : k + 13]) for k in range(28)}
     assert sorted(h for i, h in held if i == "b") == sorted(own) and (np.diff(keys.astype(object)) >= 0).all()
+
+
+def test_words_go_to_the_model_and_not_through_an_encoding_each():
+    """Ids of words from the model alone are those of whole texts by the tokenizer; a word's first place is found in any order."""
+    data = sentencepiece_codec._load(sentencepiece_codec.MODEL)
+    codec, whole = sentencepiece_codec.Codec(data), sentencepiece_codec.build(data)
+    texts = ["b a b  a", "a\0b \t x\ny ", None, "", " ", "▁a ▁▁ b▁", "é ß 日本 😀 " * 5, "<s> </s> <unk> <0x41>", "same word " * 50 + "b a"]
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+    class Model:
+        model = codec.tokenizer.model
+
+    codec.tokenizer = Model()
+    flat, count, _ = codec.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == want
