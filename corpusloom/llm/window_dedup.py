@@ -12,11 +12,13 @@ the interval join is made on the shingles: a passage counts if the Jaccard simil
 ``WORDS`` to 1.25 ``WORDS`` words around the same pivot in a document with a smaller id is at least 0.8.
 
 A group's contexts are compared with all earlier ones that share enough shingles, but for pairs whose passages have
-their counterparts already and whose contexts are joined by other links.  Every link that joins what no others join
+their counterparts already and whose contexts are joined by other links.  In a large group they are found by the
+rarest shingles of each passage, which any counterpart has one of.  Every link that joins what no others join
 is kept, so classes are whole.  An exact repeat of ``WORDS`` words always has a common pivot; two passages at
 similarity s have one with a chance of 1 - (1 - s) ** 3, 0.992 at 0.8.
 
-Stretches that repeat shingles are compared by their places first and as sets where these agree.
+Stretches that repeat shingles are compared by their places first and as sets where these agree; in large groups
+those of few different shingles are matched as sets alone.
 
 A pivot of more than ``HOT`` contexts is split: its passages meet by that pivot and one of another function, of
 ``SPLIT`` in all.  Where every pivot is split, two passages at similarity 0.8 still meet with a chance of 0.988.
@@ -29,7 +31,6 @@ worked on as a block of its own; columns other than id and text are not carried.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,8 @@ HOT = 1 << 14
 BUCKET_BYTES, FLUSH = 8 << 20, 1 << 19
 #: Groups of so few contexts are compared at once; larger ones with so many of their first, then by the shingles they share.
 SMALL, FIRST = 12, 16
+#: Passages of so few distinct shingles are matched as sets in groups of more contexts than ``MANY``.
+FEW, MANY = 23, 64
 _BATCH = 1 << 14
 _PIECE = 1 << 19
 _LAST = (1 << 63) - 1
@@ -202,6 +205,110 @@ def verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return good
 
 
+class Sets:
+    """The sets of shingles that the contexts of a large group have on their stretches, where these are of few shingles, and which are similar.
+
+    A passage that repeats a few shingles lies in the shingles of nearly every context of its pivot and is similar to
+    few of them.  Sets of ``FEW`` shingles are compared by their rarest ones: sets of m and n shingles are similar only
+    if they share one of the m - 0.8 m + 1 rarest of the one and as many of the other, and m and n are alike.
+    """
+
+    def __init__(self, data: np.ndarray, size: np.ndarray, asks: np.ndarray):
+        """``asks``: the places at which a passage begins that is to be compared."""
+        off, n = starts(size)[:-1], len(size)
+        context = np.repeat(np.arange(n), size)
+        values, shingle = np.unique(data, return_inverse=True)
+        spread = np.bincount(np.unique(shingle * np.int64(n) + context) // n, minlength=len(values))
+        rarity = np.empty(len(values), np.int64)
+        rarity[np.argsort(spread, kind="stable")] = np.arange(len(values))
+        self.rank = rarity[shingle]
+        # sets are told apart by the sum of their shingles' hashes
+        value, last, at = mix(self.rank.astype(U) + U(1)), before(context * np.int64(len(values)) + self.rank), np.arange(len(data))
+        found = []
+        for length in range(LEAST, LEAST + LEAST // 4 + 1):
+            enter, change, sums = np.maximum(last, at - length) + 1, np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, U)
+            np.add.at(change, enter, 1)
+            np.add.at(sums, enter, value)
+            change[1:] -= 1
+            sums[1:] -= value
+            count, sums = np.cumsum(change), np.cumsum(sums)
+            begin = gather(at, off, np.maximum(size - length + 1, 0))
+            begin = begin[count[begin] <= FEW * 5 // 4]
+            new = np.append(True, (np.diff(begin) > 1) | (np.diff(context[begin]) > 0) | (sums[begin][1:] != sums[begin][:-1]))[: len(begin)]
+            if length == LEAST:
+                passage = begin[asks[begin] & (count[begin] <= FEW)]
+                mine = sums[passage]
+            begin = begin[new]
+            found.append((sums[begin], context[begin], begin, np.full(len(begin), length), count[begin]))
+        sums, holder, begin, length, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        key, one, which = np.unique(sums, return_index=True, return_inverse=True)
+        begin, length, self.count = begin[one], length[one], count[one]
+        pair = np.unique(which * np.int64(n) + holder)
+        #: Contexts of each set, and sets of each context; the set of each passage of few shingles, -1 for others.
+        self.holders, self.held_by = pair % n, np.searchsorted(pair // n, np.arange(len(key) + 1))
+        turned = np.argsort(self.holders, kind="stable")
+        self.held, self.holds = (pair // n)[turned], np.searchsorted(self.holders[turned], np.arange(n + 1))
+        self.own = np.full(len(data), -1)
+        self.own[passage] = np.searchsorted(key, mine)
+        self._join(begin, length)
+
+    def _join(self, begin: np.ndarray, length: np.ndarray) -> None:
+        """Similar sets of each set that a passage asks for."""
+        members, sizes = [], self.count
+        # the rank after all others pads the stretches
+        padded, none = np.append(self.rank, np.full(LEAST + LEAST // 4, len(self.rank))), len(self.rank)
+        for i in range(0, len(begin), 1 << 15):
+            own = np.lib.stride_tricks.sliding_window_view(padded, LEAST + LEAST // 4)[begin[i : i + (1 << 15)]].copy()
+            own[np.arange(own.shape[1]) >= length[i : i + (1 << 15), None]] = none
+            own.sort(axis=1)
+            new = own < none
+            new[:, 1:] &= own[:, 1:] != own[:, :-1]
+            members.append(own[new])
+        members, cut = np.concatenate(members) if members else self.rank[:0], starts(sizes)
+        rare = sizes - (4 * sizes + 4) // 5 + 1
+        token, holder = gather(members, cut[:-1], rare), np.repeat(np.arange(len(sizes)), rare)
+        order = np.argsort(token, kind="stable")
+        token, holder = token[order], holder[order]
+        left, right = [], []
+        asked = np.unique(self.own[self.own >= 0])
+        for i in range(0, len(asked), 1 << 10):
+            own = asked[i : i + (1 << 10)]
+            ask, of = gather(members, cut[own], rare[own]), np.repeat(own, rare[own])
+            lo, hi = np.searchsorted(token, ask), np.searchsorted(token, ask, "right")
+            for a in np.split(np.arange(len(ask)), np.unique(np.searchsorted(np.cumsum(hi - lo), np.arange(1 << 20, (hi - lo).sum() + 1, 1 << 20)))):
+                x, y = np.repeat(of[a], (hi - lo)[a]), gather(holder, lo[a], (hi - lo)[a])
+                use = 5 * np.minimum(sizes[x], sizes[y]) >= 4 * np.maximum(sizes[x], sizes[y])
+                pair = np.unique(x[use] * np.int64(len(sizes)) + y[use])
+                x, y = pair // len(sizes), pair % len(sizes)
+                for j in range(0, len(x), 1 << 15):
+                    p, q = x[j : j + (1 << 15)], y[j : j + (1 << 15)]
+                    base = np.arange(len(p)) * np.int64(none + 1)
+                    one, two = (np.repeat(base, sizes[z]) + gather(members, cut[z], sizes[z]) for z in (p, q))
+                    # both are sorted
+                    both = np.bincount(np.repeat(np.arange(len(p)), sizes[p])[within(one, two)], minlength=len(p))
+                    good = 5 * both >= 4 * (sizes[p] + sizes[q] - both)
+                    left.append(p[good])
+                    right.append(q[good])
+        pair = np.unique(np.concatenate(left) * np.int64(len(sizes)) + np.concatenate(right)) if left else cut[:0]
+        self.like, self.liked = pair % max(len(sizes), 1), np.searchsorted(pair // max(len(sizes), 1), np.arange(len(sizes) + 1))
+
+    def like_one(self, h: int) -> np.ndarray:
+        """Which passages are similar to a stretch of context ``h``."""
+        has = np.zeros(len(self.count), np.int64)
+        has[self.held[self.holds[h] : self.holds[h + 1]]] = 1
+        near = starts(has[self.like])
+        return np.append(np.diff(near[self.liked]) > 0, False)[self.own]
+
+    def like_any(self, begin: int, end: int, n: int) -> np.ndarray:
+        """Whether each passage (rows) is similar to a stretch of each context."""
+        own, which = np.unique(self.own[begin:end], return_inverse=True)
+        out = np.zeros((len(own), n), bool)
+        for k in np.flatnonzero(own >= 0).tolist():
+            like = self.like[self.liked[own[k]] : self.liked[own[k] + 1]]
+            out[k, gather(self.holders, self.held_by[like], self.held_by[like + 1] - self.held_by[like])] = True
+        return out[which]
+
+
 class Contexts:
     """Distinct contexts of some pivots: ``data`` between ``off``, group (pivot), smallest id, first and last start of passages."""
 
@@ -210,6 +317,8 @@ class Contexts:
         self.off = starts(size)
         #: alive[off[k] + s]: the passage at start s of context k may have a counterpart and has none yet.
         self.alive, self.repeats, self.offers = self._alive()
+        #: Passages of few shingles, of contexts in large groups.
+        self.few = np.zeros(len(data) + 1, bool)
         self.found: list[tuple[np.ndarray, ...]] = []
 
     def _alive(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,10 +345,10 @@ class Contexts:
         # a counterpart's matches may lie on fewer places
         return alive, repeats, np.diff(count[self.off]) >= np.where(repeats > 0, 1, ENOUGH)
 
-    def similar(self, a: np.ndarray, b: np.ndarray, still: np.ndarray) -> np.ndarray:
+    def similar(self, a: np.ndarray, b: np.ndarray, still: np.ndarray, near: np.ndarray | None = None) -> np.ndarray:
         """Whether each passage of the contexts a (one after the other) is similar enough to a stretch of the context in b.
 
-        Where ``still`` holds only passages without a counterpart count.
+        Where ``still`` holds only passages without a counterpart count.  ``near``: whether passages of few shingles are.
         """
         size, other = self.size[a], self.size[b]
         pair, with_ = np.repeat(np.arange(len(a)), size), np.repeat(np.arange(len(b)), other)
@@ -272,6 +381,9 @@ class Contexts:
         places = count[LEAST:] - count[:n]
         alike = (places >= SIMILARITY * (LEAST + np.maximum(high - low + 1, LEAST) - places)) & (both >= SIMILARITY * own)
         hopeful[:n] = np.where(np.repeat(self.repeats[a] + self.repeats[b] > 0, size)[:n], alike, both >= ENOUGH)
+        if near is not None:
+            few = self.few[np.repeat(self.off[a] - cut[:-1], size) + np.arange(len(x))]
+            good, hopeful = np.where(few, near & allowed, good), hopeful & ~few
         unsure = hopeful & allowed & ~good
         rest = np.flatnonzero(np.bincount(pair, unsure, len(a)) > 0)
         for k in rest:
@@ -283,15 +395,15 @@ class Contexts:
                 good[cut[k] + i : cut[k] + j] |= verified(mine[i : j + LEAST - 1], against) & allowed[cut[k] + i : cut[k] + j]
         return good
 
-    def compare(self, a: np.ndarray, b: np.ndarray, joined_: np.ndarray | None = None) -> np.ndarray:
+    def compare(self, a: np.ndarray, b: np.ndarray, joined_: np.ndarray | None = None, near: np.ndarray | None = None) -> np.ndarray:
         """Notes what each pair has in common and closes passages; whether the pairs are linked.
 
         Of pairs ``joined_`` by other links only passages that are still open count.
         """
-        linked = np.zeros(len(a), bool)
+        linked, places = np.zeros(len(a), bool), starts(self.size[a])
         for i in range(0, len(a), _BATCH):
             x, y = a[i : i + _BATCH], b[i : i + _BATCH]
-            good = self.similar(x, y, np.zeros(len(x), bool) if joined_ is None else joined_[i : i + _BATCH])
+            good = self.similar(x, y, np.zeros(len(x), bool) if joined_ is None else joined_[i : i + _BATCH], None if near is None else near[places[i] : places[i + len(x)]])
             size = self.size[x]
             pair, cut = np.repeat(np.arange(len(x)), size), starts(size)
             edge = np.flatnonzero(np.diff(np.concatenate([[False], good, [False]]).astype(np.int8)))
@@ -335,26 +447,52 @@ class Contexts:
     def _open(self, own: np.ndarray) -> np.ndarray:
         return np.array([self.alive[self.off[k] : self.off[k + 1]].any() for k in own.tolist()], bool)
 
+    @staticmethod
+    def _places(data: np.ndarray, cut: np.ndarray, others: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(other context, place of ``a``) where the other context has that place's shingle."""
+        values, which = np.unique(a, return_inverse=True)
+        found, size = gather(data, cut[others], cut[others + 1] - cut[others]), cut[others + 1] - cut[others]
+        at = np.minimum(np.searchsorted(values, found), len(values) - 1)
+        hit = np.zeros((len(others), len(values)), bool)
+        hit[np.repeat(np.arange(len(others)), size)[values[at] == found], at[values[at] == found]] = True
+        j, q = np.nonzero(hit[:, which])
+        return others[j], q
+
     def _large(self, own: np.ndarray) -> None:
         """A group in order of its ids: against its first contexts, then against all that may still matter."""
         n, label, asks = len(own), np.arange(len(own)), self._open(own)
 
-        def join(later: np.ndarray, earlier: np.ndarray) -> None:
+        def join(later: np.ndarray, earlier: np.ndarray, near: np.ndarray | None) -> None:
             use = self.doc[own[earlier]] < self.doc[own[later]]
+            if near is not None:
+                near = near[np.repeat(use, size[later])]
             later, earlier = later[use], earlier[use]
-            done = self.compare(own[later], own[earlier], label[later] == label[earlier])
+            done = self.compare(own[later], own[earlier], label[later] == label[earlier], near)
             for x, y in zip(later[done].tolist(), earlier[done].tolist(), strict=True):
                 if label[x] != label[y]:
                     label[label == max(label[x], label[y])] = min(label[x], label[y])
 
-        at = np.flatnonzero(asks)
+        at, size = np.flatnonzero(asks), self.size[own]
+        places = gather(np.arange(len(self.data)), self.off[own], size)
+        every, cut, sets = self.data[places], starts(size), None
+        if n > MANY and self.repeats[own].any():
+            passage = np.zeros(len(every), bool)
+            passage[gather(np.arange(len(every)), cut[at] + self.first[own[at]], (self.last - self.first + 1)[own[at]])] = True
+            sets = Sets(every, size, passage)
+            self.few[places] = sets.own >= 0
+            # contexts that ask for passages of more shingles are not told by their sets
+            plain = np.logical_or.reduceat(self.alive[places] & (sets.own < 0), cut[:-1])
         for h in range(min(FIRST, n)):
-            rest = at[at > h]
+            rest, near = at[at > h], None
             rest = rest[self._open(own[rest]) | (label[rest] != label[h])]
+            if sets:
+                near = sets.like_one(h)
+                use = np.logical_or.reduceat(near & (self.alive[places] | np.repeat(label != label[h], size)), cut[:-1])
+                rest = rest[(plain | use)[rest]]
+                near = gather(near, cut[rest], size[rest])
             if len(rest):
-                join(rest, np.full(len(rest), h))
-        size = self.size[own]
-        shingle, has = gather(self.data, self.off[own], size), np.repeat(np.arange(n), size)
+                join(rest, np.full(len(rest), h), near)
+        shingle, has = every, np.repeat(np.arange(n), size)
         order = np.lexsort((has, shingle))
         shingle, has = shingle[order], has[order]
         new = np.append(True, (shingle[1:] != shingle[:-1]) | (has[1:] != has[:-1]))
@@ -366,21 +504,34 @@ class Contexts:
             if not alive.any() and not apart.any():
                 continue
             a = self.data[base : base + size[k]]
-            lo, hi = np.searchsorted(shingle, a), np.searchsorted(shingle, a, "right")
-            j, q = gather(has, lo, hi - lo), np.repeat(np.arange(size[k]), hi - lo)
-            use = (j >= FIRST) & (j < k)
-            if not alive.any():
-                use[use] = apart[j[use]]
-            j, q = j[use], q[use]
+            i, m, use = self.first[own[k]], self.last[own[k]] + 1, np.zeros(k, bool)
+            rows, near = np.ones(m - i, bool), None
+            if sets:
+                near = sets.like_any(cut[k], cut[k + 1], n)
+                use |= near[:, :k][alive].any(0) | (near[:, :k].any(0) & apart)
+                rows = sets.own[cut[k] + i : cut[k] + m] < 0
+            if rows.any():
+                # whoever has enough places of a passage has one of those whose shingles the fewest contexts have
+                lo, hi = np.searchsorted(shingle, a), np.searchsorted(shingle, a, "right")
+                rare = np.argpartition(np.lib.stride_tricks.sliding_window_view(hi - lo, LEAST)[i:m][rows], LEAST - ENOUGH, axis=1)[:, : LEAST - ENOUGH + 1] + np.flatnonzero(rows)[:, None] + i
+                for of, among in ((rare[alive[i:m][rows]], None), (rare, apart)):
+                    spots = np.unique(of)
+                    if among is None or among.any():
+                        j = gather(has, lo[spots], (hi - lo)[spots])
+                        j = j[j < k]
+                        use[j if among is None else j[among[j]]] = True
+            use[:FIRST] = False
+            j, q = self._places(every, cut, np.flatnonzero(use), a)
             some, j = np.unique(j, return_inverse=True)
             if not len(some):
                 continue
             hits = np.zeros((size[k] + 1, len(some)), np.int16)
             hits[q + 1, j] = 1
             hits = np.cumsum(hits, axis=0, dtype=np.int16)
-            i, m = self.first[own[k]], self.last[own[k]] + 1
             shared = hits[i + LEAST : m + LEAST] - hits[i:m]
             enough = shared >= ENOUGH
+            if sets:
+                enough = np.where(sets.own[cut[k] + i : cut[k] + m, None] >= 0, near[i:m, some], enough)
             rest = np.argsort(-shared.max(0), kind="stable")
             while True:
                 # what may close an open passage or join another class
@@ -389,11 +540,11 @@ class Contexts:
                 if not len(rest):
                     break
                 now, rest = some[rest[:FIRST]], rest[FIRST:]
-                join(np.full(len(now), k), now)
+                join(np.full(len(now), k), now, near[:, now].T.ravel() if sets else None)
 
 
 _LONG, _BIN, _INT = T.LongType(), T.BinaryType(), T.IntegerType()
-_SEEN = schema(bucket=_LONG, home=_LONG, pivot=_BIN, key=_BIN, many=_BIN)
+_SEEN = schema(bucket=_LONG, homes=_BIN, counts=_BIN, pivot=_BIN, key=_BIN, many=_BIN)
 _SHARED = schema(home=_LONG, alike=_BIN, unlike=_BIN, hot=_BIN)
 _CONTEXT = schema(bucket=_LONG, home=_LONG, pivot=_BIN, key=_BIN, doc=_BIN, others=_BIN, first=_BIN, last=_BIN, size=_BIN, data=_BIN)
 _ANSWER = schema(home=_LONG, hot=_BIN, key=_BIN, owner=_BIN, first=_BIN, last=_BIN)
@@ -411,6 +562,23 @@ def _windows(t: pa.Table) -> Iterator[tuple[Windows, np.ndarray]]:
         yield Windows(texts.slice(i, j - i)), doc.slice(i, j - i).to_numpy()
 
 
+def seen_rows(pivot: np.ndarray, key: np.ndarray, home: np.ndarray, buckets: int) -> list[tuple]:
+    """A row for each bucket, in which the homes lie one after the other: rows of a task don't grow with buckets times homes."""
+    to, rows = (pivot % U(buckets)).astype(np.int64), []
+    order = np.lexsort((key, pivot, home, to))
+    pivot, key, home, to = pivot[order], key[order], home[order], to[order]
+    head = np.flatnonzero(np.append(True, (np.diff(to) != 0) | (np.diff(home) != 0) | (pivot[1:] != pivot[:-1]) | (key[1:] != key[:-1])))
+    many = np.diff(np.append(head, len(order))) > 1
+    pivot, key, home, to = pivot[head], key[head], home[head], to[head]
+    first = np.flatnonzero(np.append(True, (np.diff(to) != 0) | (np.diff(home) != 0)))
+    count, cut = np.diff(np.append(first, len(to))).astype(np.int32), np.flatnonzero(np.append(True, np.diff(to) != 0))
+    runs = np.searchsorted(first, np.append(cut, len(to)))
+    for k, (i, j) in enumerate(zip(cut.tolist(), [*cut[1:].tolist(), len(to)], strict=True)):
+        r = slice(runs[k], runs[k + 1])
+        rows.append((int(to[i]), home[first[r]].astype(np.int32).tobytes(), count[r].tobytes(), six(pivot[i:j]), key[i:j].tobytes(), np.packbits(many[i:j]).tobytes()))
+    return rows
+
+
 def sort_pivots(pivot: np.ndarray, key: np.ndarray, times: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pivots that two rows have: those whose contexts are all alike, those whose contexts differ, and those of more than ``hot`` contexts."""
     own, which = np.unique(pivot, return_inverse=True)
@@ -440,13 +608,7 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: i
 
         def flush() -> pa.RecordBatch:
             pivot, key, home = (np.concatenate(x) for x in zip(*held, strict=True))
-            to, rows = (pivot % U(buckets)).astype(np.int64) * buckets + home, []
-            for at in by_key(to):
-                order = at[np.lexsort((key[at], pivot[at]))]
-                new = np.append(True, (pivot[order][1:] != pivot[order][:-1]) | (key[order][1:] != key[order][:-1]))
-                head = np.flatnonzero(new)
-                many = np.diff(np.append(head, len(order))) > 1
-                rows.append((int(to[at[0]]) // buckets, int(to[at[0]]) % buckets, six(pivot[order[head]]), key[order[head]].tobytes(), np.packbits(many).tobytes()))
+            rows = seen_rows(pivot, key, home, buckets)
             held.clear()
             return table(_SEEN, rows).combine_chunks().to_batches()[0]
 
@@ -473,10 +635,17 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: i
         pivots = [unsix(x) for x in t.column("pivot").to_pylist()]
         times = [1 + np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(t.column("many").to_pylist(), pivots, strict=True)]
         kinds = sort_pivots(np.concatenate(pivots), joined(t, "key", np.uint32), np.concatenate(times), hot)
-        found = defaultdict(list)
-        for home, p in zip(t.column("home").to_pylist(), pivots, strict=True):
-            found[home].append(p)
-        return table(_SHARED, [(home, *(six(own[within(own, kind)]) for kind in kinds)) for home, x in found.items() for own in [np.unique(np.concatenate(x))]])
+        pivot, home = np.concatenate(pivots), np.repeat(joined(t, "homes", np.int32), joined(t, "counts", np.int32))
+        order = np.lexsort((pivot, home))
+        pivot, home = pivot[order], home[order]
+        new = np.append(True, (np.diff(home) != 0) | (pivot[1:] != pivot[:-1]))[: len(pivot)]
+        pivot, home = pivot[new], home[new]
+        homes, rows = np.unique(home), []
+        parts = [(own := within(pivot, kind), np.searchsorted(home[own], homes, "right")) for kind in kinds]
+        blobs = [(six(pivot[own]), 6 * np.append(0, end)) for own, end in parts]
+        for k, h in enumerate(homes.tolist()):
+            rows.append((h, *(x[cut[k] : cut[k + 1]] for x, cut in blobs)))
+        return table(_SHARED, [x for x in rows if any(x[1:])])
 
     def contexts(texts: pa.Table, marks: pa.Table) -> pa.Table:
         """The windows of shared pivots, equal ones once with the smallest id of this home."""

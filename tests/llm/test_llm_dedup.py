@@ -340,6 +340,63 @@ def test_passages_with_repeated_shingles_are_verified():
     assert window_dedup.verified(same, same).all()
 
 
+def _repeating(n):
+    """Contexts of one pivot that repeat it between words of their own, as many words alike as not: (data, size)."""
+    rng, parts = np.random.default_rng(6), []
+    for _ in range(n):
+        edge = [rng.integers(10, 13, 1), rng.integers(20, 24, 1), rng.integers(30, 36, 1), rng.integers(40, 48, 1), rng.integers(50, 1000, 1)]
+        run, after = np.full(rng.integers(20, 44), 1), np.full(rng.integers(20, 40), rng.integers(2, 5))
+        parts.append(np.concatenate([rng.integers(1000, 2000, rng.integers(0, 12)), run, *edge, after]))
+    return np.concatenate(parts).astype(np.uint32), np.array([len(x) for x in parts])
+
+
+def test_sets_of_few_shingles_are_matched_as_by_verification():
+    data, size = _repeating(90)
+    cut = np.concatenate([[0], np.cumsum(size)])
+    sets = window_dedup.Sets(data, size, np.ones(len(data), bool))
+    assert (sets.own >= 0).any() and (sets.own < 0).any()
+    for k in range(90):
+        a, few = data[cut[k] : cut[k + 1]], sets.own[cut[k] : cut[k + 1]] >= 0
+        near = sets.like_any(cut[k], cut[k + 1], 90)
+        for j in range(0, 90, 7):
+            want = np.zeros(len(a), bool)
+            want[: len(a) - window_dedup.LEAST + 1] = window_dedup.verified(a, data[cut[j] : cut[j + 1]])
+            assert (near[:, j] == (want & few)).all() and (sets.like_one(j)[cut[k] : cut[k + 1]] == (want & few)).all()
+
+
+def test_a_large_group_of_repeated_words_is_not_compared_pair_by_pair(monkeypatch):
+    data, size = _repeating(600)
+    n, calls, plain = 600, [], window_dedup.verified
+    monkeypatch.setattr(window_dedup, "verified", lambda a, b: calls.append(1) or plain(a, b))
+    x = window_dedup.Contexts(np.full(n, 9, np.uint64), np.arange(n), np.zeros(n, np.int64), size - window_dedup.LEAST, size, data)
+    before = x.alive.copy()
+    k, owner, _, _ = x.link()
+    assert len(calls) < 10 * n and (owner < k).all() and len(k)
+    # what few different shingles leave open has no counterpart before it
+    few, cut, checked = x.few[:-1], x.off, 0
+    for c in range(1, n, 41):
+        for i in np.flatnonzero((before & x.alive)[cut[c] : cut[c + 1]] & few[cut[c] : cut[c + 1]])[::9].tolist():
+            a = data[cut[c] + i : cut[c] + i + window_dedup.LEAST]
+            assert not any(plain(a, data[cut[j] : cut[j + 1]]).any() for j in range(c))
+            checked += 1
+    assert checked
+
+
+def test_pivots_travel_in_a_row_for_each_bucket():
+    """Rows grew with buckets times homes of a task, that is with the square of the text."""
+    rng = np.random.default_rng(9)
+    pivot, key, home = rng.integers(0, 3000, 9000).astype(np.uint64), rng.integers(0, 2, 9000).astype(np.uint32), rng.integers(0, 70, 9000)
+    rows, got = window_dedup.seen_rows(pivot, key, home, 50), Counter()
+    assert len(rows) == 50
+    for bucket, homes, counts, pivots, keys, many in rows:
+        own, k = window_dedup.unsix(pivots), np.frombuffer(keys, np.uint32)
+        h, more = np.repeat(np.frombuffer(homes, np.int32), np.frombuffer(counts, np.int32)), np.unpackbits(np.frombuffer(many, np.uint8), count=len(own))
+        assert (own % np.uint64(50) == bucket).all()
+        got.update(dict(zip(zip(own.tolist(), k.tolist(), h.tolist(), strict=True), more.tolist(), strict=True)))
+    want = Counter(zip(pivot.tolist(), key.tolist(), home.tolist(), strict=True))
+    assert got == Counter({x: int(n > 1) for x, n in want.items()})
+
+
 @pytest.mark.parametrize("op", [suffix_dedup.spans, jaccard_join.classes, line_dedup.removed_lines, line_dedup.dedup, window_dedup.classes, jaccard_join.keep_first])
 def test_empty_tables(empty, op):
     assert op(empty).count() == 0
