@@ -9,10 +9,10 @@ It is distributed by content.  In every ``LENGTH`` bytes the gram of ``GRAM`` by
 anchor, so equal strings have equal anchors.  Anchors are counted over documents first; only the stretches around
 anchors that two documents share (an anchor's context) travel, each once however often it occurs.  All contexts of an
 anchor meet in one task and are sorted there in pieces of ``CHUNK`` bytes or so, but for an anchor with one context,
-whose strings have no other place; an anchor's contexts that are far more are split into strings by hash.  Places are
-counted by the homes, and an anchor of more than ``HOT`` of them sends its strings of ``LENGTH`` bytes one by one
-instead of its context, dealt by their own hash.  Anchors, contexts and answers travel in binary blobs, several
-hundred to a row.
+whose strings have no other place; an anchor's contexts that are far more are split into strings by hash.  Strings
+that have no other place by their hash are not sorted.  Places are counted by the homes, and an anchor of more than
+``HOT`` of them sends its strings of ``LENGTH`` bytes one by one instead of its context, dealt by their own hash.
+Anchors, contexts and answers travel in binary blobs, several hundred to a row.
 
 Anchors and contexts are found by 64-bit hashes; strings are compared byte by byte.
 
@@ -207,6 +207,29 @@ def by_string(data: np.ndarray, off: np.ndarray, owner: np.ndarray) -> tuple[np.
     return start, out
 
 
+def repeated_owner(data: np.ndarray, off: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``smallest_owner``, where only the stretches are sorted whose strings have another place by their hash."""
+    size = np.diff(off)
+    count = np.maximum(size - LENGTH + 1, 0)
+    start, out = gather(np.arange(len(data)), off[:-1], count), np.repeat(owner, count)
+    if not len(start):
+        return start, start
+    key = span_hash(prefix_sums(BYTE[data]), start, start + LENGTH)
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    again = np.zeros(len(start), bool)
+    again[order] = np.append(False, same) | np.append(same, False)
+    at = np.flatnonzero(again)
+    if not len(at):
+        return start, out
+    # starts of two contexts never follow one another
+    head = np.flatnonzero(np.append(True, np.diff(start[at]) > 1))
+    first, run = start[at[head]], np.diff(np.append(head, len(at)))
+    text, sub = gather(data, first, run + LENGTH - 1), starts(run + LENGTH - 1)
+    out[at] = (smallest_owner if len(text) <= 4 * CHUNK else by_string)(text, sub, out[at[head]])[1]
+    return start, out
+
+
 def _names(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each context's hash, and that of its anchor: its smallest gram, which all of its strings have.
 
@@ -242,7 +265,7 @@ def _schema(**kinds) -> T.StructType:
 
 
 _LONG, _BIN = T.LongType(), T.BinaryType()
-_SEEN = _schema(bucket=_LONG, home=_LONG, once=_BIN, often=_BIN, several=_BIN, places=_BIN)
+_SEEN = _schema(bucket=_LONG, homes=_BIN, n_once=_BIN, n_often=_BIN, once=_BIN, often=_BIN, several=_BIN, places=_BIN)
 _SHARED = _schema(home=_LONG, cold=_BIN, hot=_BIN)
 _CONTEXT = _schema(bucket=_LONG, home=_LONG, data=_BIN, size=_BIN, low=_BIN, more=_BIN)
 _ANSWER = _schema(home=_LONG, hot=_BIN, key=_BIN, first=_BIN, last=_BIN, owner=_BIN)
@@ -256,6 +279,24 @@ def _blocks(table: pa.Table) -> Iterator[tuple[Block, np.ndarray]]:
         yield Block(texts.slice(i, j - i)), doc.slice(i, j - i).to_numpy()
 
 
+def seen_rows(h: np.ndarray, home: np.ndarray, places: np.ndarray, buckets: int) -> list[tuple]:
+    """A row for each bucket, in which the homes lie one after the other: rows of a task don't grow with buckets times homes."""
+    to, low = (h % U(buckets)).astype(np.int64), h & _LOW6
+    order = np.lexsort((low, home, to))
+    to, home, low = to[order], home[order], low[order]
+    head = np.flatnonzero(np.append(True, (np.diff(to) != 0) | (np.diff(home) != 0) | (low[1:] != low[:-1])))
+    once, count = np.diff(np.append(head, len(order))) == 1, np.add.reduceat(places[order], head)
+    to, home, low = to[head], home[head], low[head]
+    first = np.flatnonzero(np.append(True, (np.diff(to) != 0) | (np.diff(home) != 0)))
+    n_once, n_all = (np.diff(np.append(x[first], x[-1])).astype(np.int32) for x in (starts(once), np.arange(len(to) + 1)))
+    cut = np.append(np.flatnonzero(np.append(True, np.diff(to) != 0)), len(to))
+    runs, rows = np.searchsorted(first, cut), []
+    for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+        r, own, one, n = slice(runs[k], runs[k + 1]), low[i:j], once[i:j], count[i:j]
+        rows.append((int(to[i]), home[first[r]].astype(np.int32).tobytes(), n_once[r].tobytes(), (n_all[r] - n_once[r]).tobytes(), six(own[one]), six(own[~one]), six(own[n > 1]), n[n > 1].astype(np.uint32).tobytes()))
+    return rows
+
+
 def common_and_hot(once: list, often: list, several: list, places: list, hot: int) -> tuple[np.ndarray, np.ndarray]:
     """Anchors that two rows have, and those of more than ``hot`` places, from the blobs of all homes."""
     all_h, times = np.unique(np.concatenate(once + often), return_counts=True)
@@ -290,12 +331,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int
 
         def flush() -> pa.RecordBatch:
             h, home, places = (np.concatenate(x) for x in zip(*held, strict=True))
-            key = (h % U(buckets)).astype(np.int64) * buckets + home
-            rows = []
-            for at in _split(key):
-                own, which, times = np.unique(h[at] & _LOW6, return_inverse=True, return_counts=True)
-                count = np.bincount(which, places[at]).astype(np.uint32)
-                rows.append((int(key[at[0]]) // buckets, int(key[at[0]]) % buckets, six(own[times == 1]), six(own[times > 1]), six(own[count > 1]), count[count > 1].tobytes()))
+            rows = seen_rows(h, home, places, buckets)
             held.clear()
             return _table(_SEEN, rows).combine_chunks().to_batches()[0]
 
@@ -320,18 +356,20 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int
             yield flush()
 
     def shared(table: pa.Table) -> pa.Table:
-        homes = table.column("home").to_pylist()
         once, often, several = ([unsix(x) for x in table.column(c).to_pylist()] for c in ("once", "often", "several"))
         common, busy = common_and_hot(once, often, several, [np.frombuffer(x, np.uint32) for x in table.column("places").to_pylist()], hot)
-        found: dict[int, list[np.ndarray]] = {}
-        for home, a, b in zip(homes, once, often, strict=True):
-            found.setdefault(home, []).append(np.concatenate([a[_isin(a, common)], b]))
-        rows = []
-        for home, own in found.items():
-            own = np.unique(np.concatenate(own))
-            is_hot = _isin(own, busy)
-            rows.append((home, six(own[~is_hot]), six(own[is_hot])))
-        return _table(_SHARED, rows)
+        homes, n_once, n_often = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int32) for c in ("homes", "n_once", "n_often"))
+        once, often = np.concatenate(once), np.concatenate(often)
+        shared_ = _isin(once, common)
+        h, home = np.concatenate([once[shared_], often]), np.concatenate([np.repeat(homes, n_once)[shared_], np.repeat(homes, n_often)])
+        order = np.lexsort((h, home))
+        h, home = h[order], home[order]
+        new = np.append(True, (np.diff(home) != 0) | (h[1:] != h[:-1]))[: len(h)]
+        h, home = h[new], home[new]
+        is_hot, every = _isin(h, busy), np.unique(home)
+        cold, warm = (six(h[x]) for x in (~is_hot, is_hot))
+        c, w = (6 * np.append(0, np.searchsorted(home[x], every, "right")) for x in (~is_hot, is_hot))
+        return _table(_SHARED, [(k, cold[c[i] : c[i + 1]], warm[w[i] : w[i + 1]]) for i, k in enumerate(every.tolist())])
 
     def contexts(texts: pa.Table, marks: pa.Table) -> pa.Table:
         tidy()
@@ -339,7 +377,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int
             return _table(_CONTEXT, [])
         busy = np.unique(np.concatenate([unsix(x) for x in marks.column("hot").to_pylist()]))
         known = np.union1d(np.unique(np.concatenate([unsix(x) for x in marks.column("cold").to_pylist()])), busy)
-        home, rows = texts.column("home")[0].as_py(), []
+        home, rows, parts = texts.column("home")[0].as_py(), [], []
         for b, doc in _blocks(texts):
             h, first, last, row, sums = anchors(b)
             keep = _isin(h & _LOW6, known)
@@ -352,10 +390,19 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int
             end = np.append(head[1:], len(order)) - 1
             at, low, high = order[head], doc[row[order[head]]], doc[row[order[end]]]
             to = (np.where(is_hot[at], key[at], h[at]) % U(buckets)).astype(np.int64)
-            for own in _split(to):
-                i = at[own]
-                length = e[i] + LENGTH - a[i]
-                rows.append((int(to[own[0]]), home, gather(b.buf, a[i], length).tobytes(), length.astype(np.uint8).tobytes(), low[own].tobytes(), (high[own] - low[own]).tobytes()))
+            length = e[at] + LENGTH - a[at]
+            parts.append((key[at], to, length, low, high, gather(b.buf, a[at], length)))
+        if not parts:
+            return _table(_CONTEXT, [])
+        # one row for each bucket: rows grow with the text, not with buckets times blocks
+        key, to, length, low, high, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        off, order = starts(length), np.lexsort((low, key))
+        head = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        at, high = order[head], np.maximum.reduceat(high[order], head)
+        for own in _split(to[at]):
+            i = at[own]
+            rows.append((int(to[i[0]]), home, gather(data, off[i], length[i]).tobytes(), length[i].astype(np.uint8).tobytes(), low[i].tobytes(), (high[own] - low[i]).tobytes()))
         return _table(_CONTEXT, rows)
 
     def answers(table: pa.Table) -> pa.Table:
@@ -385,7 +432,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int
             src = one[own]
             sub = starts(length[src])
             text = gather(data, off[src], length[src])
-            start, least = smallest_owner(text, sub, owner[own]) if len(text) <= 4 * CHUNK else by_string(text, sub, owner[own])
+            start, least = repeated_owner(text, sub, owner[own])
             c = np.repeat(np.arange(len(own)), np.maximum(length[src] - LENGTH + 1, 0))
             # runs of one owner
             new = np.ones(len(start), bool)

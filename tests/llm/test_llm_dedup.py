@@ -65,6 +65,39 @@ def test_contexts_of_one_anchor_are_split_by_string(monkeypatch):
     assert all((x == y).all() for x, y in zip(whole, split, strict=True))
 
 
+def test_only_strings_with_another_place_are_sorted(monkeypatch):
+    rng, sorted_, plain = np.random.default_rng(7), [], suffix_dedup.smallest_owner
+    line = rng.integers(97, 123, 70)
+    parts = [rng.integers(97, 123, 110) for _ in range(60)] + [np.concatenate([rng.integers(97, 123, n), line[: 70 - n]]) for n in range(20)] + [line[:49], line[:50], line]
+    size = np.array([len(x) for x in parts])
+    data, off, owner = np.concatenate(parts).astype(np.uint8), np.concatenate([[0], np.cumsum(size)]), rng.integers(0, 1000, len(parts))
+    want = plain(data, off, owner)
+    monkeypatch.setattr(suffix_dedup, "smallest_owner", lambda d, o, w: sorted_.append(len(d)) or plain(d, o, w))
+    got = suffix_dedup.repeated_owner(data, off, owner)
+    assert all((x == y).all() for x, y in zip(got, want, strict=True))
+    assert 0 < sum(sorted_) < len(data) / 4
+
+
+def test_anchors_travel_in_a_row_for_each_bucket():
+    """Rows grew with buckets times homes of a task, that is with the square of the text."""
+    rng = np.random.default_rng(9)
+    h, home, places = rng.integers(0, 3000, 9000).astype(np.uint64), rng.integers(0, 70, 9000), rng.integers(1, 3, 9000)
+    rows, got, more = suffix_dedup.seen_rows(h, home, places, 50), Counter(), Counter()
+    assert len(rows) == 50
+    for bucket, homes, n_once, n_often, once, often, several, counts in rows:
+        assert all((suffix_dedup.unsix(x) % np.uint64(50) == bucket).all() for x in (once, often, several))
+        for blob, n, times in ((once, n_once, 1), (often, n_often, 2)):
+            at = np.repeat(np.frombuffer(homes, np.int32), np.frombuffer(n, np.int32))
+            got.update({k: times for k in zip(suffix_dedup.unsix(blob).tolist(), at.tolist(), strict=True)})
+        for x, n in zip(suffix_dedup.unsix(several).tolist(), np.frombuffer(counts, np.uint32).tolist(), strict=True):
+            more[x] += n
+    assert got == Counter({x: min(n, 2) for x, n in Counter(zip(h.tolist(), home.tolist(), strict=True)).items()})
+    total = Counter()
+    for x, at, n in zip(h.tolist(), home.tolist(), places.tolist(), strict=True):
+        total[x, at] += n
+    assert more == sum((Counter({x: n}) for (x, _), n in total.items() if n > 1), Counter())
+
+
 def test_suffix_ranks_order_prefixes():
     rng = np.random.default_rng(3)
     for _ in range(200):
